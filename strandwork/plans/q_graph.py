@@ -264,11 +264,11 @@ def repository_views(spark, d):
 
 @query("i3_scope_children", graph("""
 SELECT parent, from_child, to_child, count(*) AS pair_count, count(DISTINCT provider) AS provider_count FROM (
-  SELECT p.scope_id AS parent, 'unit:' || e.provider AS from_child, 'unit:' || e.consumer AS to_child, provider
+  SELECT p.scope_id AS parent, 'u:' || e.provider AS from_child, 'u:' || e.consumer AS to_child, provider
   FROM edges e JOIN decls p ON p.ref = e.provider JOIN decls c ON c.ref = e.consumer WHERE p.scope_id = c.scope_id
-  UNION ALL SELECT p.folder_id, 'scope:' || p.scope_id, 'scope:' || c.scope_id, provider
+  UNION ALL SELECT p.folder_id, p.scope_id, c.scope_id, provider
   FROM edges e JOIN decls p ON p.ref = e.provider JOIN decls c ON c.ref = e.consumer WHERE p.folder_id = c.folder_id AND p.scope_id <> c.scope_id
-  UNION ALL SELECT p.root_id, 'scope:' || p.folder_id, 'scope:' || c.folder_id, provider
+  UNION ALL SELECT p.root_id, p.folder_id, c.folder_id, provider
   FROM edges e JOIN decls p ON p.ref = e.provider JOIN decls c ON c.ref = e.consumer WHERE p.root_id = c.root_id AND p.folder_id <> c.folder_id)
 GROUP BY ALL"""))
 def scope_children(spark, d):

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, name: str = "strandwork") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
