@@ -61,3 +61,8 @@ def graph(body: str, *more: str, recursive: bool = False) -> str:
 def tree(body: str, *more: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",".join([HOMES, *more]) + "\n" + body
+
+
+SRC = ("path IS NULL, path, CASE WHEN path IS NULL THEN 0 ELSE start_line END, "
+       "CASE WHEN path IS NULL THEN 0 ELSE coalesce(start_column, 0) END, CASE WHEN path IS NULL THEN 0 ELSE end_line END, "
+       "CASE WHEN path IS NULL THEN 0 ELSE coalesce(end_column, 0) END, ref")

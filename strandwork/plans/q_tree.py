@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandwork.operators import graph as G, iterate as I, tree as T
 from strandwork.operators.order_stats import positions
-from strandwork.plans.oracle_base import graph, tree
+from strandwork.plans.oracle_base import SRC, graph, tree
 from strandwork.plans.registry import query
 from strandwork.session import materialize
 from strandwork.sources import derived as D
@@ -110,7 +110,7 @@ def source_keys(spark, d):
 
 @query("f2_group_source_keys", tree("""
 SELECT DISTINCT ON (scope_id) scope_id, CASE WHEN path IS NULL THEN 1 ELSE 0 END AS class, coalesce(path, '') AS path, ref
-FROM decls ORDER BY scope_id, path IS NULL, path, start_line, coalesce(start_column, 0), end_line, coalesce(end_column, 0), ref"""))
+FROM decls ORDER BY scope_id, """ + SRC))
 def group_source_keys(spark, d):
     return D.decls(spark, d).groupBy("scope_id").agg(F.min(D.source_key()).alias("k")).select(
         "scope_id", "k.class", "k.path", "k.ref")
@@ -137,8 +137,7 @@ def dependency_layers(spark, d):
 
 
 @query("i4_layer_order", graph("""
-SELECT node, repo_key, row_number() OVER (PARTITION BY repo_key ORDER BY level, path IS NULL, path, start_line,
-  coalesce(start_column, 0), end_line, coalesce(end_column, 0), ref) - 1 AS pos
+SELECT node, repo_key, row_number() OVER (PARTITION BY repo_key ORDER BY level, """ + SRC + """) - 1 AS pos
 FROM (SELECT d.ref AS node, coalesce(max(lvl), 0) AS level FROM decls d LEFT JOIN deep ON deep.node = d.ref GROUP BY d.ref)
 JOIN decls ON ref = node""", WITHIN, """deep(node, lvl) AS (SELECT DISTINCT consumer, 1 FROM inner_edges
     UNION SELECT e.consumer, r.lvl + 1 FROM deep r JOIN inner_edges e ON e.provider = r.node)""", recursive=True))
@@ -281,33 +280,33 @@ def generated_owners(spark, d):
 COMPRESSED = """
 kid AS (SELECT n.node, n.parent, n.kind, count(k.node) AS kids, min(k.node) AS sole FROM nodes n LEFT JOIN nodes k ON k.parent = n.node GROUP BY ALL),
 wrap AS (SELECT node, parent, sole FROM kid WHERE kind = 'scope' AND kids = 1),
-down(node, at) AS (SELECT node, sole FROM wrap UNION ALL SELECT d.node, w.sole FROM down d JOIN wrap w ON w.node = d.at),
-up(node, at) AS (SELECT node, parent FROM wrap UNION ALL SELECT u.node, w.parent FROM up u JOIN wrap w ON w.node = u.at),
-fin AS (SELECT node, at FROM down WHERE at NOT IN (SELECT node FROM wrap)),
-top AS (SELECT k.node AS repo, coalesce(f.at, k.sole) AS gone FROM kid k LEFT JOIN fin f ON f.node = k.sole
-        WHERE k.kind = 'repo' AND k.kids = 1 AND coalesce(f.at, k.sole) NOT LIKE 'u:%')"""
+down(node, spot) AS (SELECT node, sole FROM wrap UNION ALL SELECT d.node, w.sole FROM down d JOIN wrap w ON w.node = d.spot),
+up(node, spot) AS (SELECT node, parent FROM wrap UNION ALL SELECT u.node, w.parent FROM up u JOIN wrap w ON w.node = u.spot),
+fin AS (SELECT node, spot FROM down WHERE spot NOT IN (SELECT node FROM wrap)),
+top AS (SELECT k.node AS repo, coalesce(f.spot, k.sole) AS gone FROM kid k LEFT JOIN fin f ON f.node = k.sole
+        WHERE k.kind = 'repo' AND k.kids = 1 AND coalesce(f.spot, k.sole) NOT LIKE 'u:%')"""
 
 
 @query("i16_compressed_tree", tree("""
-SELECT n.node, coalesce(t.repo, u.at, n.parent) AS parent, n.kind FROM nodes n
-LEFT JOIN (SELECT node, at FROM up WHERE at NOT IN (SELECT node FROM wrap)) u ON u.node = n.parent
-LEFT JOIN top t ON t.gone = coalesce(u.at, n.parent)
+SELECT n.node, coalesce(t.repo, u.spot, n.parent) AS parent, n.kind FROM nodes n
+LEFT JOIN (SELECT node, spot FROM up WHERE spot NOT IN (SELECT node FROM wrap)) u ON u.node = n.parent
+LEFT JOIN top t ON t.gone = coalesce(u.spot, n.parent)
 WHERE n.node NOT IN (SELECT node FROM wrap) AND n.node NOT IN (SELECT gone FROM top)""", TREE, COMPRESSED, recursive=True))
 def compressed_tree(spark, d):
     return T.compress(tree_nodes(spark, d))[0]
 
 
 @query("i16_aliases", tree("""
-SELECT f.node, coalesce(t.repo, f.at) AS survivor FROM (SELECT * FROM fin UNION ALL SELECT gone, gone FROM top) f
-LEFT JOIN top t ON t.gone = f.at""", TREE, COMPRESSED, recursive=True))
+SELECT f.node, coalesce(t.repo, f.spot) AS survivor FROM (SELECT * FROM fin UNION ALL SELECT gone, gone FROM top) f
+LEFT JOIN top t ON t.gone = f.spot""", TREE, COMPRESSED, recursive=True))
 def aliases(spark, d):
     return T.compress(tree_nodes(spark, d))[1]
 
 
 @query("d23_alias_resolution", tree("""
 SELECT c_custkey AS view, coalesce(a.survivor, 'n:' || c_nationkey) AS node FROM customer LEFT JOIN (
-  SELECT f.node, coalesce(t.repo, f.at) AS survivor FROM (SELECT * FROM fin UNION ALL SELECT gone, gone FROM top) f
-  LEFT JOIN top t ON t.gone = f.at) a ON a.node = 'n:' || c_nationkey""", TREE, COMPRESSED, recursive=True))
+  SELECT f.node, coalesce(t.repo, f.spot) AS survivor FROM (SELECT * FROM fin UNION ALL SELECT gone, gone FROM top) f
+  LEFT JOIN top t ON t.gone = f.spot) a ON a.node = 'n:' || c_nationkey""", TREE, COMPRESSED, recursive=True))
 def alias_resolution(spark, d):
     asked = D.table(spark, d, "customer").select(F.col("c_custkey").alias("view"), F.concat(F.lit("n:"), "c_nationkey").alias("node"))
     return asked.join(T.compress(tree_nodes(spark, d))[1], "node", "left").select("view", F.coalesce("survivor", "node").alias("node"))
