@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandwork.operators.iterate import waves
 from strandwork.operators.tree import shortest_paths
-from strandwork.session import materialize
+from strandwork.session import materialize, measured
 
 
 def _spread_minimum(state: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,10 +16,10 @@ def _spread_minimum(state: DataFrame, edges: DataFrame) -> DataFrame:
         told = state.where("fresh").join(edges, F.col("node") == F.col("provider")).groupBy(
             F.col("consumer").alias("node")).agg(F.min("label").alias("offer"))
         better = F.col("offer") < F.col("label")
-        state = materialize(state.join(told, "node", "left").select(
+        state, seen = measured(state.join(told, "node", "left").select(
             "node", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"),
-            F.coalesce(better, F.lit(False)).alias("fresh")))
-        if not state.where("fresh").take(1):
+            F.coalesce(better, F.lit(False)).alias("fresh")), fresh=F.count_if("fresh"))
+        if not seen["fresh"]:
             return state.select("node", "label")
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandwork.session import materialize
+from strandwork.session import materialize, measured
+
+# Below this many live nodes, rewriting the edge table costs more than it saves.
+REWRITE_FROM = 1_000_000
 
 
 def _empty(df: DataFrame) -> bool:
@@ -19,13 +22,13 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> Dat
     """
     cols = [*keys, "node"]
     frontier = materialize(seeds.select(*cols).distinct().withColumn("hops", F.lit(0)))
-    seen, parts, hop = frontier, 0, 0
+    seen, parts = frontier, 0
     while True:
-        hop += 1
-        step = frontier.select(*cols).join(edges, F.col("node") == F.col("provider")).select(
-            *keys, F.col("consumer").alias("node")).distinct()
-        frontier = materialize(step.join(seen.select(*cols), cols, "left_anti").withColumn("hops", F.lit(hop)))
-        if _empty(frontier):
+        # The hop number travels as data: a literal would make every round a newly compiled plan.
+        step = frontier.join(edges, F.col("node") == F.col("provider")).groupBy(
+            *keys, F.col("consumer").alias("node")).agg((F.first("hops") + 1).alias("hops"))
+        frontier, new = measured(step.join(seen.select(*cols), cols, "left_anti"), n=F.count("*"))
+        if not new["n"]:
             return seen
         seen = seen.unionAll(frontier)
         parts += 1
@@ -104,43 +107,43 @@ def waves(nodes: DataFrame, edges: DataFrame, carry: Column | None = None) -> Da
     none = F.lit(None).cast("array<bigint>")
     state = nodes.join(degree, "node", "left").join(loops, "node", "left").select(
         "node", rank.cast("long").alias("rank"),
-        (F.coalesce("left", F.lit(0)) + F.coalesce("self", F.lit(0))).cast("long").alias("left"), none.alias("best"))
+        (F.coalesce("left", F.lit(0)) + F.coalesce("self", F.lit(0))).cast("long").alias("left"), none.alias("best"), F.lit(0).alias("round"))
     own = F.array(F.col("rank"))
 
-    def released(df: DataFrame, level: int) -> DataFrame:
+    def released(df: DataFrame) -> DataFrame:
         kept = F.filter("best", lambda x: x > F.col("rank"))
         trail = F.when(F.col("best").isNull(), own).otherwise(F.concat(kept, own)) if with_trail else none
         ready = F.col("left") == 0
-        return df.select("node", "rank", "left", F.when(~ready, F.col("best")).alias("best"),
-                         F.when(ready, F.lit(level)).alias("level"), F.when(ready, trail).alias("trail"))
+        # The round number travels as data: a literal would make every round a newly compiled plan.
+        return df.select("node", "rank", "left", F.when(~ready, F.col("best")).alias("best"), "round",
+                         F.when(ready, F.col("round")).alias("level"), F.when(ready, trail).alias("trail"))
 
-    waiting = materialize(released(state, 0))
+    figures = {"size": F.count_if(F.col("level").isNotNull()), "rest": F.count_if(F.col("level").isNull())}
+    waiting, seen = measured(released(state), **figures)
     done: list[DataFrame] = []
-    level, total, gone = 0, max(1, waiting.count()), 0
-    while True:
-        wave = waiting.where(F.col("level") == level)
-        size = wave.count()
-        if size == 0:
-            break
+    total, gone = seen["size"] + seen["rest"], 0
+    while seen["size"]:
+        wave = waiting.where("level IS NOT NULL")
         done.append(wave)
         if len(done) % 16 == 0:
             merged = done[0]
             for d in done[1:]:
                 merged = merged.unionAll(d)
             done = [materialize(merged)]
-        gone += size
-        if gone * 2 > total:
+        gone += seen["size"]
+        if gone * 2 > total > REWRITE_FROM:
             # Most of what was live is released: rewrite only the edges still needed.
-            live = materialize(live.join(waiting.where("level IS NULL OR level = %d" % level)
-                                         .select(F.col("node").alias("provider")), "provider", "left_semi"))
-            total, gone = max(1, total - gone), 0
-        level += 1
+            live = materialize(live.join(waiting.select(F.col("node").alias("provider")), "provider", "left_semi"))
+            total, gone = total - gone, 0
+        if not seen["rest"]:
+            waiting = waiting.where("level IS NULL")
+            break
         told = wave.select(F.col("node").alias("provider"), "trail").join(live, "provider").groupBy(
             F.col("consumer").alias("node")).agg(F.count("*").alias("hits"), F.max("trail").alias("offer"))
         moved = waiting.where("level IS NULL").join(told, "node", "left").select(
             "node", "rank", (F.col("left") - F.coalesce("hits", F.lit(0))).alias("left"),
-            _greater("best", "offer").alias("best"))
-        waiting = materialize(released(moved, level))
+            _greater("best", "offer").alias("best"), (F.col("round") + 1).alias("round"))
+        waiting, seen = measured(released(moved), **figures)
     out = waiting.where("level IS NULL")
     for d in done:
         out = out.unionAll(d)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwork.operators.iterate import jump_to_root, reach
 from strandwork.operators.order_stats import positions
-from strandwork.session import materialize
+from strandwork.session import materialize, measured
 
 
 def root_paths(closure: DataFrame) -> DataFrame:
@@ -141,8 +141,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] =
     while True:
         step = front.join(edges, F.col("node") == F.col("provider")).select(
             *keys, F.col("consumer").alias("node"), F.concat("path", F.array("consumer")).alias("path"))
-        front = materialize(step.groupBy(*cols).agg(F.min("path").alias("path")).join(found.select(*cols), cols, "left_anti"))
-        if not front.take(1):
+        front, new = measured(step.groupBy(*cols).agg(F.min("path").alias("path")).join(found.select(*cols), cols, "left_anti"), n=F.count("*"))
+        if not new["n"]:
             return found
         found = materialize(found.unionAll(front))
 

@@ -10,7 +10,7 @@ from strandwork.plans.oracle_base import SRC, graph
 from strandwork.plans.q_graph import acyclic_pairs
 from strandwork.plans.q_tree import scope_tree, tree_nodes, unit_closure
 from strandwork.plans.registry import query
-from strandwork.session import materialize
+from strandwork.session import kept, materialize
 from strandwork.sources import derived as D
 
 PROBLEM = f"""
@@ -23,6 +23,10 @@ sp AS (SELECT pe.*, a.pos AS fp, b.pos AS tp, b.pos - a.pos AS span FROM pe JOIN
 
 def module_problem(spark, d):
     """One order problem per module: declarations by source key, edges inside the module, and the order by id."""
+    return kept(spark, ("module problem", d), lambda: _module_problem(spark, d))
+
+
+def _module_problem(spark, d):
     decls = D.decls(spark, d).select("ref", F.col("scope_id").alias("parent"), D.source_key().alias("k"))
     atom = F.col("ref").cast("string").alias("atom")
     atoms = materialize(positions(decls, ["parent"], ["k"], "rank").select("parent", atom, "rank", "ref"))
@@ -36,6 +40,15 @@ def module_problem(spark, d):
 
 def tree_problem(spark, d):
     """The order problems of all parents of the tree: sibling edges without those inside a cyclic group."""
+    return kept(spark, ("tree problem", d), lambda: _tree_problem(spark, d))
+
+
+def solved_tree(spark, d):
+    atoms, edges, _ = tree_problem(spark, d)
+    return atoms, edges, kept(spark, ("tree order", d), lambda: S.solve(atoms, edges))
+
+
+def _tree_problem(spark, d):
     _, closure = scope_tree(spark, d)
     paths = materialize(unit_closure(spark, d, closure))
     edges = T.sibling_edges(acyclic_pairs(spark, d), paths).select(
@@ -46,7 +59,7 @@ def tree_problem(spark, d):
     atoms = positions(kids, ["parent"], [F.col("k").asc_nulls_last(), F.col("node")], "rank").select("parent", F.col("node").alias("atom"), "rank")
     atoms = materialize(atoms)
     edges = materialize(edges)
-    return atoms, S.drop_cycle_edges(edges, atoms), edges
+    return atoms, materialize(S.drop_cycle_edges(edges, atoms)), edges
 
 
 @query("f4_source_displacement", graph("SELECT parent, sum(abs(pos - rank))::BIGINT AS displacement FROM prob GROUP BY parent", PROBLEM))
@@ -165,15 +178,13 @@ def adjacent(spark, d):
 @query("i17_sibling_order")
 def sibling_order(spark, d):
     """Positions of all siblings of all parents; checked in tests against a step-by-step solver."""
-    atoms, edges, _ = tree_problem(spark, d)
-    return S.solve(atoms, edges)["order"]
+    return solved_tree(spark, d)[2]["order"]
 
 
 @query("i18_order_gain")
 def order_gain(spark, d):
     """What single moves gained over the chosen start, per parent."""
-    atoms, edges, _ = tree_problem(spark, d)
-    out = S.solve(atoms, edges)
+    atoms, edges, out = solved_tree(spark, d)
     return S.distances(edges, out["start"]).select("parent", F.col("distance").alias("start_distance")).join(
         S.distances(edges, out["order"]).select("parent", "distance", "legal"), "parent")
 
@@ -197,8 +208,7 @@ def ready_widths(spark, d):
 @query("k7_order_comparison")
 def order_comparison(spark, d):
     """Start by source order against the solved order: distance, displacement, frontier sum."""
-    atoms, edges, _ = tree_problem(spark, d)
-    out = S.solve(atoms, edges)
+    atoms, edges, out = solved_tree(spark, d)
     a, b = (S.metrics(atoms, edges, out[k]).select("parent", F.col("distance").alias(f"{k}_distance"),
             F.col("displacement").alias(f"{k}_displacement"), F.col("frontier_area").alias(f"{k}_frontier")) for k in ("source", "order"))
     return a.join(b, "parent")
@@ -207,16 +217,14 @@ def order_comparison(spark, d):
 @query("k8_source_only_baseline")
 def source_only(spark, d):
     """How many positions differ between the source-order start and the solved order, per parent."""
-    atoms, edges, _ = tree_problem(spark, d)
-    out = S.solve(atoms, edges)
+    atoms, edges, out = solved_tree(spark, d)
     return out["source"].select("parent", "pos", F.col("atom").alias("a")).join(
         out["order"].select("parent", "pos", F.col("atom").alias("b")), ["parent", "pos"]).groupBy("parent").agg(
         F.count("*").alias("atoms"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
 
 
 def order_census_rows(spark, d):
-    atoms, edges, _ = tree_problem(spark, d)
-    out = S.solve(atoms, edges)
+    atoms, edges, out = solved_tree(spark, d)
     diff = out["source"].select("parent", "pos", F.col("atom").alias("a")).join(
         out["order"].select("parent", "pos", F.col("atom").alias("b")), ["parent", "pos"]).groupBy("parent").agg(
         F.count("*").alias("atoms"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
@@ -331,6 +339,10 @@ def protected_refs(spark, d):
 
 
 def helper_inputs(spark, d):
+    return kept(spark, ("helper inputs", d), lambda: _helper_inputs(spark, d))
+
+
+def _helper_inputs(spark, d):
     decls = D.decls(spark, d).withColumn("source_key", D.source_key()).withColumn(
         "size", (F.coalesce(F.length("statement_text"), F.lit(0)) + F.coalesce(F.length("proof_text"), F.lit(0))).cast("long"))
     decls = materialize(decls)

@@ -8,7 +8,7 @@ from strandwork.operators import graph as G, iterate as I, tree as T
 from strandwork.operators.order_stats import positions
 from strandwork.plans.oracle_base import SRC, graph, tree
 from strandwork.plans.registry import query
-from strandwork.session import materialize
+from strandwork.session import kept, materialize
 from strandwork.sources import derived as D
 
 TREE = """
@@ -58,8 +58,11 @@ def unit_closure(spark, d, closure):
 
 
 def full_closure(spark, d):
-    nodes = materialize(tree_nodes(spark, d))
-    return nodes, materialize(I.ancestors(nodes)[0])
+    def build():
+        nodes = materialize(tree_nodes(spark, d))
+        return nodes, materialize(I.ancestors(nodes)[0])
+
+    return kept(spark, ("closure", d), build)
 
 
 def placed_tree(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, name: str = "strandwork") -> SparkSession:
@@ -42,3 +42,21 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` plus aggregate figures taken while the table is written, without a second job."""
+    seen = Observation(uuid.uuid4().hex)
+    out = materialize(df.observe(seen, *[c.alias(n) for n, c in figures.items()]))
+    return out, seen.get
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, key: tuple, build):
+    """Build a set of written tables once per application and hand out the same tables afterwards."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
