@@ -81,7 +81,7 @@ def quartile_table(df: DataFrame, keys: Sequence[str], value: str, label: str, c
     v = F.col(value)
     bucket = (1 + (v > F.col("q1")).cast("int") + (v > F.col("q2")).cast("int") + (v > F.col("q3")).cast("int")).alias("quartile")
     return df.where(v.isNotNull()).join(cuts, list(keys)).select(*keys, bucket, label).groupBy(*keys, "quartile").pivot(
-        label, ["no", "uncertain", "yes"]).agg(F.count("*")).fillna(0, ["no", "uncertain", "yes"])
+        label, ["no", "uncertain", "yes"]).agg(F.count(F.lit(1))).fillna(0, ["no", "uncertain", "yes"])
 
 
 def stratified_sample(df: DataFrame, key: str, node: str, size: str, seed: str, per_group: int) -> DataFrame:

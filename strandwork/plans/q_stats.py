@@ -33,7 +33,7 @@ def agreement(spark, d):
 
 @query("e18_confusion", f"WITH {LABELS} SELECT first, count(*) FILTER (second = 'no') AS no, count(*) FILTER (second = 'uncertain') AS uncertain, count(*) FILTER (second = 'yes') AS yes FROM said GROUP BY first")
 def confusion(spark, d):
-    return D.labels(spark, d).groupBy("first").pivot("second", ["no", "uncertain", "yes"]).agg(F.count("*")).fillna(0)
+    return D.labels(spark, d).groupBy("first").pivot("second", ["no", "uncertain", "yes"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("e19_agreement_by_grouping_sets", _agree("project, stratum, grouping_id(project, stratum) AS level,", "GROUP BY GROUPING SETS ((), (stratum), (project), (project, stratum))"))
@@ -93,7 +93,7 @@ def average_ranks(spark, d):
 
 @query("e23_label_counts", f"""WITH {LABELS} SELECT source, count(*) FILTER (first = 'no') AS no, count(*) FILTER (first = 'uncertain') AS uncertain, count(*) FILTER (first = 'yes') AS yes FROM said GROUP BY source""")
 def label_counts(spark, d):
-    return D.labels(spark, d).groupBy("source").pivot("first", ["no", "uncertain", "yes"]).agg(F.count("*")).fillna(0)
+    return D.labels(spark, d).groupBy("source").pivot("first", ["no", "uncertain", "yes"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("e24_majority_share", f"""WITH {LABELS}, v AS (SELECT sample_id, first AS s FROM said UNION ALL SELECT sample_id, second FROM said UNION ALL
