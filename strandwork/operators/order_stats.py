@@ -16,14 +16,16 @@ from strandwork.session import materialize
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-            sums: dict[str, Column]) -> DataFrame:
-    """Add inclusive running totals ``sums`` inside ``keys`` along ``order``.
+            sums: dict[str, Column], fold: str = "sum") -> DataFrame:
+    """Add inclusive running totals (or running maxima) inside ``keys`` along ``order``.
 
     ``order`` must be a total order inside each group for the result to be
     repeatable.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     key_cols = [F.col(k) for k in keys]
+    agg = F.sum if fold == "sum" else F.max
+    zero = F.lit(0) if fold == "sum" else F.lit(None)
     staged = df.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
     staged = materialize(
         staged.repartitionByRange(*key_cols, *order).withColumn("__slab", F.spark_partition_id())
@@ -33,17 +35,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
         Window.unboundedPreceding, -1)
     totals = (
         staged.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slab").alias("__s"))
-        .agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+        .agg(*[agg(f"__v_{n}").alias(f"__t_{n}") for n in sums])
         .select(*[f"__k_{k}" for k in keys], "__s",
-                *[F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)).alias(f"__o_{n}") for n in sums])
+                *[F.coalesce(agg(f"__t_{n}").over(outer), zero).alias(f"__o_{n}") for n in sums])
     )
     match = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__slab") == F.col("__s")]
     cond = match[0]
     for m in match[1:]:
         cond = cond & m
-    local = staged.select("*", *[F.sum(f"__v_{n}").over(inner).alias(f"__l_{n}") for n in sums])
-    return local.join(totals, cond).select(
-        *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums])
+    local = staged.select("*", *[agg(f"__v_{n}").over(inner).alias(f"__l_{n}") for n in sums])
+    both = (lambda n: F.col(f"__l_{n}") + F.col(f"__o_{n}")) if fold == "sum" else (lambda n: F.greatest(f"__l_{n}", f"__o_{n}"))
+    return local.join(totals, cond).select(*df.columns, *[both(n).alias(n) for n in sums])
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

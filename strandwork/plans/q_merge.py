@@ -440,12 +440,12 @@ def projected_relations(spark, d):
 
 
 TOKENS = r"""
-words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[[:alpha:]]+')) AS word FROM benchmark),
+words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM benchmark),
 sym AS (SELECT item_id * 100000 + row_number() OVER (PARTITION BY item_id ORDER BY word) AS ref, item_id AS module, CASE WHEN item_id % 2 = 0 THEN 'N' || (item_id % 5) || '.' || word ELSE word END AS name, length(word) % 3 <> 0 AS public FROM words),
 imp AS (SELECT item_id AS m, item_id // 2 AS t FROM benchmark UNION SELECT item_id, item_id // 3 FROM benchmark),
 vis(m, t) AS (SELECT item_id, item_id FROM benchmark UNION SELECT v.m, i.t FROM vis v JOIN imp i ON i.m = v.t),
 nb AS (SELECT count(*) AS n FROM benchmark),
-tok AS (SELECT DISTINCT doc_id, doc_id % nb.n AS module, unnest(regexp_extract_all(text, '[[:alpha:]]+')) AS word FROM documents, nb),
+tok AS (SELECT DISTINCT doc_id, doc_id % nb.n AS module, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents, nb),
 hits AS (SELECT t.doc_id, t.word, x.tier, s.ref FROM tok t, (VALUES (0), (1), (2)) x(tier)
    JOIN sym s ON s.name = CASE x.tier WHEN 0 THEN 'N' || (t.doc_id % 5) || '.' || t.word WHEN 1 THEN t.word ELSE 'N' || ((t.doc_id + 1) % 5) || '.' || t.word END
    WHERE (s.public AND EXISTS (SELECT 1 FROM vis WHERE vis.m = t.module AND vis.t = s.module)) OR s.module = t.module),
