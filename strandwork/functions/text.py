@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # One segment of a dotted name, quoted or plain, and what splits lines.
 SEGMENT = r"(?:«[^»\n]+»|[\p{L}_][\p{L}\p{N}_'₀-₉]*)"
@@ -141,7 +142,7 @@ def _without_comments(text: str) -> str:
     return "\n".join(x for x in "".join(out).splitlines() if x.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_comments(texts: pd.Series) -> pd.Series:
     """Source without line comments, nested block comments and blank lines; nesting needs a counter, hence Python."""
     return texts.map(_without_comments, na_action="ignore")
