@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 # One segment of a dotted name, quoted or plain, and what splits lines.
@@ -40,20 +40,17 @@ def slice_lines(text: Column, start_line: Column, start_col: Column, end_line: C
     return F.substr(body, skip + 1, F.greatest(F.lit(0), F.length(body) - skip - cut))
 
 
-def tokens_with_columns(line: Column, pattern: str = NAME) -> Column:
-    """Array of (token, col): every match of a line with its 1-based column.
+def tokens_with_columns(lines: DataFrame, keys: list[str], line: str = "line", pattern: str = NAME) -> DataFrame:
+    """(keys, token, col): every match of every line with its 1-based column.
 
-    The gaps between matches and the matches themselves add up to the columns.
+    Matches and the gaps before them are laid side by side; their running length is
+    the column.  One line bounds the window.
     """
     found, gaps = F.regexp_extract_all(line, F.lit(f"({pattern})"), 1), F.split(line, pattern)
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<token:string,col:int>>").alias("out"))
-
-    def step(acc, i):
-        col = acc["at"] + F.length(F.get(gaps, i))
-        tok = F.get(found, i)
-        return F.struct((col + F.length(tok)).alias("at"), F.concat(acc["out"], F.array(F.struct(tok.alias("token"), col.alias("col")))).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda a: a["out"]))
+    pairs = lines.select(*keys, F.posexplode(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("token"))).alias("i", "p")).select(
+        *keys, "i", "p.gap", "p.token")
+    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return pairs.select(*keys, "token", (F.sum(F.length("gap") + F.length("token")).over(upto) - F.length("token") + 1).alias("col"))
 
 
 def name_parts(name: Column) -> Column:
@@ -99,7 +96,7 @@ def normal_path(path: Column) -> Column:
 def fnv_shard(name: Column) -> Column:
     """Shard of a name: FNV-1a over its UTF-8 bytes, modulo 256, folded in JVM expressions."""
     hexed = F.hex(F.encode(name, "UTF-8"))
-    at = F.sequence(F.lit(0), F.length(hexed) / 2 - 1)
+    at = F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int"))
     byte = lambda i: F.conv(F.substr(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
     mask = F.lit(0xFFFFFFFF)
     full = F.aggregate(F.transform(at, byte), F.lit(FNV_START).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(mask))

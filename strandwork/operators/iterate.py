@@ -36,27 +36,36 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> Dat
             seen = materialize(seen)
 
 
-def ancestors(nodes: DataFrame, node: str = "node", parent: str = "parent") -> tuple[DataFrame, DataFrame]:
-    """Ancestor closure (node, ancestor, depth >= 0) of a parent-pointer forest, and rows on cycles.
+def ancestors(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """Ancestor closure (node, ancestor, depth >= 0) of a parent-pointer forest.
 
     Pairs at distance up to 2^k give those up to 2^(k+1), so a forest of depth d
-    takes log2(d) joins.  A walk longer than the number of nodes is a cycle.
+    takes log2(d) joins.  A node above itself is a cycle and an error; see
+    ``parent_cycles`` for a report.
     """
     known = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor IS NOT NULL")
-    known = materialize(known.join(nodes.select(F.col(node).alias("ancestor")), "ancestor", "left_semi")
-                        .select("node", "ancestor", F.lit(1).cast("long").alias("depth")))
-    size, reachd = nodes.count(), 1
-    while True:
+    known = known.join(nodes.select(F.col(node).alias("ancestor")), "ancestor", "left_semi").select(
+        "node", "ancestor", F.lit(1).cast("long").alias("depth"))
+    figures = {"longest": F.max("depth"), "loops": F.count_if(F.col("node") == F.col("ancestor"))}
+    known, seen = measured(known, **figures)
+    reachd = 1
+    while seen["longest"] == reachd:
         longest = known.where(F.col("depth") == reachd)
-        if _empty(longest) or reachd > size:
-            break
         more = longest.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(
             F.col("a.node"), F.col("b.ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        known = materialize(known.unionAll(more))
+        known, seen = measured(known.unionAll(more), **figures)
+        if seen["loops"]:
+            raise ValueError("parent pointers run in a circle")
         reachd *= 2
-    looped = known.where(F.col("node") == F.col("ancestor")).select("node").distinct()
     own = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).cast("long").alias("depth"))
-    return own.unionAll(known.where(F.col("depth") <= size)), looped
+    return own.unionAll(known)
+
+
+def parent_cycles(nodes: DataFrame) -> DataFrame:
+    """Nodes of ``nodes(node, parent)`` on a parent cycle or below one."""
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("k"))
+    ends = jump_to_root(nodes.join(known, "parent", "left").select("node", F.when(F.col("k"), F.col("parent")).alias("target")))
+    return ends.where("root IS NULL").select("node")
 
 
 def jump_to_root(nodes: DataFrame) -> DataFrame:

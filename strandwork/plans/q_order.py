@@ -363,7 +363,7 @@ def hierarchy(spark, d):
                                        F.when(F.col("parent").isNull(), "repo").otherwise("scope").alias("kind"))
     kept, _ = T.compress(scopes.unionAll(units))
     kept = materialize(kept)
-    closure = materialize(I.ancestors(kept)[0])
+    closure = materialize(I.ancestors(kept))
     paths = materialize(T.root_paths(closure).select(F.col("node").alias("unit"), "path").join(
         owner.select("ref", F.concat(F.lit("u:"), "owner").alias("unit")), "unit").select("ref", "path"))
     full = materialize(T.sibling_edges(edges, paths).select(

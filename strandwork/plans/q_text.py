@@ -62,10 +62,9 @@ SELECT doc_id, sum(len(f))::BIGINT AS tokens, coalesce(sum(list_sum([list_sum([l
 FROM t GROUP BY doc_id""")
 def tokens(spark, d):
     """Tokens per document and the sum of their columns."""
-    found = D.lines(spark, d).select("doc_id", X.tokens_with_columns(F.col("line"), r"\p{L}+").alias("t"))
-    return found.groupBy("doc_id").agg(
-        F.sum(F.coalesce(F.size("t"), F.lit(0)) * F.col("t").isNotNull().cast("int")).alias("tokens"),
-        F.sum(F.coalesce(F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["col"]), F.lit(0))).alias("columns"))
+    found = X.tokens_with_columns(D.lines(spark, d), ["doc_id", "line_no"], "line", r"\p{L}+").groupBy("doc_id").agg(
+        F.count("*").alias("tokens"), F.sum("col").alias("columns"))
+    return docs(spark, d).select("doc_id").join(found, "doc_id", "left").fillna(0, ["tokens", "columns"])
 
 
 @query("b8_name_parts", tree("SELECT ref, part FROM (SELECT ref, unnest(string_split(replace(name, '#', '.'), '.')) AS part FROM decls) WHERE NOT regexp_matches(part, '^[0-9]')"))

@@ -47,7 +47,7 @@ def tree_nodes(spark, d):
 def scope_tree(spark, d):
     """The scopes alone and their ancestor closure (small next to the declarations)."""
     scopes = D.scopes(spark, d).select(F.col("scope_id").alias("node"), "parent")
-    return scopes, I.ancestors(scopes)[0]
+    return scopes, I.ancestors(scopes)
 
 
 def unit_closure(spark, d, closure):
@@ -60,7 +60,7 @@ def unit_closure(spark, d, closure):
 def full_closure(spark, d):
     def build():
         nodes = materialize(tree_nodes(spark, d))
-        return nodes, materialize(I.ancestors(nodes)[0])
+        return nodes, materialize(I.ancestors(nodes))
 
     return kept(spark, ("closure", d), build)
 
