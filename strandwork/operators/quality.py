@@ -25,9 +25,9 @@ def missing_refs(df: DataFrame, column: str, known: DataFrame, rule: str) -> Dat
 
 def set_difference(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, side) of rows on one side only, in one pass over both."""
-    both = expected.select(*keys, F.lit(1).alias("e"), F.lit(0).alias("a")).unionAll(actual.select(*keys, F.lit(0), F.lit(1)))
-    return both.groupBy(*keys).agg(F.max("e").alias("e"), F.max("a").alias("a")).where("e <> a").select(
-        *keys, F.when(F.col("e") == 1, "missing").otherwise("unexpected").alias("side"))
+    both = expected.select(*keys, F.lit(1).alias("__e"), F.lit(0).alias("__a")).unionAll(actual.select(*keys, F.lit(0), F.lit(1)))
+    return both.groupBy(*keys).agg(F.max("__e").alias("__e"), F.max("__a").alias("__a")).where("__e <> __a").select(
+        *keys, F.when(F.col("__e") == 1, "missing").otherwise("unexpected").alias("side"))
 
 
 def chunk_report(chunks: DataFrame, key: str, index: str, count: str, meta: Sequence[str]) -> DataFrame:

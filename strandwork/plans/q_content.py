@@ -111,9 +111,9 @@ def text_page(spark, d):
 @query("l8_overview", graph("""
 SELECT a.view, a.node AS from_node, b.node AS to_node, count(*) AS pair_count FROM edges e
 JOIN closure p ON p.node = 'u:' || e.provider JOIN front a ON a.node = p.ancestor JOIN closure c ON c.node = 'u:' || e.consumer JOIN front b ON b.node = c.ancestor AND b.view = a.view
-WHERE a.node <> b.node AND a.view % 10 = 0 GROUP BY ALL""", TREE, CLOSURE, VIEWS, recursive=True))
+WHERE a.node <> b.node GROUP BY ALL""", TREE, CLOSURE, VIEWS, recursive=True))
 def overview(spark, d):
-    """Edges between the frontier nodes of each tenth reader's view.
+    """Edges between the frontier nodes of every view.
 
     Edges are folded once to every pair of tree nodes on the two root paths that a
     frontier can pick, so a view joins node pairs and never base edges.
@@ -121,7 +121,6 @@ def overview(spark, d):
     from strandwork.plans.q_features import parted
 
     _, front = shown_and_front(spark, d)
-    front = materialize(front.where("view % 10 = 0"))
     _, p = parted(spark, d)
     rest = lambda c: F.slice(F.col(c), F.col("k") + 1, F.size(c))
     used = front.select("node").distinct()
@@ -132,10 +131,10 @@ def overview(spark, d):
     return pairs.join(a, "from_node").join(b, ["view", "to_node"]).select("view", "from_node", "to_node", "pair_count")
 
 
-@query("l9_inspected_members", tree("SELECT scope_id, ref, name, row_number() OVER (PARTITION BY scope_id ORDER BY name, ref) - 1 AS at, count(*) OVER (PARTITION BY scope_id) AS total FROM decls QUALIFY at < 5"))
+@query("l9_inspected_members", tree("SELECT scope_id, ref, name, row_number() OVER (PARTITION BY scope_id ORDER BY name, ref) - 1 AS place, count(*) OVER (PARTITION BY scope_id) AS total FROM decls QUALIFY place < 5"))
 def inspected_members(spark, d):
     rows = D.decls(spark, d).select("scope_id", "ref", "name")
-    return C.page(rows, ["scope_id"], ["name", "ref"], 0, 5).select("scope_id", "ref", "name", "at", "total")
+    return C.page(rows, ["scope_id"], ["name", "ref"], 0, 5).select("scope_id", "ref", "name", "place", "total")
 
 
 @query("l9_inspected_lines", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE line_no BETWEEN 2 AND 4")
@@ -199,11 +198,11 @@ def group_preview(spark, d):
 
 
 @query("g1_card_page", tree("""
-SELECT scope_id, ref, at, total, CASE WHEN total > 8 THEN 8 END AS next_offset FROM (SELECT scope_id, ref, row_number() OVER (PARTITION BY scope_id ORDER BY CASE WHEN outcome THEN 0 WHEN local_public THEN 1 ELSE 2 END, ref) - 1 AS at,
- count(*) OVER (PARTITION BY scope_id) AS total FROM decls) WHERE at >= 3 AND at < 8"""))
+SELECT scope_id, ref, place, total, CASE WHEN total > 8 THEN 8 END AS next_offset FROM (SELECT scope_id, ref, row_number() OVER (PARTITION BY scope_id ORDER BY CASE WHEN outcome THEN 0 WHEN local_public THEN 1 ELSE 2 END, ref) - 1 AS place,
+ count(*) OVER (PARTITION BY scope_id) AS total FROM decls) WHERE place >= 3 AND place < 8"""))
 def card_page(spark, d):
     rows = D.decls(spark, d).select("scope_id", "ref", F.when(F.col("outcome"), 0).when(F.col("local_public"), 1).otherwise(2).alias("tier"))
-    return C.page(rows, ["scope_id"], ["tier", "ref"], 3, 5).select("scope_id", "ref", "at", "total", "next_offset")
+    return C.page(rows, ["scope_id"], ["tier", "ref"], 3, 5).select("scope_id", "ref", "place", "total", "next_offset")
 
 
 @query("g2_cursor_page", tree("""

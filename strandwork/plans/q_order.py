@@ -195,8 +195,7 @@ def protected_relations(spark, d):
     atoms, edges, _ = module_problem(spark, d)
     rel = adjacent_pairs(atoms, ["parent"], ["rank"], "atom").select(
         "parent", F.col("pos").alias("seq"), F.col("before").alias("provider"), F.col("after").alias("consumer"))
-    # Only the first two neighbours of each module are declared protected.
-    return S.accept_protected(atoms, edges, rel.where("seq < 2"))
+    return S.accept_protected(atoms, edges, rel)
 
 
 @query("e33_ready_widths")

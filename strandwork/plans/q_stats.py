@@ -143,9 +143,9 @@ def paired_judgements(spark, d):
 
 
 @query("c7_sample_population", """
-SELECT doc_id, lang, n_chars FROM documents WHERE n_chars BETWEEN 200 AND 20000 AND doc_id % 13 <> 0""")
+SELECT doc_id, lang, n_chars FROM documents WHERE n_chars BETWEEN 200 AND 20000 AND source <> 'src13'""")
 def sample_population(spark, d):
-    return D.table(spark, d, "documents").where("n_chars BETWEEN 200 AND 20000 AND doc_id % 13 <> 0").select("doc_id", "lang", "n_chars")
+    return D.table(spark, d, "documents").where("n_chars BETWEEN 200 AND 20000 AND source <> 'src13'").select("doc_id", "lang", "n_chars")
 
 
 @query("g7_stratified_sample", """
