@@ -11,6 +11,11 @@ from strandwork.streaming import appends, jobs, readers
 from strandwork.streaming.common import drain, drain_last, source
 
 
+def events(spark, d):
+    """The event stream with an event-time column of the type watermarks need."""
+    return source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("n1_resumed_record_stream", "SELECT event_type, count(*) AS records FROM events GROUP BY event_type")
 def resumed_stream(spark, d):
     """Records read as a stream; the checkpoint is the place to resume from."""
@@ -31,7 +36,7 @@ def complete_files(spark, d):
 
 @query("n3_idempotent_appends", "SELECT user_id * 10 + length(event_type) AS request_key, 1::BIGINT AS n FROM events GROUP BY ALL")
 def idempotent_appends(spark, d):
-    stream = source(spark, d, "events").select((F.col("user_id") * 10 + F.length("event_type")).alias("request_key"), "ts", "event_id")
+    stream = events(spark, d).select((F.col("user_id") * 10 + F.length("event_type")).alias("request_key"), "ts", "event_id")
     stored = appends.append_once(stream, "request_key", "ts", "1 hour", "appends")
     return stored.groupBy("request_key").agg(F.count("*").alias("n"))
 
@@ -87,7 +92,7 @@ def compare_and_swap(spark, d):
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS exposures, round(sum(value), 2) AS amount FROM events GROUP BY ALL""")
 def exposure_windows(spark, d):
     """Hourly exposures; the running result is complete, so windows still open at the end count too."""
-    return drain_last(readers.exposure_windows(source(spark, d, "events")), "windows")
+    return drain_last(readers.exposure_windows(events(spark, d)), "windows")
 
 
 @query("n8_closed_windows", """
@@ -95,7 +100,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS exposu
 WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""")
 def closed_windows(spark, d):
     """Only windows that the watermark has passed are appended."""
-    return drain(readers.exposure_windows(source(spark, d, "events")), "closed").select("start", "event_type", "exposures")
+    return drain(readers.exposure_windows(events(spark, d)), "closed").select("start", "event_type", "exposures")
 
 
 @query("n9_sibling_group_jobs")

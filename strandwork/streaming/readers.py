@@ -41,7 +41,7 @@ def expansion_sets(touch: DataFrame, closure: DataFrame) -> DataFrame:
 def exposure_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(
         F.count("*").alias("exposures"), F.sum("value").alias("amount")).select(
-        F.col("window.start").alias("start"), "event_type", "exposures", F.round("amount", 2).alias("amount"))
+        F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "exposures", F.round("amount", 2).alias("amount"))
 
 
 VIEW_OUT = "reader long, seq long, status string, view long"
