@@ -152,3 +152,27 @@ def resolve_tokens(tokens: DataFrame, symbols: DataFrame, visible: DataFrame) ->
     best = tier.groupBy("item", "token").agg(F.min(found).alias("b"))
     return best.select("item", "token", F.when(F.col("b").isNull(), "unresolved").when(F.col("b.lo") < F.col("b.hi"), "ambiguous").otherwise("edge").alias("status"),
                        F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias("ref"))
+
+
+def type_head(text: Column) -> Column:
+    """First name of a type text; null when it starts with a bracket or has an operator outside brackets."""
+    flat = text
+    for _ in range(6):
+        # Each pass removes the innermost brackets.
+        flat = F.regexp_replace(flat, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", " ")
+    plain = ~text.rlike(r"^\s*[(\[{_∀]") & ~flat.rlike(r"→|->|[=≤≥<>∈∉≠↔∧∨]")
+    return F.when(plain, F.nullif(F.regexp_extract(text, r"^\s*([\p{L}_][^\s()\[\]{}]*)", 1), F.lit("")))
+
+
+def method_calls(calls: DataFrame, symbols: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Outcome of ``Type.method`` calls: one confirmed candidate is an edge.
+
+    ``calls(module, method)`` with the resolved receiver type, ``symbols(ref, name)``,
+    ``parameters(ref, head)``.  Candidates are folded per name and receiver first.
+    """
+    takes = parameters.distinct().withColumn("takes", F.lit(True))
+    heads = symbols.withColumn("head", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)).join(takes, ["ref", "head"], "left")
+    folded = heads.groupBy("name").agg(F.count("*").alias("n"), F.count("takes").alias("ok"), F.min(F.when(F.col("takes"), F.col("ref"))).alias("ref"))
+    met = calls.withColumn("name", F.concat("module", F.lit("."), "method")).join(folded, "name", "left")
+    return met.select("module", "method", F.when(F.col("n").isNull(), "unresolved").when(F.col("ok") == 0, "method_signature_unknown")
+                      .when(F.col("ok") == 1, "edge").otherwise("ambiguous").alias("status"), F.when(F.col("ok") == 1, F.col("ref")).alias("ref"))

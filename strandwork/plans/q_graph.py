@@ -278,3 +278,9 @@ def scope_children(spark, d):
 
     _, closure = scope_tree(spark, d)
     return sibling_edges(acyclic_pairs(spark, d), unit_closure(spark, d, closure))
+
+
+@query("d11_edge_owners", graph("""
+SELECT provider, consumer, p.scope_id AS from_grp, c.scope_id AS to_grp FROM edges JOIN decls p ON p.ref = provider JOIN decls c ON c.ref = consumer"""))
+def edge_owners(spark, d):
+    return G.owned(acyclic_pairs(spark, d), D.decls(spark, d).select("ref", F.col("scope_id").alias("grp"))).select("provider", "consumer", "from_grp", "to_grp")

@@ -163,13 +163,14 @@ def paired_run_audit(spark, d):
 
 
 @query("m15_csr_consistency", """
-SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN 'length_mismatch' WHEN conv_id % 4 = 2 THEN 'malformed' END AS code FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 IN (1, 2)""")
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'length_mismatch' WHEN doc_id % 4 = 2 THEN 'malformed' END AS code FROM documents WHERE doc_id % 4 IN (1, 2)""")
 def csr_consistency(spark, d):
-    turns = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    """Offset and target arrays of every document, some with a target too many, some cut off."""
+    docs = D.table(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
     ints = lambda hi: F.array_join(F.transform(F.sequence(F.lit(0), hi), lambda i: i.cast("string")), ",")
-    k = F.col("conv_id") % 4
+    k = F.col("doc_id") % 4
     text = F.concat(F.lit("window.EDGES={off:["), ints(F.col("n")), F.lit("],dst:["), ints(F.when(k == 1, F.col("n")).otherwise(F.col("n") - 1)), F.when(k == 2, F.lit("]}oops")).otherwise(F.lit("]};")))
-    return P.csr_violations(turns.select("conv_id", text.alias("text")), "conv_id", "text", "EDGES")
+    return P.csr_violations(docs.select("doc_id", text.alias("text")), "doc_id", "text", "EDGES")
 
 
 @query("m16_profile_checks", """

@@ -98,9 +98,12 @@ def compiled(spark, d):
     """Declarations as compiled rows: providers by evidence kind, kinds as theorem or definition."""
     from strandwork.operators.graph import distinct_evidence
 
-    ev = distinct_evidence(D.occurrences(spark, d)).groupBy(F.col("consumer").alias("ref")).agg(
-        F.collect_set(F.when(F.col("evidence_kind") == "lean_type", F.col("provider"))).alias("type_deps"),
-        F.collect_set(F.when(F.col("evidence_kind") == "lean_value", F.col("provider"))).alias("value_deps"))
+    one = distinct_evidence(D.occurrences(spark, d)).select(F.col("consumer").alias("ref"), "evidence_kind", "provider").distinct()
+    # A compiled row may be continued in further rows, so its arrays stay bounded however many providers it has.
+    part = positions(one, ["ref"], ["evidence_kind", "provider"], "at").withColumn("part", F.floor(F.col("at") / 1000))
+    ev = part.groupBy("ref", "part").agg(
+        F.collect_list(F.when(F.col("evidence_kind") == "lean_type", F.col("provider"))).alias("type_deps"),
+        F.collect_list(F.when(F.col("evidence_kind") == "lean_value", F.col("provider"))).alias("value_deps"))
     return D.decls(spark, d).select("ref", "module", F.when(F.col("kind").isin("PROMO", "ECONOMY"), "theorem").otherwise("def").alias("kind")).join(ev, "ref").withColumnRenamed("ref", "name")
 
 

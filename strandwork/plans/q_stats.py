@@ -225,13 +225,14 @@ def content_completeness(spark, d):
 
 
 @query("e35_unit_fact_sets", tree("""
-SELECT ref, 'moved' AS difference FROM (SELECT ref, scope_id FROM decls EXCEPT SELECT d.ref, coalesce(g.scope_id, d.scope_id) FROM decls d LEFT JOIN decls g ON g.ref = d.generated_from AND g.ref % 20 = 0)"""))
+SELECT ref, CASE WHEN a IS NULL THEN 'unexpected' ELSE 'missing' END AS side FROM (SELECT ref, scope_id AS a FROM decls WHERE generated_from IS NULL) FULL JOIN (SELECT ref, scope_id AS b FROM decls WHERE NOT technical OR outcome) USING (ref)
+WHERE a IS NULL OR b IS NULL"""))
 def unit_fact_sets(spark, d):
+    """Units of two trees over the same facts: owners by generation against everything that is not technical."""
+    from strandwork.operators.quality import set_difference
+
     decls = D.decls(spark, d)
-    owner = decls.where("ref % 20 = 0").select(F.col("ref").alias("generated_from"), F.col("scope_id").alias("other"))
-    second = decls.select("ref", "scope_id", "generated_from").join(owner, "generated_from", "left").select(
-        "ref", F.coalesce("other", "scope_id").alias("scope_id"))
-    return decls.select("ref", "scope_id").join(second, ["ref", "scope_id"], "left_anti").select("ref", F.lit("moved").alias("difference"))
+    return set_difference(decls.where("generated_from IS NULL").select("ref"), decls.where("NOT technical OR outcome").select("ref"), ["ref"])
 
 
 @query("e17_order_experiment", tree("""

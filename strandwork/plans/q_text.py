@@ -211,20 +211,15 @@ def provisional_ids(spark, d):
     return rows.join(twice, "id").select("ref", "id", (F.col("n") > 1).alias("duplicate"))
 
 
-@query("a13_published_graph", """
-SELECT conv_id AS source, turn AS at, turn * 3 + conv_id % 7 AS target FROM conversations""")
+@query("a13_published_graph", f"""WITH {LINES} SELECT doc_id, line_no - 1 AS node, (line_no - 1) * 3 + doc_id % 7 AS target FROM lines""")
 def published_graph(spark, d):
-    """Adjacency published as offsets and targets per conversation, read back into edges."""
+    """Adjacency published as offsets and targets per document (one target per line), read back into edges."""
     from strandwork.sources.published import csr_edges
 
-    turns = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t"))
-    # One node per turn with one target each, written as the site writes its arrays.
-    off = F.array_join(F.transform(F.sequence(F.lit(0), F.size("t")), lambda i: i.cast("string")), ",")
-    dst = F.array_join(F.transform("t", lambda x: (x * 3 + F.col("conv_id") % 7).cast("string")), ",")
-    text = turns.select("conv_id", F.concat(F.lit("window.EDGES={off:["), off, F.lit("],dst:["), dst, F.lit("]};")).alias("text"))
-    e = csr_edges(text, "conv_id", "text", "EDGES").select("conv_id", "node", "target")
-    return e.join(turns.select("conv_id", F.posexplode("t").alias("node", "turn")), ["conv_id", "node"]).select(
-        F.col("conv_id").alias("source"), F.col("turn").alias("at"), "target")
+    lines = docs(spark, d).select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    ints = lambda hi, f: F.array_join(F.transform(F.sequence(F.lit(0), hi), lambda i: f(i).cast("string")), ",")
+    text = F.concat(F.lit("window.EDGES={off:["), ints(F.col("n"), lambda i: i), F.lit("],dst:["), ints(F.col("n") - 1, lambda i: i * 3 + F.col("doc_id") % 7), F.lit("]};"))
+    return csr_edges(lines.select("doc_id", text.alias("text")), "doc_id", "text", "EDGES")
 
 
 @query("a14_callback_shards", r"""
@@ -270,15 +265,17 @@ def section_landmarks(spark, d):
     return marked_lines(spark, d).select("doc_id", F.explode(F.regexp_extract_all("line", F.lit("`([^`]+)`"), 1)).alias("name")).distinct()
 
 
-@query("a17_alignment_entries", tree("""
-SELECT e.entry, e.name, d.ref IS NOT NULL AS bound FROM (SELECT DISTINCT l_orderkey AS entry, l_partkey AS name FROM lineitem WHERE l_partkey % 3 <> 0) e LEFT JOIN (SELECT ref FROM decls WHERE local_public) d ON d.ref = e.name"""))
+@query("a17_alignment_entries", r"""
+WITH e AS (SELECT DISTINCT page_id AS entry, unnest(regexp_extract_all(html, 'href="/([^";]*)"', 1)) AS name FROM pages),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS name FROM benchmark), k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS name FROM conversations)
+SELECT e.entry, e.name, k.name IS NOT NULL AS bound FROM e JOIN w ON w.name = e.name LEFT JOIN k ON k.name = e.name""")
 def alignment_entries(spark, d):
     """Entries that list several names in one field, split, filtered by an allow-list and bound."""
-    entries = D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(F.array_join(F.collect_set(F.col("l_partkey").cast("string")), "; ").alias("names"))
-    names = entries.select("entry", F.explode(F.split("names", r"\s*;\s*")).alias("name")).withColumn("name", F.col("name").cast("long"))
-    allowed = D.table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("name"))
-    known = D.decls(spark, d).where("local_public").select(F.col("ref").alias("name"), F.lit(True).alias("hit"))
-    return names.join(allowed, "name", "left_semi").join(known, "name", "left").select("entry", "name", F.col("hit").isNotNull().alias("bound"))
+    words = lambda t: D.table(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("name")).distinct()
+    field = F.array_join(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="/([^";]*)"'), 1)), "; ")
+    names = D.table(spark, d, "pages").select(F.col("page_id").alias("entry"), F.explode(F.split(field, r"\s*;\s*")).alias("name")).distinct()
+    known = words("conversations").withColumn("hit", F.lit(True))
+    return names.join(words("benchmark"), "name", "left_semi").join(known, "name", "left").select("entry", "name", F.col("hit").isNotNull().alias("bound"))
 
 
 @query("a18_text_sections", rf"""WITH {LINES}, s AS (SELECT *, sum((length(line) < 60)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, max((length(line) < 60)::INT) OVER (PARTITION BY doc_id) AS any_h FROM lines)
@@ -396,15 +393,16 @@ def attached_materials(spark, d):
 
 
 @query("a24_combined_materials", """
-WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || turn AS record, CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || '/' || (turn - 1) END AS parent, sha256(text) AS own FROM conversations),
-c(record, chain) AS (SELECT record, own FROM r WHERE turn = 0 UNION ALL SELECT r.record, c.chain || '/' || r.own FROM c JOIN r ON r.parent = c.record)
-SELECT record, sha256(chain) AS new_id FROM c""")
+WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || turn AS record, CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || '/' || (turn - 1) END AS parent,
+  ('0x' || substr(sha256(text), 1, 7))::BIGINT AS own FROM conversations),
+c(record, h) AS (SELECT record, own FROM r WHERE turn = 0 UNION ALL SELECT r.record, (c.h * 1000003 + r.own) % 2147483647 FROM c JOIN r ON r.parent = c.record)
+SELECT record, sha256(record || ':' || h) AS new_id FROM c""")
 def combined_materials(spark, d):
     """Conversation turns as nested records: the id of a record covers the chain above it."""
     name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit("/"), t.cast("string"))
     turn = F.col("turn")
     rows = D.table(spark, d, "conversations").select(name(turn).alias("record"), F.when(turn > 0, name(turn - 1)).alias("parent"), F.col("text").alias("body"))
-    return MT.closure_rebased(materialize(rows))
+    return MT.rebased(materialize(rows))
 
 
 @query("a25_published_kinds", tree("SELECT ref, 'theorem' AS kind, 'published' AS origin FROM decls WHERE outcome"))
@@ -478,3 +476,39 @@ def interval_union(spark, d):
     before = upto.select("path", (F.col("i") + 1).alias("i"), F.col("m").alias("prev"))
     return upto.join(before, ["path", "i"], "left").groupBy("path").agg(
         F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("prev", F.lit(0))))).alias("size"))
+
+
+@query("b19_line_contexts", f"""WITH {LINES} SELECT doc_id, line_no, CASE WHEN (line_no - 1) % 9 < 2 OR (line_no - 1) % 9 IN (4, 5) THEN 'A' || (line_no - (line_no - 1) % 9)
+ WHEN (line_no - 1) % 9 IN (2, 3) THEN 'A' || (line_no - (line_no - 1) % 9) || '.B' || (line_no - (line_no - 1) % 9 + 2) ELSE '' END AS namespace FROM lines""")
+def line_contexts(spark, d):
+    """Namespace at every line, from opening and closing commands on fixed lines."""
+    r = (F.col("line_no") - 1) % 9
+    command = (F.when(r == 0, F.concat(F.lit("namespace A"), "line_no")).when(r == 2, F.concat(F.lit("namespace B"), "line_no"))
+               .when(r.isin(4, 6), F.lit("end")).otherwise(F.lit("x")))
+    return MT.namespaces(D.lines(spark, d).select("doc_id", "line_no", command.alias("line")))
+
+
+@query("d26_type_heads", tree("""
+SELECT ref, scope_id AS head FROM decls WHERE start_line % 4 IN (0, 3)"""))
+def type_heads(spark, d):
+    """Head declaration of a type text, unless an operator at the top level makes it a compound."""
+    r = F.col("start_line") % 4
+    text = F.concat(F.when(r == 2, "(").otherwise(""), "module", F.when(r == 0, " (a -> [b = c])").when(r == 1, " -> (x)").when(r == 2, ") y").otherwise(""))
+    modules = D.scopes(spark, d).where("kind = 'module'").select(F.col("name").alias("token"), F.col("scope_id").alias("head"))
+    heads = M.unique_by(modules, ["token"], "head", "only").withColumnRenamed("only", "head")
+    return D.decls(spark, d).select("ref", M.type_head(text).alias("token")).where("token IS NOT NULL").join(heads, "token").select("ref", "head")
+
+
+@query("d17_method_lookup", tree("""
+WITH cand AS (SELECT module || '.' || kind AS name, ref, path IS NOT NULL AND local_public AS takes FROM decls), call AS (SELECT DISTINCT module, CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'ECONOMY' END AS method
+  FROM lineitem JOIN homes ON s_suppkey = l_suppkey)
+SELECT module, method, CASE WHEN count(ref) = 0 THEN 'unresolved' WHEN count(ref) FILTER (takes) = 0 THEN 'method_signature_unknown' WHEN count(ref) FILTER (takes) = 1 THEN 'edge' ELSE 'ambiguous' END AS status
+FROM call LEFT JOIN cand ON cand.name = module || '.' || method GROUP BY ALL"""))
+def method_lookup(spark, d):
+    """``Type.method`` calls: candidates by name, confirmed when a parameter is of the receiver's type."""
+    homes = D.homes(spark, d).select(F.col("s_suppkey").alias("l_suppkey"), "module")
+    calls = D.table(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_linestatus") == "O", "PROMO").otherwise("ECONOMY").alias("method")).distinct().join(homes, "l_suppkey").select("module", "method")
+    decls = D.decls(spark, d)
+    symbols = decls.select("ref", F.concat("module", F.lit("."), "kind").alias("name"))
+    params = decls.where("path IS NOT NULL AND local_public").select("ref", F.col("module").alias("head"))
+    return M.method_calls(calls, symbols, params).select("module", "method", "status")
