@@ -500,10 +500,10 @@ def type_heads(spark, d):
 
 
 @query("d17_method_lookup", tree("""
-WITH cand AS (SELECT module || '.' || kind AS name, ref, path IS NOT NULL AND local_public AS takes FROM decls), call AS (SELECT DISTINCT module, CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'ECONOMY' END AS method
-  FROM lineitem JOIN homes ON s_suppkey = l_suppkey)
 SELECT module, method, CASE WHEN count(ref) = 0 THEN 'unresolved' WHEN count(ref) FILTER (takes) = 0 THEN 'method_signature_unknown' WHEN count(ref) FILTER (takes) = 1 THEN 'edge' ELSE 'ambiguous' END AS status
-FROM call LEFT JOIN cand ON cand.name = module || '.' || method GROUP BY ALL"""))
+FROM call LEFT JOIN cand ON cand.name = module || '.' || method GROUP BY ALL""", """
+cand AS (SELECT module || '.' || kind AS name, ref, path IS NOT NULL AND local_public AS takes FROM decls), call AS (SELECT DISTINCT module, CASE WHEN l_linestatus = 'O' THEN 'PROMO' ELSE 'ECONOMY' END AS method
+  FROM lineitem JOIN homes ON s_suppkey = l_suppkey)"""))
 def method_lookup(spark, d):
     """``Type.method`` calls: candidates by name, confirmed when a parameter is of the receiver's type."""
     homes = D.homes(spark, d).select(F.col("s_suppkey").alias("l_suppkey"), "module")
