@@ -11,7 +11,7 @@ from strandwork.sources import derived as D
 
 
 def acyclic_pairs(spark, d):
-    return G.pairs(D.occurrences(spark, d))
+    return D.edge_pairs(spark, d)
 
 
 def repo_members(spark, d):
@@ -213,7 +213,7 @@ def coverage_conflicts(spark, d):
 SELECT provider, consumer, 'directed_only' AS side FROM (SELECT * FROM dedges EXCEPT SELECT * FROM edges)
 UNION ALL SELECT provider, consumer, 'acyclic_only' FROM (SELECT * FROM edges EXCEPT SELECT * FROM dedges)"""))
 def edge_set_difference(spark, d):
-    a, b = acyclic_pairs(spark, d), G.pairs(D.occurrences(spark, d, directed=True))
+    a, b = acyclic_pairs(spark, d), D.edge_pairs(spark, d, directed=True)
     both = ["provider", "consumer"]
     return b.join(a, both, "left_anti").withColumn("side", F.lit("directed_only")).unionAll(
         a.join(b, both, "left_anti").withColumn("side", F.lit("acyclic_only")))

@@ -85,7 +85,7 @@ def reader_views(spark, d):
 def repo_internal(spark, d, directed=False):
     """Edges whose two ends lie in one repository."""
     owner = D.decls(spark, d).select("ref", F.col("repo_key").alias("grp"))
-    return G.internal_edges(G.pairs(D.occurrences(spark, d, directed)), owner)
+    return G.internal_edges(D.edge_pairs(spark, d, directed), owner)
 
 
 @query("i9_ancestor_closure", tree("SELECT node, ancestor, depth FROM closure", TREE, CLOSURE, recursive=True))
@@ -166,7 +166,7 @@ rel(a, b) AS (SELECT provider, consumer FROM de UNION SELECT r.a, e.consumer FRO
 
 def module_directed(spark, d):
     owner = D.decls(spark, d).select("ref", F.col("scope_id").alias("grp"))
-    return G.internal_edges(G.pairs(D.occurrences(spark, d, directed=True)), owner).select("provider", "consumer")
+    return G.internal_edges(D.edge_pairs(spark, d, directed=True), owner).select("provider", "consumer")
 
 
 @query("i6_cyclic_components", graph("""
@@ -202,7 +202,7 @@ SELECT DISTINCT node FROM need""", """need(node) AS (SELECT ref FROM decls WHERE
     UNION SELECT e.provider FROM need n JOIN edges e ON e.consumer = n.node)""", recursive=True))
 def provider_closure(spark, d):
     targets = D.decls(spark, d).where("outcome").select(F.col("ref").alias("node"))
-    return T.provider_closure(materialize(G.pairs(D.occurrences(spark, d))), targets).select("node")
+    return T.provider_closure(materialize(D.edge_pairs(spark, d)), targets).select("node")
 
 
 IMPORTS = """
@@ -216,7 +216,7 @@ def module_imports(spark, d):
     """A module imports the modules of its folder that it uses declarations of."""
     decls = D.decls(spark, d)
     side = lambda end, m, f: decls.select(F.col("ref").alias(end), F.col("scope_id").alias(m), F.col("folder_id").alias(f))
-    return G.pairs(D.occurrences(spark, d)).join(side("provider", "imported", "pf"), "provider").join(
+    return D.edge_pairs(spark, d).join(side("provider", "imported", "pf"), "provider").join(
         side("consumer", "module", "cf"), "consumer").where("pf = cf AND module <> imported").select("module", "imported").distinct()
 
 

@@ -86,11 +86,12 @@ def occurrences(spark: SparkSession, folder: str, directed: bool = False) -> Dat
     multiply rows.  ``directed`` keeps line order (cyclic); otherwise the smaller
     part is the provider (acyclic).
     """
-    line = table(spark, folder, "lineitem")
-    a = line.groupBy("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a_part"),
-                     F.col("l_suppkey").alias("a_supp")).agg(F.count("*").alias("a_n"))
-    b = line.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"),
-                     F.col("l_partkey").alias("b_part"), "l_returnflag", "l_linestatus").agg(F.count("*").alias("b_n"))
+    line = table(spark, folder, "lineitem").groupBy(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("k"))
+    # Both sides come from one aggregation, so its shuffle is done once and reused.
+    a = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a_part"), F.col("l_suppkey").alias("a_supp"), F.col("k").alias("a_n"))
+    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b_part"),
+                    "l_returnflag", "l_linestatus", F.col("k").alias("b_n"))
     pairs = a.join(b, ["l_orderkey", "l_linenumber"]).where(F.col("a_part") != F.col("b_part"))
     provider = F.col("a_part") if directed else F.least("a_part", "b_part")
     consumer = F.col("b_part") if directed else F.greatest("a_part", "b_part")
@@ -103,6 +104,17 @@ def occurrences(spark: SparkSession, folder: str, directed: bool = False) -> Dat
         (F.col("a_n") * F.col("b_n")).alias("n"))
 
 
+def edge_pairs(spark: SparkSession, folder: str, directed: bool = False) -> DataFrame:
+    """Distinct (provider, consumer) pairs only: reads three columns and drops repeats before the join."""
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    a = line.withColumnRenamed("l_partkey", "a_part")
+    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b_part"))
+    met = a.join(b, ["l_orderkey", "l_linenumber"]).where(F.col("a_part") != F.col("b_part"))
+    if directed:
+        return met.select(F.col("a_part").alias("provider"), F.col("b_part").alias("consumer")).distinct()
+    return met.select(F.least("a_part", "b_part").alias("provider"), F.greatest("a_part", "b_part").alias("consumer")).distinct()
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """Two annotators per document: quality and toxic as yes / no / uncertain."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
