@@ -74,12 +74,14 @@ def _needed(df: DataFrame, keys, order, member) -> list[str]:
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float],
               weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, exact for groups of any size."""
+    if not keys:
+        return quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, points, weight).drop("__all")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         (F.sum(weight) if weight else F.count("*")).cast("long").alias("n"))
     run = materialize(running(counted, keys, [value], {"upto": F.col("n")}))
     total = run.groupBy(*keys).agg(F.max("upto").alias("total"))
     spots = total.select(*keys, *[((F.col("total") - 1) * F.lit(q)).alias(f"__h_{n}") for n, q in points.items()])
-    joined = run.join(spots, list(keys)) if keys else run.join(spots, F.lit(True))
+    joined = run.join(spots, list(keys))
     picks = []
     for n in points:
         for edge, at in (("lo", F.floor(f"__h_{n}")), ("hi", F.ceil(f"__h_{n}"))):

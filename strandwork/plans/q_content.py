@@ -188,13 +188,16 @@ def fixed_sources(spark, d):
     return rows.join(fixed, "ref", "left").select("ref", F.coalesce("fixed", F.when(F.col("statement_text").isNull(), "missing").otherwise("source")).alias("provenance"))
 
 
-@query("l17_group_preview", tree("SELECT parent, string_agg(title, ' / ' ORDER BY child_pos) AS preview FROM placed WHERE parent IN (SELECT scope_id FROM scopes WHERE kind <> 'module') GROUP BY parent", TREE, POS))
+@query("l17_group_preview", tree("""
+SELECT parent, child_pos, title, (sum(length(title) + 3) OVER (PARTITION BY parent ORDER BY child_pos) - length(title) - 3)::BIGINT AS starts_at FROM placed WHERE parent IS NOT NULL""", TREE, POS))
 def group_preview(spark, d):
-    """Titles of a folder's children in order, one text per folder (its own column of scopes, not of declarations)."""
-    placed = placed_tree(spark, d)[0]
-    folders = D.scopes(spark, d).where("kind <> 'module'").select(F.col("scope_id").alias("parent"))
-    return placed.join(folders, "parent", "left_semi").groupBy("parent").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_pos", "title"))), lambda x: x["title"]), " / ").alias("preview"))
+    """Pieces of every sibling group's preview text (titles joined by three characters) with the offset each starts at.
+
+    Kept as pieces, since a group may have any number of children.
+    """
+    placed = placed_tree(spark, d)[0].where("parent IS NOT NULL").select("parent", "child_pos", "title")
+    upto = running(placed, ["parent"], ["child_pos"], {"upto": F.length("title") + 3})
+    return upto.select("parent", "child_pos", "title", (F.col("upto") - F.length("title") - 3).alias("starts_at"))
 
 
 @query("g1_card_page", tree("""
