@@ -88,3 +88,50 @@ def test_queries_match_their_sql(spark, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+class HeldState:
+    """Stands in for the engine's keyed state."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def run_rules(rule, key, columns, rows, state):
+    import pandas as pd
+
+    out = pd.concat(list(rule((key,), iter([pd.DataFrame(rows, columns=columns)]), state)))
+    return list(out.itertuples(index=False, name=None))
+
+
+def test_sibling_group_jobs_take_drafts_in_order_on_the_current_base():
+    from strandwork.streaming.jobs import _group
+
+    state, cols = HeldState(), ["parent", "seq", "kind", "base", "index", "size"]
+    first = run_rules(_group, 7, cols, [(7, 1, "accept", 0, 0, 2), (7, 2, "create", 1, 0, 2), (7, 3, "create", 0, 0, 2), (7, 4, "create", 0, 0, 2),
+                                        (7, 5, "accept", 0, 1, 2), (7, 6, "accept", 0, 0, 2)], state)
+    assert [r[2] for r in first] == ["no_active_job", "stale_base", "created", "already_active", "out_of_order", "accepted"]
+    second = run_rules(_group, 7, cols, [(7, 7, "accept", 0, 1, 2), (7, 8, "create", 0, 0, 2), (7, 9, "create", 1, 0, 2)], state)
+    assert [r[2] for r in second] == ["published", "stale_base", "created"]
+
+
+def test_job_life_cycle_keeps_its_first_owner_across_batches():
+    from strandwork.streaming.jobs import _life
+
+    state, cols = HeldState(), ["job", "seq", "kind", "actor"]
+    first = run_rules(_life, 1, cols, [(1, 2, "view", 5), (1, 1, "signup", 5), (1, 3, "view", 6)], state)
+    assert [r[2:] for r in first] == [("queued", "ignored"), ("drafting", "moved"), ("drafting", "not_owner")]
+    second = run_rules(_life, 1, cols, [(1, 4, "click", 5), (1, 5, "view", 5)], state)
+    assert [r[2:] for r in second] == [("cancelled", "moved"), ("cancelled", "absorbed")]
+
+
+def test_files_are_emitted_once_when_complete():
+    from strandwork.streaming.appends import _gather
+    import pandas as pd
+
+    state, cols = HeldState(), ["file", "chunk_index", "chunk_count"]
+    assert list(_gather((3,), iter([pd.DataFrame([(3, 0, 3), (3, 2, 3)], columns=cols)]), state)) == []
+    assert run_rules(_gather, 3, cols, [(3, 1, 3)], state) == [(3, 3, "complete")]
+    assert list(_gather((3,), iter([pd.DataFrame([(3, 1, 3)], columns=cols)]), state)) == []
