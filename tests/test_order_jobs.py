@@ -200,3 +200,18 @@ def test_packing(spark):
             want[g, i] = batch
     got = pack(spark.createDataFrame(rows, "k long, o long, size long"), ["k"], "o", "size", 5, 100).collect()
     assert {(r.k, r.o): r.batch for r in got} == want
+
+
+def test_ready_widths_match_the_queue(spark):
+    probs = problems(5, 10, 200)
+    atoms, edges = tables(spark, probs)
+    want = {}
+    for p, rank, es in probs:
+        todo, widths = set(range(10)), []
+        while todo:
+            ready = [i for i in todo if not any(a in todo for a, b, _ in es if b == i)]
+            widths.append(len(ready))
+            todo.remove(min(ready, key=lambda i: rank[i]))
+        want[p] = (sum(w > 1 for w in widths), max(widths))
+    got = S.ready_widths(atoms, edges, S.source_start(atoms, edges)).collect()
+    assert {r.parent: (r.ambiguous_steps, r.max_width) for r in got} == want
