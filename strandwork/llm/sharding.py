@@ -32,6 +32,8 @@ from strandwork.session import materialize
 BUCKET_BYTES = 32 << 20
 #: Buckets of small inputs; more only if the bytes ask for it.
 LEAST_BUCKETS = 32
+#: The table of bucket sizes (16 bytes a bucket) is broadcast up to so many buckets, and joined by shuffle beyond.
+BROADCAST_BUCKETS = 1 << 19
 #: Rows that a task hands on at once.
 OUT_ROWS = 4096
 
@@ -68,6 +70,8 @@ def shuffled(records: DataFrame, key: str = "doc_id", text: str = "text", seed:
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))
     before = counts.select("bucket", F.coalesce(F.sum("n").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    if buckets <= BROADCAST_BUCKETS:
+        before = F.broadcast(before)
     return written.join(before, "bucket").select((F.col("before") + F.col("place")).alias("position"), "record")
 
 
