@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandwork.llm import bpe, decontamination, secrets, sharding, token_counts, url_filters
-from strandwork.llm.texts import table
+from strandwork.llm import bpe, decontamination, near_dedup, secrets, sharding, token_counts, toxicity, url_filters
+from strandwork.llm.texts import held_out, learns, table
 
 #: Where public vocabularies lie; every executor has them at the same path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,16 @@ def benchmark_leaks(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Three words a shingle, linked at a Jaccard similarity of 0.85.
+NEAR = near_dedup.Rule(size=3, percent=85)
+
+
+def near_groups(spark, sf_dir):
+    groups = near_dedup.components(table(spark, sf_dir, "documents"), NEAR)
+    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def piece_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE)
 
@@ -40,6 +50,17 @@ def shuffled_shards(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def toxic_from(doc_id):
+    """Whether the label of this id may be learned from."""
+    return learns(doc_id, 4, 2)
+
+
+def toxic_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), toxic_from)
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def url_verdicts(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
@@ -49,8 +70,10 @@ QUERIES = {
     "op1_bpe_codec": bpe_codec,
     "op3_secret_scan": secret_scan,
     "op4_benchmark_leaks": benchmark_leaks,
+    "op6_near_groups": near_groups,
     "op7_piece_counts": piece_counts,
     "op8_shuffled_shards": shuffled_shards,
+    "op9_toxic_scores": toxic_scores,
     "op10_url_verdicts": url_verdicts,
 }
 

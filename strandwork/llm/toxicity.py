@@ -48,7 +48,7 @@ REMEMBERED = 500_000
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "aeiou"}
 # Costs of the channel, in nats: a sign as a letter, as a gap, as nothing; a letter dropped; the unlikely reading of a separator.
-LOOK_COST, GAP_COST, NOTHING_COST, REPEAT_COST, ODD_COST = 2.0, 5.0, 9.0, 1.0, 6.0
+LOOK_COST, GAP_COST, NOTHING_COST, REPEAT_COST, ODD_COST = 2.0, 7.0, 9.0, 1.0, 6.0
 
 
 @functools.cache
@@ -225,7 +225,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from, key: str, te
     sample = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(ids[0].unionAll(ids[1])), key).where("text IS NOT NULL")
     for seed in (1, 2):
         words = F.split(F.lower("text"), r"\s+")
-        triples = F.transform(words, lambda w, i: F.xxhash64(F.lit(seed), w, F.get(words, i + 1), F.get(words, i + 2)))
+        # The three arrays are made once a row; inside the lambda they would be made once a word.
+        zipped = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"), F.slice(words, 3, F.size(words)).alias("c"))
+        triples = F.transform(zipped, lambda t: F.xxhash64(t, F.lit(seed)))
         sample = materialize(sample.select("text", "toxic", F.array_min(triples).alias("least")).groupBy("least").agg(
             F.max_by(F.struct("text", "toxic"), F.struct("toxic", "text")).alias("kept")).select("kept.*"))
     return sample
