@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandwork.llm import bpe, decontamination, near_dedup, secrets, sharding, token_counts, toxicity, url_filters
+from strandwork.llm import bpe, decontamination, language_id, near_dedup, secrets, sharding, token_counts, toxicity, url_filters
 from strandwork.llm.texts import held_out, learns, table
 
 #: Where public vocabularies lie; every executor has them at the same path.
@@ -20,6 +20,12 @@ def bpe_codec(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.learn(docs, learns(F.col("doc_id"), 3, 1))
+    return language_id.predict(docs, network).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,7 @@ def url_verdicts(spark, sf_dir):
 
 QUERIES = {
     "op1_bpe_codec": bpe_codec,
+    "op2_languages": languages,
     "op3_secret_scan": secret_scan,
     "op4_benchmark_leaks": benchmark_leaks,
     "op6_near_groups": near_groups,
