@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandwork.llm import bpe, decontamination, language_id, near_dedup, secrets, sharding, token_counts, toxicity, url_filters
+from strandwork.llm import bpe, decontamination, language_id, near_dedup, nearest, secrets, sharding, token_counts, toxicity, url_filters
 from strandwork.llm.texts import held_out, learns, table
 
 #: Where public vocabularies lie; every executor has them at the same path.
@@ -34,6 +34,10 @@ def benchmark_leaks(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def nearest_vectors(spark, sf_dir):
+    return nearest.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 #: Three words a shingle, linked at a Jaccard similarity of 0.85.
 NEAR = near_dedup.Rule(size=3, percent=85)
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_languages": languages,
     "op3_secret_scan": secret_scan,
     "op4_benchmark_leaks": benchmark_leaks,
+    "op5_nearest_vectors": nearest_vectors,
     "op6_near_groups": near_groups,
     "op7_piece_counts": piece_counts,
     "op8_shuffled_shards": shuffled_shards,
