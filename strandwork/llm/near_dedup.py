@@ -10,14 +10,13 @@ stop after a step or two.
 is below ``MISS``.  Texts with equal shingle sets are one class from the start (copies,
 however many, are one row from here on).
 
-**Links.**  A bucket of n classes is not turned into pairs.  In each round every bucket
-names pivots, which are compared with those members of the bucket that are not yet
-grouped with them and whose size admits a link; then the pivots are done there.
-Pairs are verified on full sets; links are grouped; buckets that have come together,
-or ran out of members, are finished.  A bucket of near copies is finished after one
-round with n - 1 pairs.  The number of pivots a bucket names doubles each round, so n
-members without any link, which no rule can settle without looking at them all, take
-log n rounds.
+**Links.**  A bucket of n classes is not turned into pairs.  First each bucket names one
+pivot, which is compared with the members whose size admits a link: n - 1 pairs, verified
+by joining their full sets, and grouped.  In buckets of near copies that leaves one large
+group and some outsiders.  Then whatever is outside the largest group of its bucket is
+compared, on full sets and inside tasks, with all of the bucket that is not of its group;
+a task holds two chunks of bounded size and hands on a link only where it brings two
+groups together.  Members of one group are not compared again.
 
 **Grouping.**  Links are united inside partitions by union-find first, which leaves a
 forest; the forests are then joined by rounds of least labels with pointer jumping.
@@ -39,11 +38,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandwork.llm.texts import pieces
+from strandwork.llm.texts import pieces, spread
 from strandwork.session import materialize, measured
 
 SLOTS = 128
 MISS = 1e-6
+#: Members of a bucket that a task holds, twice (as asking and as told).
+CHUNK = 2048
 #: Words that a task remembers the hashes of.
 REMEMBERED = 500_000
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +213,8 @@ def groups(links: DataFrame) -> DataFrame:
     Each round hangs every node with its neighbours on the least of them, and turns the
     rest into links among those (alternating both directions of the star), until nothing moves.
     """
-    edges, size = measured(_forest(links).distinct(), n=F.count("*"))
+    figures = {"n": F.count("*"), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    edges, size = measured(_forest(links).distinct(), **figures)
     if not size["n"]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     while True:
@@ -224,8 +226,8 @@ def groups(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         small = small.where("a <> b").distinct()
-        new, seen = measured(small, n=F.count("*"), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-        if (seen["n"], seen["h"]) == (size["n"], size.get("h")):
+        new, seen = measured(small, **figures)
+        if (seen["n"], seen["h"]) == (size["n"], size["h"]):
             return new.select(F.col("a").alias("node"), F.col("b").alias("label"))
         edges, size = new, seen
 
@@ -239,8 +241,70 @@ def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         100 * common >= rule.percent * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
 
-def components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, component) of every row: the size of its set and the least id of its group (its own if its set is empty)."""
+def _compared(rule: Rule):
+    def run(group: pa.Table) -> pa.Table:
+        """The links of the rows that ask with the other rows, one for each two groups that they bring together."""
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        same, label = group.column("same").to_pylist(), group.column("label").to_pylist()
+        lists = group.column("elements").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        others = np.flatnonzero(~asks)
+        here = code[spread(starts[others], sizes[others])]
+        cuts = np.cumsum(sizes[others]) - sizes[others]
+        parent = {x: x for x in label}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        number = {x: i for i, x in enumerate(parent)}
+        mine = np.array([number[label[i]] for i in others])
+        mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+        a, b = [], []
+        for i in np.flatnonzero(asks).tolist() if len(others) else []:
+            own = code[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[here].astype(np.int64), cuts)
+            mark[own] = False
+            near = np.flatnonzero((100 * common >= rule.percent * (sizes[i] + sizes[others] - common)) & (mine != number[label[i]]))
+            for k in near[np.unique(mine[near], return_index=True)[1]].tolist():
+                x, y = root(label[i]), root(label[others[k]])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(same[i])
+                    b.append(same[others[k]])
+        return pa.table([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    return run
+
+
+def _settled(members: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The links (a, b) still missing: in each bucket, of whatever is outside its largest group with all else there.
+
+    Outsiders and members are dealt into chunks of about ``CHUNK``, and each chunk of
+    outsiders meets each chunk of members in a task of its own.
+    """
+    now = members.join(label, F.col("same") == F.col("node"), "left").select("bucket", "same", F.coalesce("label", "same").alias("label"))
+    per = now.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    main = per.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("k")).where("k > main.k").select(
+        "bucket", F.col("main.label").alias("main"), F.ceil((F.col("k") - F.col("main.k")) / CHUNK).cast("int").alias("asking"),
+        F.ceil(F.col("k") / CHUNK).cast("int").alias("told"))
+    mixed = now.join(main, "bucket")
+    deal = lambda chunks: F.pmod(F.xxhash64("same"), F.col(chunks)).cast("int")
+    every = lambda chunks: F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))
+    told = mixed.select("bucket", "same", "label", F.lit(False).alias("asks"), every("asking").alias("i"), deal("told").alias("j"))
+    asking = mixed.where("label <> main").select("bucket", "same", "label", F.lit(True).alias("asks"), deal("asking").alias("i"), every("told").alias("j"))
+    return told.unionAll(asking).join(sets, "same").groupBy("bucket", "i", "j").applyInArrow(_compared(rule), "a string, b string").distinct()
+
+
+def components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text", names: bool = False) -> DataFrame:
+    """(id, n, component) of every row: the size of its set and the least id of its group (its own if its set is empty).
+
+    With ``names`` the name of the set as well, as ``same``.
+    """
     own = docs.selectExpr(f"`{key}` AS id", f"`{text}` AS text")
     rows = materialize(sketches(own, rule, "id", "text"))
     classes = rows.where("same IS NOT NULL").groupBy("same").agg(
@@ -249,37 +313,55 @@ def components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text:
     crowded = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     members = materialize(members.join(crowded, "bucket", "left_semi"))
     sets = materialize(_class_sets(own, classes, members, rule))
-    label, links, live, doublings = None, None, members, 0
-    while True:
-        now = live if label is None else live.join(label, F.col("same") == F.col("node"), "left").select(
-            "bucket", "same", "n", F.coalesce("label", "same").alias("label"))
-        if label is None:
-            now = now.withColumn("label", F.col("same"))
-        else:
-            mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-            now = now.join(mixed, "bucket", "left_semi")
-        now, left = measured(now, n=F.count("*"))
-        if not left["n"]:
-            break
-        deal = F.pmod(F.xxhash64("same", F.lit(doublings)), F.lit(1 << doublings))
-        pivots = now.groupBy("bucket", deal.alias("deal")).agg(F.min(F.struct("same", "n", "label")).alias("p")).select(
-            "bucket", F.col("p.same").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
-        pivots = materialize(pivots)
-        fits = (100 * F.least("n", "pn") >= rule.percent * F.greatest("n", "pn")) & (F.col("label") != F.col("pl"))
-        pairs = now.join(pivots, "bucket").where(fits).select(
-            F.least("same", "pivot").alias("a"), F.greatest("same", "pivot").alias("b")).distinct()
-        found = materialize(_linked(pairs, sets, rule))
-        links = found if links is None else links.unionAll(found)
-        label = materialize(groups(links))
-        done = pivots.select("bucket", F.col("pivot").alias("same"))
-        live = now.select("bucket", "same", "n").join(done, ["bucket", "same"], "left_anti")
-        doublings += 1
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("same", "n")).alias("p")).select(
+        "bucket", F.col("p.same").alias("pivot"), F.col("p.n").alias("pn"))
+    fits = (100 * F.least("n", "pn") >= rule.percent * F.greatest("n", "pn")) & (F.col("same") != F.col("pivot"))
+    pairs = members.join(pivots, "bucket").where(fits).select(
+        F.least("same", "pivot").alias("a"), F.greatest("same", "pivot").alias("b")).distinct()
+    found = materialize(_linked(pairs, sets, rule))
+    label = groups(found)
+    more = materialize(_settled(members, label, sets, rule))
+    label = groups(more.unionAll(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     named = classes.select("same", "least")
-    if label is not None:
-        named = named.join(label.withColumnRenamed("node", "same"), "same", "left").withColumn("label", F.coalesce("label", "same"))
-        first = named.groupBy("label").agg(F.min("least").alias("component"))
-        named = named.join(first, "label").select("same", "component")
-    else:
-        named = named.withColumnRenamed("least", "component")
+    named = named.join(label.withColumnRenamed("node", "same"), "same", "left").withColumn("label", F.coalesce("label", "same"))
+    first = named.groupBy("label").agg(F.min("least").alias("component"))
+    named = named.join(first, "label").select("same", "component")
     return rows.select("id", "n", "same").join(named, "same", "left").select(
-        "id", "n", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+        "id", "n", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), *["same"] * names)
+
+
+def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with all its columns: that of the least id, and of several rows of that id the least text.
+
+    Documents without shingles stay, each row of them.
+    """
+    found = materialize(components(docs, rule, key, text, names=True).where("n > 0"))
+    fate = found.groupBy("id").agg(
+        (F.count("*") > 1).alias("repeated"), F.max(F.col("id").eqNullSafe(F.col("component"))).alias("stays")).select(
+        F.struct("id").alias("who"), "repeated", "stays")
+    fate, seen = measured(fate.where("repeated OR NOT stays"), repeated=F.count_if("repeated"))
+    records = docs.select(F.struct(F.col(key).alias("id")).alias("who"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
+                          F.col(text).alias("text"))
+    # The key stands in a struct, so that a null id finds its fate as well.
+    told = records.join(fate, "who", "left")
+    kept = told.where("repeated IS NULL").select("record.*")
+    if not seen["repeated"]:
+        return kept
+
+    def named(batches):
+        known = _Hashes()
+        for part, texts in pieces(batches):
+            elements, sizes = shingle_sets(texts, rule.size, known)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_names(elements, sizes), pa.string())], [*part.schema.names, "same"])
+
+    several = told.where("repeated").select("who", "record", "text")
+    schema = several.schema.add("same", "string")
+    several = several.mapInArrow(named, schema)
+    own = found.select("same", "component").distinct()
+    several = several.join(own, "same", "left")
+    bare = several.where("same IS NULL").select("record.*")
+    first = several.where(F.col("same").isNotNull() & F.col("who.id").eqNullSafe(F.col("component"))).groupBy("same", "component").agg(
+        F.min_by("record", "text").alias("record"), F.min("text").alias("text"))
+    # Texts of one group under one id may have different sets; the least text of them all stays.
+    first = first.groupBy(F.struct("component").alias("component")).agg(F.min_by("record", "text").alias("record"))
+    return kept.unionAll(bare).unionAll(first.select("record.*"))

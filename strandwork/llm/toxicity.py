@@ -43,7 +43,9 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 CANDIDATES = 4000
 PREFIXES = range(3, 9)
 TOXIC_FROM = 0.3
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Features that a task counts before it hands them on.
+COUNTED = 200_000
 # Letters that digits and signs stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "aeiou"}
@@ -238,17 +240,25 @@ def _counted(sample: DataFrame, costs) -> DataFrame:
 
     def run(batches):
         reader = Reader(costs.value)
-        words = functools.cache(reader.words)
-        seen = Counter()
+        words = functools.lru_cache(COUNTED)(reader.words)
+        seen: Counter = Counter()
+
+        def told():
+            names = list(seen)
+            out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in names]), pa.array([seen[k] * (k[1] == 1) for k in names], pa.int64()),
+                                              pa.array([seen[k] * (k[1] != 1) for k in names], pa.int64())], ["feature", "toxic", "clean"])
+            seen.clear()
+            return out
+
         for part, texts in pieces(batches):
             for t, y in zip(texts, part.column(1).to_pylist()):
                 low = t.lower()
                 own = {w for token in set(low.split()) for w in words(token)} | set(reader.spaced(low))
                 seen.update((f, y) for f in {f for w in own for f in features(w)})
+                if len(seen) > COUNTED:
+                    yield told()
         if seen:
-            names = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in names]), pa.array([seen[k] * (k[1] == 1) for k in names], pa.int64()),
-                                              pa.array([seen[k] * (k[1] != 1) for k in names], pa.int64())], ["feature", "toxic", "clean"])
+            yield told()
 
     return sample.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
