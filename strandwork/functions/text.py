@@ -110,13 +110,16 @@ def span_or_null(start_line: Column, start_col: Column, end_line: Column, end_co
                                     end_line.alias("end_line"), (end_col + 1).alias("end_column")))
 
 
-_PIECES = re.compile(r'/-|-/|--|\\.|"|\n|[^/\-\\"\n]+|.', re.S)
+# A backslash escapes inside strings only.
+_CODE = re.compile(r'/-|-/|--|"|\n|[^/\-"\n]+|.', re.S)
+_QUOTED = re.compile(r'\\.|"|[^\\"]+|\\', re.S)
 
 
 def _without_comments(text: str) -> str:
-    depth, quoted, line_comment, out = 0, False, False, []
-    for m in _PIECES.finditer(text):
-        piece = m.group()
+    depth, quoted, line_comment, at, out = 0, False, False, 0, []
+    while at < len(text):
+        piece = (_QUOTED if quoted else _CODE).match(text, at).group()
+        at += len(piece)
         if line_comment:
             line_comment = piece != "\n"
             if not line_comment:

@@ -155,13 +155,20 @@ def resolve_tokens(tokens: DataFrame, symbols: DataFrame, visible: DataFrame) ->
 
 
 def type_head(text: Column) -> Column:
-    """First name of a type text; null when it starts with a bracket or has an operator outside brackets."""
-    flat = text
-    for _ in range(6):
-        # Each pass removes the innermost brackets.
-        flat = F.regexp_replace(flat, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", " ")
-    plain = ~text.rlike(r"^\s*[(\[{_∀]") & ~flat.rlike(r"→|->|[=≤≥<>∈∉≠↔∧∨]")
-    return F.when(plain, F.nullif(F.regexp_extract(text, r"^\s*([\p{L}_][^\s()\[\]{}]*)", 1), F.lit("")))
+    """First name of a type text; null when it starts with a bracket or binder or has an operator outside brackets.
+
+    One fold over the characters keeps the bracket depth, so brackets nest to any depth.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("compound"))
+
+    def step(s, c):
+        opens, shuts = c.isin(*"([{⟨"), c.isin(*")]}⟩")
+        return F.struct(F.greatest(s["depth"] + F.when(opens, 1).when(shuts, -1).otherwise(0), F.lit(0)).alias("depth"),
+                        (s["compound"] | ((s["depth"] == 0) & c.isin(*"→=≤≥<>∈∉≠↔∧∨"))).alias("compound"))
+
+    compound = F.aggregate(F.split(text, ""), start, step)["compound"]
+    name = F.nullif(F.regexp_extract(text, r"^\s*([\p{L}_][^\s()\[\]{}⟨⟩]*)", 1), F.lit(""))
+    return F.when(~text.rlike(r"^\s*[(\[{⟨_∀]") & ~compound & (name != "fun"), name)
 
 
 def method_calls(calls: DataFrame, symbols: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwork.session import materialize
 
-# Largest display group, and the most siblings for the exact split search.
-FAN_OUT, SEARCH_LIMIT = 6, 120
+# Fixed value: largest display group.
+FAN_OUT = 6
 SPAN = "struct<lo:bigint,hi:bigint,done:boolean,path:array<struct<lo:bigint,hi:bigint>>>"
 
 
@@ -55,67 +55,72 @@ def balanced_cost(sizes: DataFrame, weights: DataFrame, k: int = FAN_OUT) -> Dat
 
 
 def best_intervals(n: int, pairs: list[tuple[int, int, float]], k: int, burdens: list[float] | None = None):
-    """Cheapest binary interval tree over at most SEARCH_LIMIT items: (cost, [(lo, hi, up_lo, up_hi)]).
+    """Cheapest binary interval tree over n items: (cost, [(lo, hi, up_lo, up_hi)]).
 
-    Spans are solved in order of length; a span splits between a third and two
-    thirds, ties going to the smaller burden difference, the more even split, the
-    shorter left side.
+    Spans are solved diagonal by diagonal, all spans of a length at once; a table is a
+    list of diagonals, indexed by length and then by first item.  A span splits between
+    a third and two thirds, ties going to the smaller burden difference, the more even
+    split, the shorter left side.  What a cut of a span crosses is the weight inside the
+    span less the weights inside its parts.
     """
-    grid = np.zeros((n + 1, n + 1))
+    own = [np.zeros(max(0, n - m + 1)) for m in range(n + 1)]
     for a, b, w in pairs:
-        grid[a + 1, b + 1] += w
-    grid = grid.cumsum(0).cumsum(1)
-    load = np.concatenate([[0.0], np.cumsum(burdens if burdens is not None else np.zeros(n))])
-    cost, uneven, cut = np.zeros((n + 1, n + 1)), np.zeros((n + 1, n + 1)), np.zeros((n + 1, n + 1), int)
-    box = lambda r0, r1, c0, c1: grid[r1, c1] - grid[r0, c1] - grid[r1, c0] + grid[r0, c0]
+        # A pair counts first in the shortest span that holds it ...
+        own[b - a + 1][a] += w
+    held, load = [*own[:1], *own[1:2]], [np.zeros(n + 1), np.asarray(burdens if burdens is not None else np.zeros(n), float)]
+    for m in range(2, n + 1):
+        # ... and a span holds what its two shorter neighbours hold, less what both do, and its own.
+        held.append(held[m - 1][:-1] + held[m - 1][1:] - held[m - 2][1:-1] + own[m])
+        load.append(load[m - 1][:-1] + load[1][m - 1 :])
+    cost, skew, left_size = [np.zeros(n + 1)], [np.zeros(n + 1)], [np.zeros(n + 1, int)]
     for m in range(1, n + 1):
-        lo = np.arange(0, n - m + 1)
-        hi = lo + m
+        spans = n - m + 1
         if m <= k:
-            cost[lo, hi] = m * box(lo, hi, lo, hi)
+            cost.append(m * held[m])
+            skew.append(np.zeros(spans))
+            left_size.append(np.zeros(spans, int))
             continue
-        first = None
-        for left in range((m + 2) // 3, 2 * m // 3 + 1):
-            mid = lo + left
-            c = cost[lo, mid] + cost[mid, hi] + m * box(lo, mid, mid, hi)
-            u = uneven[lo, mid] + uneven[mid, hi] + np.abs(2 * load[mid] - load[lo] - load[hi])
-            rank = np.stack([c, u if burdens is not None else np.zeros_like(u), np.full(len(lo), abs(m - 2 * left)), np.full(len(lo), left)])
-            if first is None:
-                first, keep = rank, u
-            else:
-                diff = rank - first
-                lead = np.argmax(diff != 0, axis=0)
-                better = diff[lead, np.arange(len(lo))] < 0
-                first, keep = np.where(better, rank, first), np.where(better, u, keep)
-        cost[lo, hi], uneven[lo, hi], cut[lo, hi] = first[0], keep, first[3].astype(int)
-    out, open_ = [], [(0, n)]
-    while open_:
-        lo, hi = open_.pop()
+        sizes = np.arange((m + 2) // 3, 2 * m // 3 + 1)
+        split = lambda table, join: np.stack([join(table[s][:spans], table[m - s][s : s + spans]) for s in sizes.tolist()])
+        crossing = held[m] - split(held, np.add)
+        total = split(cost, np.add) + m * crossing
+        burden = split(skew, np.add) + split(load, lambda x, y: np.abs(x - y))
+        keys = [np.broadcast_to(sizes[:, None], total.shape), np.broadcast_to(np.abs(m - 2 * sizes)[:, None], total.shape)]
+        best = np.lexsort([*keys, *([burden] if burdens is not None else []), total], axis=0)[0]
+        every = np.arange(spans)
+        cost.append(total[best, every])
+        skew.append(burden[best, every])
+        left_size.append(sizes[best])
+    todo, out = [(0, n)], []
+    for lo, hi in todo:
         if hi - lo > k:
-            mid = lo + cut[lo, hi]
-            for part in ((lo, mid), (mid, hi)):
-                out.append((*part, lo, hi))
-                open_.append(part)
-    return (cost[0, n] if n else 0.0), out
+            mid = lo + int(left_size[hi - lo][lo])
+            parts = [(lo, mid), (mid, hi)]
+            todo.extend(parts)
+            out.extend((*part, lo, hi) for part in parts)
+    return (float(cost[n][0]) if n else 0.0), out
 
 
-def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, limit: int = SEARCH_LIMIT,
+def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, algorithm: str = "ordered_dp",
               burdens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Region intervals and (parent, algorithm, cost) for every parent.
 
     ``order(parent, atom, pos)``, ``weights(parent, a, b, weight)`` with positions
-    a < b.  The split search runs per parent of at most ``limit`` items; parents that
-    are larger, or have no weights, take the even tree, computed item by item.
+    a < b.  The caller names the algorithm, whatever the sizes: ``ordered_dp`` is the best
+    tree and holds the n * n spans of a parent in one task, so it is for parents of a
+    size that a task can hold; ``balanced`` is the even tree, computed item by item.
     ``burdens(parent, pos, burden)`` is used only where no burden is null.
     """
-    sizes = order.groupBy("parent").agg(F.count("*").alias("n"))
-    weighted = weights.groupBy("parent").agg(F.count("*").alias("pairs"))
-    plan = materialize(sizes.join(weighted, "parent", "left").withColumn(
-        "algorithm", F.when((F.col("n") > limit) | F.col("pairs").isNull(), "balanced").otherwise("ordered_dp")))
-    even, search = plan.where("algorithm = 'balanced'"), plan.where("algorithm = 'ordered_dp'")
+    if algorithm not in ("ordered_dp", "balanced"):
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    plan = materialize(order.groupBy("parent").agg(F.count("*").alias("n")).withColumn("algorithm", F.lit(algorithm)))
+    if algorithm == "balanced":
+        cost = balanced_cost(plan.select("parent", "n"), weights, k)
+        return balanced_regions(plan.select("parent", "n"), order, k), plan.join(cost, "parent", "left").select(
+            "parent", "n", "algorithm", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"))
     load = order.join(burdens, ["parent", "pos"], "left") if burdens is not None else order.withColumn("burden", F.lit(None).cast("double"))
-    items = load.join(search.select("parent"), "parent", "left_semi").select("parent", "pos", F.col("burden").cast("double").alias("burden"))
-    pairs = weights.join(search.select("parent"), "parent", "left_semi").select("parent", "a", "b", F.col("weight").cast("double").alias("weight"))
+    items = load.select("parent", "pos", F.col("burden").cast("double").alias("burden"))
+    pairs = weights.join(plan.select("parent"), "parent", "left_semi").select("parent", "a", "b", F.col("weight").cast("double").alias("weight"))
 
     def job(key, i: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         i = i.sort_values("pos")
@@ -126,8 +131,6 @@ def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, limit: int
 
     found = materialize(items.groupBy("parent").cogroup(pairs.groupBy("parent")).applyInPandas(
         job, "parent string, lo long, hi long, up_lo long, up_hi long, cost double"))
-    spans = found.where("up_lo >= 0").select("parent", "lo", "hi", "up_lo", "up_hi").unionAll(
-        balanced_regions(even.select("parent", "n"), order, k))
-    cost = found.where("up_lo < 0").select("parent", "cost").unionAll(
-        balanced_cost(even.select("parent", "n"), weights, k).select("parent", F.col("cost").cast("double")))
+    spans = found.where("up_lo >= 0").select("parent", "lo", "hi", "up_lo", "up_hi")
+    cost = found.where("up_lo < 0").select("parent", "cost")
     return spans, plan.join(cost, "parent", "left").select("parent", "n", "algorithm", F.coalesce("cost", F.lit(0.0)).alias("cost"))

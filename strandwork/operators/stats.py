@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from strandwork.operators.order_stats import average_ranks, positions, quantiles, running
-from strandwork.session import materialize
+from strandwork.session import materialize, measured
 
 
 def inversions(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
@@ -17,8 +17,12 @@ def inversions(df: DataFrame, keys: Sequence[str], order: str, value: str) -> Da
     value form a block, and inside a block each row with a clear bit counts the
     set-bit rows before it.  No pair is ever formed.
     """
-    rows = materialize(df.select(*keys, F.col(order).alias("__o"), F.col(value).cast("long").alias("__v")))
-    top = rows.agg(F.max("__v")).first()[0] or 0
+    rows, seen = measured(df.select(*keys, F.col(order).alias("__o"), F.col(value).cast("long").alias("__v")),
+                          low=F.min("__v"), high=F.max("__v"))
+    low = seen["low"] or 0
+    # Counted from the least value on, so that negative values have no sign bit.
+    rows = rows.withColumn("__v", F.col("__v") - F.lit(low))
+    top = (seen["high"] or 0) - low
     total = None
     for bit in range(int(top).bit_length() - 1, -1, -1):
         high = F.shiftright("__v", bit + 1)

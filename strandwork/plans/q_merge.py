@@ -132,7 +132,7 @@ def longest_scope_prefix(spark, d):
 
 SOURCES = """
 src AS (SELECT ref, module, name, start_line, end_line FROM decls),
-sem AS (SELECT ref + 1000000 AS ref, module, CASE WHEN ref % 5 = 0 THEN name || '_renamed' ELSE name END AS name, start_line, end_line FROM decls WHERE ref % 4 <> 0),
+sem AS (SELECT -1 - ref AS ref, module, CASE WHEN ref % 5 = 0 THEN name || '_renamed' ELSE name END AS name, start_line, end_line FROM decls WHERE ref % 4 <> 0),
 n1 AS (SELECT module, name, min(ref) AS m FROM sem GROUP BY ALL HAVING count(DISTINCT ref) = 1),
 n2 AS (SELECT module, start_line, end_line, min(ref) AS m FROM sem GROUP BY ALL HAVING count(DISTINCT ref) = 1),
 n3 AS (SELECT name, min(ref) AS m FROM src GROUP BY name HAVING count(DISTINCT ref) = 1 AND name NOT IN (SELECT name FROM sem)),
@@ -144,7 +144,7 @@ def two_sources(spark, d):
     decls = D.decls(spark, d)
     source = decls.select("ref", "module", "name", "start_line", "end_line")
     semantic = decls.where("ref % 4 <> 0").select(
-        (F.col("ref") + 1000000).alias("ref"), "module",
+        (-1 - F.col("ref")).alias("ref"), "module",
         F.when(F.col("ref") % 5 == 0, F.concat("name", F.lit("_renamed"))).otherwise(F.col("name")).alias("name"), "start_line", "end_line")
     return source, semantic
 
@@ -169,12 +169,17 @@ def remapped_edges(spark, d):
 
 
 @query("d6_locator_resolution", tree("""
-SELECT o_orderkey, min(ref) AS ref FROM orders JOIN decls ON start_line = 10 + o_orderkey % 500 AND kind = 'PROMO' AND repo_key = 'ASIA' GROUP BY o_orderkey HAVING count(*) = 1"""))
+SELECT o_orderkey, min(ref) AS ref FROM orders JOIN decls ON start_line = 10 + o_orderkey % 500 AND kind = ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'][o_custkey % 6 + 1]
+ AND repo_key = ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][o_custkey % 5 + 1] GROUP BY o_orderkey HAVING count(*) = 1"""))
 def locator_resolution(spark, d):
     """Unresolved (repository, kind, line) locators bound where exactly one declaration fits."""
-    spots = M.unique_by(D.decls(spark, d).where("kind = 'PROMO' AND repo_key = 'ASIA'"), ["start_line"], "ref", "found").withColumnRenamed("found", "ref")
-    asked = D.table(spark, d, "orders").select("o_orderkey", (10 + F.col("o_orderkey") % 500).alias("start_line"))
-    return asked.join(spots, "start_line").select("o_orderkey", "ref")
+    place = ["repo_key", "kind", "start_line"]
+    spots = M.unique_by(D.decls(spark, d), place, "ref", "found").withColumnRenamed("found", "ref")
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("o_custkey") % len(names)).cast("int"))
+    asked = D.table(spark, d, "orders").select(
+        "o_orderkey", (10 + F.col("o_orderkey") % 500).alias("start_line"), pick("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD").alias("kind"),
+        pick("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST").alias("repo_key"))
+    return asked.join(spots, place).select("o_orderkey", "ref")
 
 
 @query("d18_backend_comparison", tree("""
@@ -386,16 +391,18 @@ def anchor_sequences(spark, d):
 
 @query("d12_document_occurrences", tree("""
 SELECT d.ref, coalesce(o.doc, d.path) AS domain, coalesce(o.pos, d.start_line) AS position FROM decls d
-LEFT JOIN (SELECT doc_id % 200 + 10 AS line, 'doc' || (doc_id % 2) AS doc, doc_id AS pos FROM documents WHERE source = 'src3') o ON o.line = d.start_line WHERE d.path IS NOT NULL"""))
+LEFT JOIN (SELECT doc_id % 200 + 10 AS line, arg_min('doc' || (doc_id % 2), doc_id) AS doc, min(doc_id) AS pos FROM documents GROUP BY line) o ON o.line = d.start_line WHERE d.path IS NOT NULL"""))
 def document_occurrences(spark, d):
-    occ = D.table(spark, d, "documents").where("source = 'src3'").select((F.col("doc_id") % 200 + 10).alias("start_line"), F.concat(F.lit("doc"), F.col("doc_id") % 2).alias("doc"), F.col("doc_id").alias("at"))
+    """Declarations with the first document that shows their line, or their own file."""
+    occ = D.table(spark, d, "documents").groupBy((F.col("doc_id") % 200 + 10).alias("start_line")).agg(
+        F.min_by(F.concat(F.lit("doc"), F.col("doc_id") % 2), "doc_id").alias("doc"), F.min("doc_id").alias("at"))
     return D.decls(spark, d).where("path IS NOT NULL").join(occ, "start_line", "left").select(
         "ref", F.coalesce("doc", "path").alias("domain"), F.coalesce("at", "start_line").alias("position"))
 
 
 RECORDS = """
 np AS (SELECT count(*) AS n FROM part),
-bind AS (SELECT c.conv_id, c.turn, c.conv_id * 1000 + c.turn AS record, (c.conv_id * 7 + k.k * 31 + c.turn) % np.n AS target,
+bind AS (SELECT c.conv_id, c.turn, c.conv_id || '/' || c.turn AS record, (c.conv_id * 7 + k.k * 31 + c.turn) % np.n AS target,
    CASE (c.turn + k.k) % 4 WHEN 3 THEN 'candidate' ELSE 'exact' END AS status FROM conversations c, np, (VALUES (0), (1)) k(k) WHERE k.k = 0 OR c.turn % 3 = 0),
 proj AS (SELECT record, conv_id, turn, CASE WHEN count(*) FILTER (status = 'exact') = 0 THEN 'candidate'
     WHEN count(*) FILTER (status = 'exact' AND d.ref IS NULL) > 0 THEN 'unresolved' ELSE 'exact' END AS status,
@@ -409,7 +416,7 @@ def record_projections(spark, d):
     n = D.table(spark, d, "part").agg(F.count("*")).scalar()
     turns = D.table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.when(F.col("turn") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
     bind = turns.withColumn("n", n).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("record"), "conv_id", "turn", ((F.col("conv_id") * 7 + F.col("k") * 31 + F.col("turn")) % F.col("n")).alias("ref"),
+        F.concat_ws("/", "conv_id", "turn").alias("record"), "conv_id", "turn", ((F.col("conv_id") * 7 + F.col("k") * 31 + F.col("turn")) % F.col("n")).alias("ref"),
         F.when((F.col("turn") + F.col("k")) % 4 == 3, "candidate").otherwise("exact").alias("status"))
     known = D.decls(spark, d).where("statement_text IS NOT NULL").select("ref", "scope_id")
     exact = F.col("status") == "exact"
@@ -441,7 +448,7 @@ def projected_relations(spark, d):
 
 TOKENS = r"""
 words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM benchmark),
-sym AS (SELECT item_id * 100000 + row_number() OVER (PARTITION BY item_id ORDER BY word) AS ref, item_id AS module, CASE WHEN item_id % 2 = 0 THEN 'N' || (item_id % 5) || '.' || word ELSE word END AS name, length(word) % 3 <> 0 AS public FROM words),
+sym AS (SELECT item_id || '/' || row_number() OVER (PARTITION BY item_id ORDER BY word) AS ref, item_id AS module, CASE WHEN item_id % 2 = 0 THEN 'N' || (item_id % 5) || '.' || word ELSE word END AS name, length(word) % 3 <> 0 AS public FROM words),
 imp AS (SELECT item_id AS m, item_id // 2 AS t FROM benchmark UNION SELECT item_id, item_id // 3 FROM benchmark),
 vis(m, t) AS (SELECT item_id, item_id FROM benchmark UNION SELECT v.m, i.t FROM vis v JOIN imp i ON i.m = v.t),
 nb AS (SELECT count(*) AS n FROM benchmark),
@@ -462,7 +469,7 @@ def token_resolution(spark, d):
         # Names are numbered inside one passage, whose length bounds the window.
         num = F.row_number().over(Window.partitionBy("module").orderBy("word"))
         symbols = words.select(
-            (F.col("module") * 100000 + num).alias("ref"), "module",
+            F.concat_ws("/", "module", num).alias("ref"), "module",
             F.when(F.col("module") % 2 == 0, F.concat(F.lit("N"), F.col("module") % 5, F.lit("."), "word")).otherwise(F.col("word")).alias("name"),
             (F.length("word") % 3 != 0).alias("public"))
         half = lambda k: bench.select(F.col("item_id").alias("provider"), F.floor(F.col("item_id") / k).alias("consumer"))

@@ -57,7 +57,7 @@ def inventory(spark, d):
     def build():
         path = folder(spark, "inventory")
         rows = positions(D.decls(spark, d).select(F.col("module").alias("file"), "ref", "name"), ["file"], ["ref"], "ordinal")
-        P.write_inventory(rows, path, per_chunk=7, per_shard=50)
+        P.write_inventory(rows, path, per_chunk=P.PER_CHUNK, per_shard=P.PER_SHARD)
         return path
 
     return kept(spark, ("inventory", d), build)
@@ -66,14 +66,14 @@ def inventory(spark, d):
 INVENTORY = "file string, ref long, name string, ordinal long, chunk_count long, chunk_index long"
 
 
-@query("a5_inventory_stream", tree("SELECT module AS file, count(*) AS declarations, CAST(ceil(count(*) / 7.0) AS BIGINT) AS chunks FROM decls GROUP BY module"))
+@query("a5_inventory_stream", tree("SELECT module AS file, count(*) AS declarations, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS chunks FROM decls GROUP BY module"))
 def inventory_stream(spark, d):
     """Inventory shards read as a stream, chunks counted per file."""
     got = drain(spark.readStream.schema(INVENTORY).json(inventory(spark, d)), "inventory-read")
     return got.groupBy("file", "chunk_index").agg(F.count("*").alias("n")).groupBy("file").agg(F.sum("n").alias("declarations"), F.count("*").alias("chunks"))
 
 
-@query("a6_inventory_chunks", tree("SELECT module AS file, (row_number() OVER (PARTITION BY module ORDER BY ref) - 1) // 7 AS chunk_index, ref FROM decls"))
+@query("a6_inventory_chunks", tree("SELECT module AS file, (row_number() OVER (PARTITION BY module ORDER BY ref) - 1) // 1000 AS chunk_index, ref FROM decls"))
 def inventory_chunks(spark, d):
     return spark.read.schema(INVENTORY).json(inventory(spark, d)).select("file", "chunk_index", "ref")
 
@@ -82,7 +82,7 @@ def inventory_chunks(spark, d):
 def shard_sizes(spark, d):
     """No shard holds more lines than allowed."""
     lines = spark.read.text(inventory(spark, d)).groupBy(F.col("_metadata.file_name").alias("shard")).agg(F.count("*").alias("n"))
-    return lines.agg((F.max("n") <= 50).alias("bounded"))
+    return lines.agg((F.max("n") <= P.PER_SHARD).alias("bounded"))
 
 
 @query("a7_inventory_validation", tree("""

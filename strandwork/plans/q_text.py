@@ -28,11 +28,14 @@ def row_digests(spark, d):
 
 
 @query("b2_table_digest", """
-SELECT count(*) AS rows, sum(('0x' || substr(sha256(json_object('doc_id', doc_id, 'lang', lang)::VARCHAR), 1, 8))::BIGINT)::BIGINT AS checksum FROM documents""")
+WITH d AS (SELECT sha256(json_object('doc_id', doc_id, 'lang', lang, 'n_chars', n_chars, 'source', source, 'text_sha', sha256(text))::VARCHAR) AS h FROM documents)
+SELECT count(*) AS rows, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS sum0, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS sum1, sum(('0x' || substr(h, 17, 8))::BIGINT)::BIGINT AS sum2, sum(('0x' || substr(h, 25, 8))::BIGINT)::BIGINT AS sum3, sum(('0x' || substr(h, 33, 8))::BIGINT)::BIGINT AS sum4, sum(('0x' || substr(h, 41, 8))::BIGINT)::BIGINT AS sum5, sum(('0x' || substr(h, 49, 8))::BIGINT)::BIGINT AS sum6, sum(('0x' || substr(h, 57, 8))::BIGINT)::BIGINT AS sum7 FROM d""")
 def table_digest(spark, d):
-    """Order-free digest of a table: the sum of a slice of every row digest."""
-    part = F.conv(F.substring(X.digest("doc_id", "lang"), 1, 8), 16, 10).cast("long")
-    return docs(spark, d).agg(F.count("*").alias("rows"), F.sum(part).alias("checksum"))
+    """Order-free digest of a table: the sums of all eight slices of every row digest, over all columns."""
+    rows = docs(spark, d).select("doc_id", "lang", "n_chars", "source", F.sha2("text", 256).alias("text_sha")).select(
+        X.digest("doc_id", "lang", "n_chars", "source", "text_sha").alias("h"))
+    part = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("rows"), *[F.sum(part(i)).alias(f"sum{i}") for i in range(8)])
 
 
 @query("b3_stable_ids", tree("SELECT ref, 'unit:' || substr(sha256(name), 1, 24) AS id FROM decls"))
@@ -243,11 +246,11 @@ def page_links(spark, d):
     return D.table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="/?([^"]*)"'), 1))).alias("target"))
 
 
-MARKED = f"{LINES}, marked AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 2 THEN '## ' || substr(line, 1, 40) || ' `' || split_part(line, ' ', 1) || '`' ELSE line END AS line FROM lines)"
+MARKED = f"{LINES}, marked AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 2 THEN '## ' || line || ' `' || split_part(line, ' ', 1) || '`' ELSE line END AS line FROM lines)"
 
 
 def marked_lines(spark, d):
-    head = F.concat(F.lit("## "), F.substring("line", 1, 40), F.lit(" `"), F.split("line", " ")[0], F.lit("`"))
+    head = F.concat(F.lit("## "), "line", F.lit(" `"), F.split("line", " ")[0], F.lit("`"))
     return D.lines(spark, d).withColumn("line", F.when(F.col("line_no") % 5 == 2, head).otherwise(F.col("line")))
 
 
@@ -324,7 +327,7 @@ def _expanded(spark, d):
 
 TEX = rf"""
 nl AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM lines),
-tex AS (SELECT source AS root, n.doc_id * 100000 + line_no AS pos, n.doc_id, CASE WHEN line_no = 1 AND n.doc_id % 10 = 0 THEN 'chapter' WHEN line_no = 1 THEN 'section' WHEN line_no % 6 = 2 THEN 'subsection' END AS hk,
+tex AS (SELECT source AS root, n.doc_id * 4294967296 + line_no AS pos, n.doc_id, CASE WHEN line_no = 1 AND n.doc_id % 10 = 0 THEN 'chapter' WHEN line_no = 1 THEN 'section' WHEN line_no % 6 = 2 THEN 'subsection' END AS hk,
   CASE WHEN line_no % 6 = 3 AND line_no + 2 <= total THEN CASE WHEN line_no % 12 = 3 THEN 'theorem' ELSE 'proof' END END AS opens,
   line_no % 6 = 4 AND line_no + 1 <= total AND line_no % 12 = 4 AS names, line_no % 6 = 5 AS closes, trim(line) = '' AND line_no > 1 AND line_no % 6 IN (0, 1) AS blank FROM nl n JOIN documents d ON d.doc_id = n.doc_id),
 ol AS (SELECT *, CASE hk WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'subsection' THEN 4 END AS level FROM tex WHERE NOT blank),
@@ -345,7 +348,7 @@ def tex_rows(spark, d):
             .when(n % 6 == 5, F.concat(F.lit("\\end{"), F.when(n % 12 == 5, "theorem").otherwise("proof"), F.lit("}")))
             .when(n % 6 > 1, F.lit("plain")).when(F.trim("line") == "", F.lit("")).otherwise(F.lit("words")))
     return D.lines(spark, d).join(total, "doc_id").join(docs(spark, d).select("doc_id", F.col("source").alias("root")), "doc_id").select(
-        "root", (F.col("doc_id") * 100000 + n).alias("pos"), text.alias("text"))
+        "root", (F.shiftleft("doc_id", 32) + n).alias("pos"), text.alias("text"))
 
 
 def outlined(spark, d):
@@ -367,7 +370,7 @@ def heading_parents(spark, d):
 
 @query("a21_environment_bindings", f"""WITH {LINES}, {TEX},
 env AS (SELECT root, pos AS opened, opens AS environment, doc_id FROM ol WHERE opens IS NOT NULL),
-nm AS (SELECT e.root, e.opened, e.environment, unnest(['W' || o.doc_id, 'V' || (o.pos % 100000)]) AS name FROM env e JOIN ol o ON o.root = e.root AND o.names AND o.pos = e.opened + 1),
+nm AS (SELECT e.root, e.opened, e.environment, unnest(['W' || o.doc_id, 'V' || (o.pos % 4294967296)]) AS name FROM env e JOIN ol o ON o.root = e.root AND o.names AND o.pos = e.opened + 1),
 pv AS (SELECT *, max(CASE WHEN environment <> 'proof' THEN opened END) OVER (PARTITION BY root ORDER BY opened) AS prior FROM env)
 SELECT root, opened, environment, name FROM nm UNION SELECT p.root, p.opened, p.environment, n.name FROM pv p JOIN nm n ON n.root = p.root AND n.opened = p.prior WHERE p.environment = 'proof'""")
 def environment_bindings(spark, d):
@@ -394,9 +397,10 @@ def attached_materials(spark, d):
 
 @query("a24_combined_materials", """
 WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || turn AS record, CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || '/' || (turn - 1) END AS parent,
-  ('0x' || substr(sha256(text), 1, 7))::BIGINT AS own FROM conversations),
-c(record, h) AS (SELECT record, own FROM r WHERE turn = 0 UNION ALL SELECT r.record, (c.h * 1000003 + r.own) % 2147483647 FROM c JOIN r ON r.parent = c.record)
-SELECT record, sha256(record || ':' || h) AS new_id FROM c""")
+  ('0x' || substr(sha256(text), 1, 15))::BIGINT::HUGEINT AS o0, ('0x' || substr(sha256(text), 16, 15))::BIGINT::HUGEINT AS o1, ('0x' || substr(sha256(text), 31, 15))::BIGINT::HUGEINT AS o2, ('0x' || substr(sha256(text), 46, 15))::BIGINT::HUGEINT AS o3 FROM conversations),
+c(record, h0, h1, h2, h3) AS (SELECT record, o0, o1, o2, o3 FROM r WHERE turn = 0
+  UNION ALL SELECT r.record, (c.h0 * 1000003 + r.o0) % 2305843009213693951, (c.h1 * 1000033 + r.o1) % 2305843009213693951, (c.h2 * 1000037 + r.o2) % 2305843009213693951, (c.h3 * 1000039 + r.o3) % 2305843009213693951 FROM c JOIN r ON r.parent = c.record)
+SELECT record, sha256(record || ':' || h0 || ':' || h1 || ':' || h2 || ':' || h3) AS new_id FROM c""")
 def combined_materials(spark, d):
     """Conversation turns as nested records: the id of a record covers the chain above it."""
     name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit("/"), t.cast("string"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -59,12 +61,40 @@ def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def _state_of(spark: SparkSession, folder: str) -> tuple:
+    """What lies in an input folder: names, sizes and times of change of its tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 _KEPT: dict[tuple, object] = {}
 
 
 def kept(spark: SparkSession, key: tuple, build):
-    """Build a set of written tables once per application and hand out the same tables afterwards."""
-    key = (spark.sparkContext.applicationId, *key)
+    """Build a set of written tables once for an input folder in one state, and hand out the same tables afterwards.
+
+    ``key`` is a name and the folder; changed input is built anew.
+    """
+    key = (spark.sparkContext.applicationId, *key, *(_state_of(spark, k) for k in key if isinstance(k, str) and "/" in k))
     if key not in _KEPT:
         _KEPT[key] = build()
     return _KEPT[key]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers of this application the package, so that jobs run from any working folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandwork-")) / "strandwork.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    # Spark itself hands the file from the driver to the executors.
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)

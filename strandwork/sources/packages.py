@@ -85,7 +85,11 @@ def load_artifact(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return data
 
 
-def write_inventory(rows: DataFrame, path: str, per_chunk: int = 1000, per_shard: int = 5000) -> None:
+# Declarations of a chunk and lines of a shard, at most.
+PER_CHUNK, PER_SHARD = 1000, 5000
+
+
+def write_inventory(rows: DataFrame, path: str, per_chunk: int = PER_CHUNK, per_shard: int = PER_SHARD) -> None:
     """Inventory lines in chunks of at most ``per_chunk`` per file and shards of at most ``per_shard`` lines.
 
     ``rows(file, ordinal, ...)`` with ordinals from 0 inside each file.

@@ -130,6 +130,19 @@ def test_interval_search_is_optimal():
         assert all(hi - lo < uhi - ulo for lo, hi, ulo, uhi in spans)
 
 
+def test_interval_search_with_burdens_and_many_items():
+    for seed in range(20):
+        r = random.Random(seed)
+        n = r.randint(0, 12)
+        pairs = [(a, b, r.randint(1, 5)) for a in range(n) for b in range(a + 1, n) if r.random() < 0.3]
+        cost, _ = R.best_intervals(n, pairs, 3)
+        with_burdens, spans = R.best_intervals(n, pairs, 3, [r.random() for _ in range(n)])
+        assert cost == with_burdens and all(hi - lo < up_hi - up_lo for lo, hi, up_lo, up_hi in spans)
+    cost, spans = R.best_intervals(300, [(i, i + 1, 1.0) for i in range(299)], 6)
+    leaves = [s for s in spans if s[1] - s[0] <= 6]
+    assert cost > 0 and sorted(x for lo, hi, *_ in leaves for x in range(lo, hi)) == list(range(300))
+
+
 def test_balanced_regions_cover_exactly(spark):
     sizes = [(f"p{n}", n) for n in (1, 6, 7, 41, 200)]
     items = spark.createDataFrame([(p, i) for p, n in sizes for i in range(n)], "parent string, pos long")

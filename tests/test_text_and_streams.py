@@ -135,3 +135,39 @@ def test_files_are_emitted_once_when_complete():
     assert list(_gather((3,), iter([pd.DataFrame([(3, 0, 3), (3, 2, 3)], columns=cols)]), state)) == []
     assert run_rules(_gather, 3, cols, [(3, 1, 3)], state) == [(3, 3, "complete")]
     assert list(_gather((3,), iter([pd.DataFrame([(3, 1, 3)], columns=cols)]), state)) == []
+
+
+def test_backslashes_escape_inside_strings_only():
+    from strandwork.functions.text import _without_comments as bare
+
+    assert bare("/- a \\-/ b").strip() == "b"
+    assert bare("x -- c\\\ny") == "x \ny"
+    assert bare("f \\-- c") == "f \\"
+    assert bare('"a\\"--b" -- c').strip() == '"a\\"--b"'
+
+
+def test_inversions_with_negative_values(spark):
+    from strandwork.operators.stats import inversions
+
+    rows = spark.createDataFrame([("g", i, v) for i, v in enumerate([5, -3, 1])] + [("h", 0, -2), ("h", 1, -2)], "k string, o int, v int")
+    assert {r.k: r.inversions for r in inversions(rows, ["k"], "o", "v").collect()} == {"g": 2, "h": 0}
+
+
+def test_type_heads_at_any_depth(spark):
+    from pyspark.sql import functions as F
+    from strandwork.operators.merge import type_head
+
+    want = {"T (a -> ((((((((b))))))))": "T", "T ⟨a = b⟩": "T", "fun x": None, "T -> U": None, "(T)": None, "Ns.T x": "Ns.T", "a = b": None}
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", type_head(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == want
+
+
+def test_kept_tables_follow_their_input(spark, tmp_path):
+    from strandwork.session import kept
+
+    made = []
+    for n in (1, 1, 2):
+        if len(made) < n:
+            (tmp_path / f"t{n}").write_text("x")
+        kept(spark, ("a name", str(tmp_path)), lambda: made.append(1))
+    assert len(made) == 2
