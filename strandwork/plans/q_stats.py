@@ -174,13 +174,15 @@ def alternating_labels(spark, d):
 
 
 @query("g9_selection_batches", """
-WITH s AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE n_chars <= 3000)
-SELECT source, doc_id, pos, ntile_ AS batch FROM (SELECT *, CASE WHEN pos < (n % b) * (n // b + 1) THEN pos // (n // b + 1) ELSE (n % b) + (pos - (n % b) * (n // b + 1)) // (n // b) END AS ntile_
- FROM (SELECT *, ceil(n / 12.0)::BIGINT AS b FROM s))""")
+WITH s AS (SELECT source, doc_id, n_chars > 3000 AS alone, row_number() OVER (PARTITION BY source, n_chars > 3000 ORDER BY doc_id) - 1 AS pos,
+ count(*) OVER (PARTITION BY source, n_chars > 3000) AS n FROM documents)
+SELECT source, doc_id, alone, pos, ntile_ AS batch FROM (SELECT *, CASE WHEN pos < (n % b) * (n // b + 1) THEN pos // (n // b + 1) ELSE (n % b) + (pos - (n % b) * (n // b + 1)) // (n // b) END AS ntile_
+ FROM (SELECT *, CASE WHEN alone THEN n ELSE ceil(n / 12.0)::BIGINT END AS b FROM s))""")
 def selection_batches(spark, d):
-    """Short documents in even batches of at most 12 per source; long ones stand alone elsewhere."""
-    docs = D.table(spark, d, "documents").where("n_chars <= 3000").select("source", "doc_id")
-    return S.even_batches(docs, ["source"], ["doc_id"], 12)
+    """Documents in even batches per source: short ones by up to 12, long ones alone."""
+    docs = D.table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") > 3000).alias("alone"))
+    batches = [S.even_batches(docs.where(F.col("alone") == alone), ["source", "alone"], ["doc_id"], size) for alone, size in ((False, 12), (True, 1))]
+    return batches[0].unionByName(batches[1])
 
 
 @query("f8_chunk_ids", """
