@@ -88,23 +88,3 @@ QUERIES = {
     "op9_toxic_scores": toxic_scores,
     "op10_url_verdicts": url_verdicts,
 }
-
-ORACLES = {
-    "op10_url_verdicts": """
-WITH cut AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
-), hosts AS (
-  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM cut
-), parts AS (
-  SELECT page_id, translate(coalesce(raw_host, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*'), '') AS path FROM hosts
-), rules(rule_host, rule_path, rule_verdict) AS (
-  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
-)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
-FROM (
-  SELECT *, (SELECT arg_max({'rule': rule_host || rule_path, 'verdict': rule_verdict}, length(rule_host || rule_path)) FROM rules
-             WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best
-  FROM parts)
-""",
-}
