@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandwork.llm.texts import pieces, spread
 from strandwork.session import materialize, measured
@@ -355,7 +356,7 @@ def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_names(elements, sizes), pa.string())], [*part.schema.names, "same"])
 
     several = told.where("repeated").select("who", "record", "text")
-    schema = several.schema.add("same", "string")
+    schema = StructType([*several.schema.fields, StructField("same", StringType())])
     several = several.mapInArrow(named, schema)
     own = found.select("same", "component").distinct()
     several = several.join(own, "same", "left")
