@@ -171,3 +171,13 @@ def test_kept_tables_follow_their_input(spark, tmp_path):
             (tmp_path / f"t{n}").write_text("x")
         kept(spark, ("a name", str(tmp_path)), lambda: made.append(1))
     assert len(made) == 2
+
+
+def test_no_commands_inside_verbatim(spark):
+    from strandwork.operators.materials import outline
+
+    text = ["\\section{A}", "\\begin{verbatim}", "\\section{no}", "\\begin{proof}", "\\end{verbatim}", "\\begin{proof}", "in", "\\end{proof}", "out"]
+    rows = spark.createDataFrame([("r", i, t) for i, t in enumerate(text)], "root string, pos long, text string")
+    got = {r.pos: (r.heading, r.environment) for r in outline(rows).collect()}
+    assert [p for p, (h, _) in got.items() if h] == [0]
+    assert got[6][1] == "proof" and got[8][1] is None and got[2][1] == "verbatim"
