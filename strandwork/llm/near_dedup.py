@@ -47,7 +47,7 @@ MISS = 1e-6
 #: Members of a bucket that a task holds, twice (as asking and as told).
 CHUNK = 2048
 #: Words that a task remembers the hashes of.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Code points of text worked on at once inside a task; one longer text is a piece of its own.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,7 +43,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 CANDIDATES = 4000
 PREFIXES = range(3, 9)
 TOXIC_FROM = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Features that a task counts before it hands them on.
 COUNTED = 200_000
 # Letters that digits and signs stand for.
