@@ -2,8 +2,9 @@
 
 1. ``toxicity``: documents that the learned model scores at ``toxicity.TOXIC_FROM`` or more go.
 2. ``near_dedup``: of each group of near duplicates (five words a shingle, similarity 0.8 or
-   more) the document with the least id stays; documents without words stay.  Rows that
-   repeat an id stay only once, the one with the least text.
+   more) the document with the least id stays; documents without words stay, each
+   row of them.  Rows with words that repeat an id stay only once, the one with the least
+   text; rows without an id stay once a group.
 3. ``decontamination``: documents with a window of ten words of a benchmark item go.
 4. ``secrets``: secrets are replaced by a mark, and ``n_chars`` follows the text.
 5. ``bpe``: the texts as token ids, with the digests of the ids and of the decoded text.

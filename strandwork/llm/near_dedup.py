@@ -304,7 +304,8 @@ def _settled(members: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule)
 def components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text", names: bool = False) -> DataFrame:
     """(id, n, component) of every row: the size of its set and the least id of its group (its own if its set is empty).
 
-    With ``names`` the name of the set as well, as ``same``.
+    With ``names`` the name of the set as well, as ``same``, and the least such name of the group, as ``label`` (null
+    for empty sets).
     """
     own = docs.selectExpr(f"`{key}` AS id", f"`{text}` AS text")
     rows = materialize(sketches(own, rule, "id", "text"))
@@ -326,19 +327,23 @@ def components(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text:
     named = classes.select("same", "least")
     named = named.join(label.withColumnRenamed("node", "same"), "same", "left").withColumn("label", F.coalesce("label", "same"))
     first = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = named.join(first, "label").select("same", "component")
+    named = named.join(first, "label").select("same", "component", "label")
     return rows.select("id", "n", "same").join(named, "same", "left").select(
-        "id", "n", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), *["same"] * names)
+        "id", "n", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), *["same", "label"] * names)
 
 
 def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: that of the least id, and of several rows of that id the least text.
+    """One document of each group, with all its columns: that of the least id (null after all others), and of several
+    rows of that id the least text.
 
-    Documents without shingles stay, each row of them.
+    Documents without shingles stay, each row of them.  A null id names no document, so
+    groups of null ids alone are told apart by their label.  Any other id stays once at
+    most, also where unrelated texts repeat it.
     """
-    found = materialize(components(docs, rule, key, text, names=True).where("n > 0"))
-    fate = found.groupBy("id").agg(
-        (F.count("*") > 1).alias("repeated"), F.max(F.col("id").eqNullSafe(F.col("component"))).alias("stays")).select(
+    found = materialize(components(docs, rule, key, text, names=True))
+    own_group = F.col("same").isNull() | F.col("id").eqNullSafe(F.col("component"))
+    # A single row goes by its id alone; of a null or repeated id the texts are looked at.
+    fate = found.groupBy("id").agg((F.count("*") > 1).alias("repeated"), F.max(own_group).alias("stays")).select(
         F.struct("id").alias("who"), "repeated", "stays")
     fate, seen = measured(fate.where("repeated OR NOT stays"), repeated=F.count_if("repeated"))
     records = docs.select(F.struct(F.col(key).alias("id")).alias("who"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
@@ -355,14 +360,13 @@ def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
             elements, sizes = shingle_sets(texts, rule.size, known)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_names(elements, sizes), pa.string())], [*part.schema.names, "same"])
 
-    several = told.where("repeated").select("who", "record", "text")
+    # An id none of whose rows is the least of its group or empty is gone as a whole.
+    several = told.where("repeated AND stays").select("who", "record", "text")
     schema = StructType([*several.schema.fields, StructField("same", StringType())])
     several = several.mapInArrow(named, schema)
-    own = found.select("same", "component").distinct()
+    own = found.where("same IS NOT NULL").select("same", "label", "component").distinct()
     several = several.join(own, "same", "left")
     bare = several.where("same IS NULL").select("record.*")
-    first = several.where(F.col("same").isNotNull() & F.col("who.id").eqNullSafe(F.col("component"))).groupBy("same", "component").agg(
-        F.min_by("record", "text").alias("record"), F.min("text").alias("text"))
-    # Texts of one group under one id may have different sets; the least text of them all stays.
-    first = first.groupBy(F.struct("component").alias("component")).agg(F.min_by("record", "text").alias("record"))
+    first = several.where(F.col("same").isNotNull() & F.col("who.id").eqNullSafe(F.col("component"))).groupBy(
+        "component", F.when(F.col("component").isNull(), F.col("label")).alias("label")).agg(F.min_by("record", "text").alias("record"))
     return kept.unionAll(bare).unionAll(first.select("record.*"))

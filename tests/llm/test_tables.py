@@ -63,6 +63,23 @@ def test_near_groups_are_those_of_all_pairs(spark, rule):
     assert near_dedup.components(df.limit(0), rule).count() == near_dedup.representatives(df.limit(0), rule).count() == 0
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    docs = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, text("c").upper()), (None, text("c")),  # null ids alone
+        (1, text("e")), (1, text("d")),  # one id, unrelated texts
+        (2, text("f")), (3, text("f")), (3, ""), (3, None),  # the worded row of 3 goes, its empty rows stay
+        (4, ""), (4, ""), (None, ""), (None, None),
+        (5, text("g")), (None, text("g")), (6, text("g") + " more"), (6, text("h")),  # null after all others; 6 keeps one of two
+    ]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(docs)], "doc_id long, text string, row int")
+    stay = {r.row for r in near_dedup.representatives(df, near_dedup.Rule(5, 80)).collect()}
+    twins = stay & {1, 2}
+    assert len(twins) == 1
+    # Of rows 3 and 4 the upper-case text is the least, of 5 and 6 the text of d.
+    assert stay - twins == {0, 3, 6, 7, 9, 10, 11, 12, 13, 14, 15, 18}
+
+
 def test_many_members_of_a_bucket_without_links(spark):
     # All share most shingles, none is linked with another: buckets full of pairs that fail.
     body = " ".join(f"w{i}" for i in range(60))
