@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandwork.operators import helpers as H, regions as R, sibling as S
@@ -89,6 +90,43 @@ def test_order_matches_a_plain_solver_in_tasks_and_in_rounds(spark):
     assert area == {p: distance(es, want[p]) for p, _, es in probs}
 
 
+def test_moves_are_not_cut_off_for_many_siblings(spark):
+    # 400 nearly free siblings have 160,000 legal moves a round.
+    n = 400
+    edges = [(a, n - 1 - a, 1 + a % 3) for a in range(0, 40, 4)]
+    rank = [(i * 7) % n for i in range(n)]
+    atoms = spark.createDataFrame([("p", f"a{i:03d}", r) for i, r in enumerate(rank)], "parent string, atom string, rank long")
+    ties = spark.createDataFrame([("p", f"a{a:03d}", f"a{b:03d}", w) for a, b, w in edges], "parent string, provider string, consumer string, weight long")
+    start = spark.createDataFrame([("p", f"a{i:03d}", i) for i in range(n)], "parent string, atom string, pos long")
+    got = solved(S.improve(atoms, ties, None, start))["p"]
+    assert sorted(got) == list(range(n)) and all(got.index(a) < got.index(b) for a, b, _ in edges)
+    # No single move helps any more, and each pair stands side by side.
+    assert distance(edges, got) < distance(edges, list(range(n))) and distance(edges, got) == sum(w for *_, w in edges)
+
+
+def test_best_move_is_that_of_all_moves():
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(2, 90))
+        at = np.arange(n)
+        low, high = at - r.integers(0, at + 1), at + r.integers(0, n - at)
+        pull, wish, alpha = r.integers(-3, 4, n), r.permutation(n), r.permutation(n)
+
+        def figures(old, new):
+            o = np.insert(np.delete(at, old), new, old)
+            return int((pull[o] * at).sum() - (pull * at).sum()), int(np.abs(at - wish[o]).sum() - np.abs(at - wish).sum())
+
+        every = [(*figures(i, j), alpha[i], j, i) for i in range(n) for j in range(low[i], high[i] + 1) if j != i]
+        best = min((m for m in every if m[0] < 0), default=None)
+        assert S._best_move(low, high, pull, wish, alpha) == (best and (best[4], best[3]))
+
+
+def test_rounds_over_several_blocks_match_tasks(spark):
+    atoms, edges = tables(spark, problems(3, 9, 20))
+    start = S.source_start(atoms, edges)
+    assert solved(S.improve(atoms, edges, None, start, task_rows=0, block=2)) == solved(S.improve(atoms, edges, None, start))
+
+
 def test_protected_relations_in_tasks_and_in_step(spark):
     probs = problems(3, 6, 50)
     atoms, edges = tables(spark, probs)
