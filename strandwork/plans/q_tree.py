@@ -189,11 +189,34 @@ def blocked(spark, d):
     return stuck.join(scc(nodes, e), "node", "left_anti")
 
 
+def all_directed(spark, d):
+    """Every declaration and every directed pair of them, within and across modules, folders and repositories."""
+    nodes = D.decls(spark, d).select(F.col("ref").alias("node"))
+    return nodes, materialize(D.edge_pairs(spark, d, directed=True))
+
+
+# The checking SQL closes over the pairs of one module; these read all pairs, and tests hold them against brute force.
+@query("i6_cyclic_components_whole")
+def cyclic_components_whole(spark, d):
+    from strandwork.operators.components import cyclic_components as scc
+
+    return scc(*all_directed(spark, d))
+
+
+@query("i8_blocked_whole")
+def blocked_whole(spark, d):
+    from strandwork.operators.components import cyclic_components as scc
+
+    nodes, e = all_directed(spark, d)
+    stuck = I.waves(nodes, e).where("level IS NULL").select("node")
+    return stuck.join(scc(nodes, e), "node", "left_anti")
+
+
 @query("i7_cycle_witness")
 def cycle_witness(spark, d):
     from strandwork.operators.components import cyclic_components as scc, witnesses
 
-    nodes, e = D.decls(spark, d).select(F.col("ref").alias("node")), materialize(module_directed(spark, d))
+    nodes, e = all_directed(spark, d)
     return witnesses(scc(nodes, e), e).select("component", F.array_join("walk", ",").alias("walk"))
 
 
@@ -212,16 +235,16 @@ sees(module, visible) AS (SELECT scope_id, scope_id FROM scopes WHERE kind = 'mo
             UNION SELECT s.module, i.imported FROM sees s JOIN imports i ON i.module = s.visible)"""
 
 
-def module_imports(spark, d):
-    """A module imports the modules of its folder that it uses declarations of."""
+def module_imports(spark, d, across: bool = False):
+    """A module imports the modules of its folder (with ``across``: of any) that it uses declarations of."""
     decls = D.decls(spark, d)
     side = lambda end, m, f: decls.select(F.col("ref").alias(end), F.col("scope_id").alias(m), F.col("folder_id").alias(f))
     return D.edge_pairs(spark, d).join(side("provider", "imported", "pf"), "provider").join(
-        side("consumer", "module", "cf"), "consumer").where("pf = cf AND module <> imported").select("module", "imported").distinct()
+        side("consumer", "module", "cf"), "consumer").where("module <> imported" if across else "pf = cf AND module <> imported").select("module", "imported").distinct()
 
 
-def import_closure(spark, d):
-    links = materialize(module_imports(spark, d)).select(F.col("module").alias("provider"), F.col("imported").alias("consumer"))
+def import_closure(spark, d, across: bool = False):
+    links = materialize(module_imports(spark, d, across)).select(F.col("module").alias("provider"), F.col("imported").alias("consumer"))
     seeds = D.scopes(spark, d).where("kind = 'module'").select(F.col("scope_id").alias("module"), F.col("scope_id").alias("node"))
     return I.reach(links, seeds, ("module",)).select("module", F.col("node").alias("visible"))
 
@@ -231,6 +254,11 @@ def visible_modules(spark, d):
     return import_closure(spark, d)
 
 
+@query("i12_import_closure_whole")
+def visible_modules_whole(spark, d):
+    return import_closure(spark, d, across=True)
+
+
 @query("i13_import_ownership", tree("""
 SELECT module_name, count(DISTINCT repo_key) AS owners,
        CASE WHEN count(DISTINCT repo_key) = 0 THEN 'missing' WHEN count(DISTINCT repo_key) > 1 THEN 'ambiguous' ELSE 'owned' END AS status

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandwork.operators import graph as G, iterate as I, tree as T
 from strandwork.operators.components import cyclic_components, witnesses
 from strandwork.operators.order_stats import positions, quantiles, running
+from strandwork.plans import load_all
+from strandwork.plans.registry import QUERIES
 
 
 def random_dag(n, p, seed):
@@ -64,6 +66,44 @@ def test_cycles_blocked_and_witness(spark):
     assert stuck - set(comp) == {4, 5, 9}
 
 
+def closed(pairs):
+    """Every (a, b) with a way of one step or more from a to b."""
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for a in after:
+        todo, met = [a], set()
+        for x in todo:
+            new = after.get(x, set()) - met
+            met |= new
+            todo.extend(new)
+        out |= {(a, b) for b in met}
+    return out
+
+
+def test_cycles_and_imports_across_modules(spark, tmp_path):
+    # Suppliers 1-4 in nations 1, 1, 2, 3; part p is in module p % 4 (part counts are those of derived.decls).
+    load_all()
+    d = str(tmp_path)
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    write("region", [(0, "R0"), (1, "R1")], "r_regionkey int, r_name string")
+    write("nation", [(1, "N1", 0), (2, "N2", 0), (3, "N3", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    write("supplier", [(i, f"S{i}", n) for i, n in enumerate((1, 1, 2, 3))], "s_suppkey long, s_name string, s_nationkey int")
+    write("part", [(i, f"p {i}", "B", "T", 1 + i) for i in range(16)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    chains = [(0, 1, 2, 0), (4, 8, 4), (2, 5), (5, 9, 13), (7, 11, 15), (12, 3), (6, 10, 7)]
+    write("lineitem", [(o, n, p) for o, c in enumerate(chains) for n, p in enumerate(c)], "l_orderkey long, l_linenumber int, l_partkey long")
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, d).collect()]
+    pairs = {(a, b) for c in chains for a, b in zip(c, c[1:])}
+    way = closed(pairs)
+    comp = {a: min(y for x, y in way if x == a and (y, a) in way) for a, b in way if a == b}
+    assert dict(run("i6_cyclic_components_whole")) == comp and comp == {0: 0, 1: 0, 2: 0, 4: 4, 8: 4}
+    assert {n for n, in run("i8_blocked_whole")} == {b for a, b in way if a in comp} - set(comp) == {5, 9, 13}
+    assert dict(run("i7_cycle_witness")) == {0: "0,1,2,0", 4: "4,8,4"}
+    uses = {(f"s:{max(e) % 4}", f"s:{min(e) % 4}") for e in pairs if (max(e) - min(e)) % 4}
+    assert sorted(run("i12_import_closure_whole")) == sorted(closed(uses) | {(f"s:{i}", f"s:{i}") for i in range(4)})
+
+
 def test_boundary_of_all_subsets(spark):
     pairs = [(0, 1), (1, 2), (0, 3), (3, 2), (2, 4), (4, 4)]
     sets = [(s, i) for s in range(32) for i in range(5) if s >> i & 1]
