@@ -46,6 +46,8 @@ SLOTS = 128
 MISS = 1e-6
 #: Members of a bucket that a task holds, twice (as asking and as told).
 CHUNK = 2048
+#: Shingles of all their sets that a chunk holds, about.
+CHUNK_SHINGLES = 2_000_000
 #: Words that a task remembers the hashes of.
 REMEMBERED = 300_000
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -282,17 +284,24 @@ def _compared(rule: Rule):
     return run
 
 
+def _chunks(now: DataFrame) -> DataFrame:
+    """(bucket, main, asking, told) of ``now(bucket, same, n, label)``: its largest group, and the chunks of what is outside it and of all."""
+    per = now.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    main = per.groupBy("bucket").agg(F.max(F.struct("k", "label", "n")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).where("k > main.k")
+    chunks = lambda k, n: F.ceil(F.greatest(k / CHUNK, n / CHUNK_SHINGLES)).cast("int")
+    return main.select("bucket", F.col("main.label").alias("main"), chunks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("asking"),
+                       chunks(F.col("k"), F.col("n")).alias("told"))
+
+
 def _settled(members: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The links (a, b) still missing: in each bucket, of whatever is outside its largest group with all else there.
 
-    Outsiders and members are dealt into chunks of about ``CHUNK``, and each chunk of
-    outsiders meets each chunk of members in a task of its own.
+    Outsiders and members are dealt into chunks of about ``CHUNK`` sets and
+    ``CHUNK_SHINGLES`` shingles at most, and each chunk of outsiders meets each chunk of
+    members in a task of its own.
     """
-    now = members.join(label, F.col("same") == F.col("node"), "left").select("bucket", "same", F.coalesce("label", "same").alias("label"))
-    per = now.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    main = per.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("k")).where("k > main.k").select(
-        "bucket", F.col("main.label").alias("main"), F.ceil((F.col("k") - F.col("main.k")) / CHUNK).cast("int").alias("asking"),
-        F.ceil(F.col("k") / CHUNK).cast("int").alias("told"))
+    now = members.join(label, F.col("same") == F.col("node"), "left").select("bucket", "same", "n", F.coalesce("label", "same").alias("label"))
+    main = _chunks(now)
     mixed = now.join(main, "bucket")
     deal = lambda chunks: F.pmod(F.xxhash64("same"), F.col(chunks)).cast("int")
     every = lambda chunks: F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))

@@ -88,6 +88,24 @@ def test_many_members_of_a_bucket_without_links(spark):
     assert {r.component for r in near_dedup.components(df, near_dedup.Rule(3, 85)).collect()} == set(range(60))
 
 
+def test_chunks_follow_the_sizes_of_sets(spark):
+    # 60 long near copies and two long outsiders are few sets, but many shingles.
+    rows = [(1, f"s{i}", 100_000, "main") for i in range(60)] + [(1, "x", 1_500_000, "x"), (1, "y", 1_500_000, "y")]
+    rows += [(2, f"s{i}", 100, "main") for i in range(60)] + [(2, "x", 100, "x")] + [(3, "x", 100, "x")]
+    got = near_dedup._chunks(spark.createDataFrame(rows, "bucket long, same string, n long, label string")).collect()
+    assert {tuple(r) for r in got} == {(1, "main", 2, 5), (2, "main", 1, 1)}
+
+
+def test_links_are_the_same_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 150)
+    body = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, body + " " + " ".join(f"d{i // 2}x{k}" for k in range(9))) for i in range(20)]
+    docs = [(i, t + " " + f"e{i}") for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.id, r.n, r.component) for r in near_dedup.components(df, near_dedup.Rule(3, 85)).collect()), key=repr)
+    assert got == plain_components(docs, near_dedup.Rule(3, 85)) and {c for *_, c in got} == set(range(0, 20, 2))
+
+
 def test_signatures_estimate_similarity_with_less_variance():
     rng = np.random.default_rng(1)
     seen = []
