@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Code points of text worked on at once inside a task; one longer text is a piece of its own.
-PIECE_CHARS = 1_000_000
+#: Bytes of text that are Python strings at once inside a task; one longer text is a piece of its own.
+PIECE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut Arrow batches into pieces of about ``PIECE_CHARS``, each with its texts (null: empty)."""
+    """Cut Arrow batches into pieces of about ``PIECE_BYTES``, each with its texts (null: empty).
+
+    Cuts are made by the lengths alone; only the texts of one piece are ever strings.
+    """
     for batch in batches:
         at = batch.schema.get_field_index(text)
-        texts = [t or "" for t in batch.column(at).to_pylist()]
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= PIECE_CHARS or i + 1 == len(texts):
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, size = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        begin = 0
+        while begin < len(sizes):
+            before = int(ends[begin] - sizes[begin])
+            end = max(begin + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+            part = batch.slice(begin, end - begin)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
+            begin = end
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
