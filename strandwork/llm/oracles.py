@@ -109,7 +109,90 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM d LEFT JOIN sized USING (doc_id) JOIN least ON least.x = d.doc_id
 """
 
+_BLANK = r"[^\x20\x09-\x0D]+"
+FILTER_ORDERS = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '{_BLANK}') AS words FROM d
+), firsts AS (
+  SELECT text, min(doc_id) AS least FROM d GROUP BY text
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT w.row, part,
+         {{'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+           'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+           'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(least < w.doc_id, false)}} AS f,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w JOIN firsts USING (text) LEFT JOIN marks ON marks.doc_id = w.doc_id
+), cells AS (
+  SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END,
+                      CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM judged GROUP BY ALL
+), ways(way) AS (
+  SELECT '' UNION ALL SELECT way || x FROM ways, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE NOT contains(way, x)
+), steps AS (
+  SELECT way AS filter_order, k::INTEGER AS step, substr(way, 1, k - 1) AS earlier, substr(way, k, 1) AS own
+  FROM ways, range(1, 6) AS r(k) WHERE length(way) = 5
+), met AS (
+  SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS failing, fails = own AS only_it,
+         earlier <> '' AND regexp_matches(fails, '[' || earlier || '-]') AS before
+  FROM cells, steps
+), counted AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT failing AND NOT before), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failing AND NOT before), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (failing AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (only_it), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (failing AND NOT before), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (failing AND NOT before), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents
+), found AS (
+  SELECT row, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS whole FROM found GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), sizes AS (
+  SELECT g.lang, coalesce(v, 0) AS v, coalesce(whole_total, 0) AS whole_total
+  FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN (SELECT lang, count(*) AS v, sum(whole) AS whole_total FROM kept GROUP BY lang) USING (lang)
+), counts AS (
+  SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce(total, 0) AS total, v, whole_total
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN sizes USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p,
+         1 + (1000000000::HUGEINT * (whole + 1)) // (whole_total + v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM dense a JOIN dense b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), listed AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM dense WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM listed
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLES = {
+    "op11_filter_orders": FILTER_ORDERS,
+    "op13_source_divergence": SOURCE_DIVERGENCE,
     "op3_secret_scan": SECRET_SCAN,
     "op4_benchmark_leaks": BENCHMARK_LEAKS,
     "op6_near_groups": NEAR_GROUPS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strandwork.llm import bpe, decontamination, language_id, near_dedup, nearest, secrets, sharding, token_counts, toxicity, url_filters
+from strandwork.llm import bpe, decontamination, divergence, filter_audit, language_id, near_dedup, nearest, packing, secrets, sharding, token_counts, toxicity, url_filters
 from strandwork.llm.texts import held_out, learns, table
 
 #: Where public vocabularies lie; every executor has them at the same path.
@@ -76,6 +76,18 @@ def url_verdicts(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def filter_orders(spark, sf_dir):
+    return filter_audit.audit(filter_audit.decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def packed_windows(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe_codec": bpe_codec,
     "op2_languages": languages,
@@ -87,4 +99,7 @@ QUERIES = {
     "op8_shuffled_shards": shuffled_shards,
     "op9_toxic_scores": toxic_scores,
     "op10_url_verdicts": url_verdicts,
+    "op11_filter_orders": filter_orders,
+    "op12_packed_windows": packed_windows,
+    "op13_source_divergence": source_divergence,
 }
