@@ -8,8 +8,8 @@ is read off the merge tree and remembered in a pair table.  A bit per position m
 ends that proved impossible, so every (position, token) is tried once: linear time, and
 exactly the tokens that merging in rank order gives.
 
-A worker remembers the tokens of the pre-tokens it has met, as ragged arrays; texts are
-then rows of indices into them.  Decoding copies the bytes of each token out of one
+A task remembers the tokens of the pre-tokens it has met, up to ``REMEMBERED`` bytes, as ragged
+arrays; texts are then rows of indices into them.  Decoding copies the bytes of each token out of one
 blob by an offset table; the list of decimal ids is made by the same copy.
 
 Cases: null and empty texts have no tokens; the strings of added tokens become those
@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandwork.llm.texts import pieces, spread
+from strandwork.llm.texts import pieces, spread, weight
 
 # Fixed value: how the vocabulary's published pre-tokenizer cuts text.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -43,8 +43,8 @@ LATIN_CUT = re.compile(CUT.pattern.replace(r"[^\s\p{L}\p{N}]", "[^\\s%L%N]").rep
     "%N", "".join(c for c in LATIN if regex.match(r"\p{N}", c))).replace(
     r"\s+", "[%S]+").replace(r"\S", "[^%S]").replace(r"\s", "%S").replace(
     "%S", re.escape("".join(c for c in LATIN if regex.match(r"\s", c)))))
-#: Pre-tokens that a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens that a worker remembers, and pairs of tokens; a full memory is emptied, and each at the end of a task.
+REMEMBERED, PAIRS = 40 << 20, 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -76,13 +76,14 @@ class Blob:
 
 
 class _Numbers(dict):
-    """Words by number; a new one is numbered by ``make``."""
+    """Words by number; a new one is numbered by ``make``.  ``held`` is about what they take."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, word: str) -> int:
         number = self[word] = self.make(word)
+        self.held += weight(word)
         return number
 
 
@@ -120,6 +121,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
+        self.fits.clear()
         self.index = _Numbers(self._number)
         self.flat, self.ends = array("q"), array("q", [0])
 
@@ -156,7 +158,7 @@ class Codec:
                 if stuck:
                     fits = True
                     break
-        if len(self.fits) > 1 << 20:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         self.fits[key] = fits
         return fits
@@ -205,7 +207,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        if len(self.index) > REMEMBERED:
+        if self.index.held > REMEMBERED:
             self.forget()
         index, rows = self.index, []
         for text in texts:
@@ -252,6 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
                 offsets = pa.array(np.append(0, ends).astype(np.int32))
                 columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        coder.forget()
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, n_tokens long"
     schema += ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>" * ids

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that are Python strings at once inside a task; one longer text is a piece of its own.
 PIECE_BYTES = 1_000_000
+#: Bytes that an entry of a worker's memory takes besides its word.
+ENTRY = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into pieces of about ``PIECE_BYTES``, each with its texts (null: empty).
 
-    Cuts are made by the lengths alone; only the texts of one piece are ever strings.
+    Cuts are made by the lengths alone; only the texts of one piece are ever strings.  At the
+    end of the task Arrow gives back what it holds, for the next stage in the same worker.
     """
     for batch in batches:
         at = batch.schema.get_field_index(text)
@@ -33,6 +36,12 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             part = batch.slice(begin, end - begin)
             yield part, [t or "" for t in part.column(at).to_pylist()]
             begin = end
+    pa.default_memory_pool().release_unused()
+
+
+def weight(word: str | bytes) -> int:
+    """About what a remembered word takes: itself, its entry, and a number or two."""
+    return len(word) + ENTRY
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

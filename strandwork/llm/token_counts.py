@@ -30,12 +30,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from strandwork.llm.texts import pieces
+from strandwork.llm.texts import pieces, weight
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-#: Distinct cuts that a worker remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+#: Bytes of distinct cuts that a worker remembers; the memory is emptied when full and at the end of a task.
+REMEMBERED = 48 << 20
 SLOT_BITS = 19
 LIMIT = 4096
 
@@ -68,7 +68,11 @@ class Vocabulary:
         inside = {c for p in score if len(p) > 1 for c in p} - {MARK}
         # A loose character is a cut of its own, with the word marks before it.
         self.cut = re.compile(f"{MARK}*(?:[{re.escape(''.join(sorted(inside)))}]+|[^{MARK}])|{MARK}+")
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
 
     @staticmethod
     def _run_tokens(k: int, sizes: set[int]) -> int:
@@ -185,10 +189,11 @@ class Vocabulary:
         left = np.maximum(marks - 1, 0) + lone
         total = count - lone + left // self.longest + self.rest[left % self.longest]
         self.known.update(zip(new, total.tolist()))
+        self.held += sum(map(weight, new))
 
     def counts(self, texts: list[str]) -> list[int]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.forget()
         cuts = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.known
         fresh = [c for c in set(chain.from_iterable(cuts)) if c not in known]
@@ -213,6 +218,7 @@ def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)],
                 ["key", "n_bytes", "n_tokens", "over_limit"])
+        vocabulary(model).forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(
