@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strandwork.llm.texts import pieces, spread
+from strandwork.llm.texts import pieces, spread, weight
 from strandwork.session import materialize, measured
 
 SLOTS = 128
@@ -48,8 +48,8 @@ MISS = 1e-6
 CHUNK = 2048
 #: Shingles of all their sets that a chunk holds, about.
 CHUNK_SHINGLES = 2_000_000
-#: Words that a task remembers the hashes of.
-REMEMBERED = 300_000
+#: Bytes of words that a task remembers the hashes of.
+REMEMBERED = 40 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,14 +75,21 @@ class Rule:
 
 
 class _Hashes(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
+        self.held += weight(word)
         return h
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 def shingle_sets(texts: list[str], size: int, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles (64-bit hashes) of all texts in a row, sorted within each text, and how many each text has."""
-    if len(known) > REMEMBERED:
+    if known.held > REMEMBERED:
         known.clear()
     get = known.__getitem__
     rows = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -345,9 +352,8 @@ def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     """One document of each group, with all its columns: that of the least id (null after all others), and of several
     rows of that id the least text.
 
-    Documents without shingles stay, each row of them.  A null id names no document, so
-    groups of null ids alone are told apart by their label.  Any other id stays once at
-    most, also where unrelated texts repeat it.
+    Documents without shingles stay, each row of them.  Groups are told apart by their label, not
+    by an id: of unrelated texts under one id, or without an id, each group keeps its row.
     """
     found = materialize(components(docs, rule, key, text, names=True))
     own_group = F.col("same").isNull() | F.col("id").eqNullSafe(F.col("component"))
@@ -376,6 +382,6 @@ def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     own = found.where("same IS NOT NULL").select("same", "label", "component").distinct()
     several = several.join(own, "same", "left")
     bare = several.where("same IS NULL").select("record.*")
-    first = several.where(F.col("same").isNotNull() & F.col("who.id").eqNullSafe(F.col("component"))).groupBy(
-        "component", F.when(F.col("component").isNull(), F.col("label")).alias("label")).agg(F.min_by("record", "text").alias("record"))
+    first = several.where(F.col("same").isNotNull() & F.col("who.id").eqNullSafe(F.col("component"))).groupBy("label").agg(
+        F.min_by("record", "text").alias("record"))
     return kept.unionAll(bare).unionAll(first.select("record.*"))
