@@ -2,13 +2,13 @@
 
 A window is ``n`` consecutive words of a benchmark item; an item with fewer words is
 one window.  The benchmark is dealt by hash into blocks of about ``BLOCK_BYTES`` of
-text; each block's windows are broadcast as a sorted array of 64-bit hashes with the
-words behind them.  Documents are read as word numbers of the block's vocabulary; only
+text, equal rows as one with a count; each block's windows are broadcast as a sorted array
+of 64-bit hashes with the words behind them.  Documents are read as word numbers of the block's vocabulary; only
 positions whose words all lie in it are hashed and looked up, and a hit counts if the
 word numbers agree.  A small benchmark is one block and one pass over the documents
-without a shuffle; a larger one takes a pass per block, each written to the shared
-folder, so what is broadcast never grows beyond the block.  (An item larger than a
-block is a block of its own.)
+without a shuffle; a larger one takes a pass per block, of which only what it found is
+written and added up by row, so what is broadcast never grows beyond the block.  (An item
+larger than a block is a block of its own.)
 
 Cases: null and empty texts and items have no words; items that are equal are all
 reported; repeated documents are judged one by one; a null item id has its words
@@ -18,7 +18,7 @@ nothing is hit.  Other columns of the documents stay as they are.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import math
 import re
 
@@ -51,11 +51,12 @@ def _hashes(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class Windows:
     """The windows of a block of items, by length; built once on the driver and broadcast."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
+    def __init__(self, items: list[tuple], n: int):
+        """``items``: (id, text), or (id, text, how many such rows there are)."""
         self.vocabulary: dict[bytes, int] = {}
-        self.ids = [i for i, _ in items]
+        self.ids, self.times = [i for i, *_ in items], [t[0] if t else 1 for _, _, *t in items]
         by_length: dict[int, dict[bytes, list[int]]] = {}
-        for item, (_, text) in enumerate(items):
+        for item, (_, text, *_) in enumerate(items):
             row = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int32)
             if len(row):
                 size = min(n, len(row))
@@ -97,54 +98,64 @@ class Windows:
 
 
 def _blocks(benchmark: DataFrame, n: int, key: str, text: str, block_bytes: int):
-    """Broadcast windows, block by block; a block is collected only while it is built."""
+    """How many blocks there are, and their broadcast windows one by one; a block is collected only while it is built.
+
+    Equal rows are one with a count before they are dealt, so a row that is repeated a million times fills no block.
+    """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+    items = benchmark.groupBy(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield spark.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], n)), blocks
-
-
-_STATE = "words long, hit array<int>, items array<string>, nameless long"
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text",
-         block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(record, words, hit, items, nameless): the whole row, its number of words, the places of hit words, and the items."""
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(f"`{text}`").alias("text"),
-                        F.lit(0).cast("long").alias("words"), F.array().cast("array<int>").alias("hit"),
-                        F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("nameless"))
-    for windows, blocks in _blocks(benchmark, n, item, item_text, block_bytes):
-
-        def run(batches, windows=windows):
-            for part, texts in pieces(batches):
-                counts, found = windows.value.search(texts)
-                ids = windows.value.ids
-                names = [sorted(ids[i] for i in items if ids[i] is not None) for _, items in found]
-                before = [part.column(k).to_pylist() if blocks > 1 else [[]] * len(texts) for k in (3, 4)]
-                hit = [sorted({*old, *h.tolist()}) if old else h.tolist() for old, (h, _) in zip(before[0], found)]
-                named = [old + new for old, new in zip(before[1], names)]
-                without = [len(items) - len(own) for (_, items), own in zip(found, names)]
-                nameless = np.array(without, np.int64) + part.column(5).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())),
-                     pa.array(named, pa.list_(pa.string())), pa.array(nameless)], part.schema.names)
-
-        state = state.mapInArrow(run, state.schema)
-        if blocks > 1:
-            state = materialize(state)
-    return state
+    own = lambda b: items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+    return blocks, (spark.sparkContext.broadcast(Windows([tuple(r) for r in own(b).collect()], n)) for b in range(blocks))
+
+
+def _searched(rows: DataFrame, windows, every: bool) -> DataFrame:
+    """(row, words, hit, items) of ``rows(row, text)``: all of them, or those that are hit."""
+
+    def run(batches):
+        for part, texts in pieces(batches):
+            counts, found = windows.value.search(texts)
+            own = [i for i, (h, _) in enumerate(found) if every or len(h)]
+            items = [[{"id": windows.value.ids[k], "times": windows.value.times[k]} for k in found[i][1]] for i in own]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(own, pa.int64())), pa.array([counts[i] for i in own], pa.int64()),
+                 pa.array([found[i][0] for i in own], pa.list_(pa.int32())),
+                 pa.array(items, pa.list_(pa.struct([("id", pa.string()), ("times", pa.int64())])))], ["row", "words", "hit", "items"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, words long, hit array<int>, items array<struct<id: string, times: long>>")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id",
+         item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, words, hit, items) of every row: its number of words, the places of hit words, and the items with their counts.
+
+    Of several blocks the first reports every row, the others those that they hit; the reports are added up by
+    the number of the row, and no text travels from block to block.
+    """
+    blocks, every = _blocks(benchmark, n, item, item_text, block_bytes)
+    if blocks == 1:
+        return _searched(docs.select(F.col(f"`{key}`").alias("row"), F.col(f"`{text}`").alias("text")), next(every), True).withColumnRenamed("row", "key")
+    # Numbered and written once, so that every block sees the same numbers.
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
+    parts = []
+    for windows in every:
+        parts.append(materialize(_searched(rows.select("row", "text"), windows, not parts)))
+        windows.destroy()
+    found = functools.reduce(DataFrame.unionAll, parts).groupBy("row").agg(
+        F.max("words").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
+        F.flatten(F.collect_list("items")).alias("items"))
+    return rows.select("row", "key").join(found, "row").drop("row")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = WINDOW, **options) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    found = scan(docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text"), benchmark, n, **options)
+    found = scan(docs, benchmark, n, key, text, **options)
+    named = F.flatten(F.transform(F.filter("items", lambda i: i["id"].isNotNull()), lambda i: F.array_repeat(i["id"], i["times"].cast("int"))))
     return found.select(
-        F.col("record.key").alias(key), F.col("words").alias("n_words"), F.size("hit").cast("long").alias("n_hit"),
-        (F.size("items") + F.col("nameless")).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+        F.col("key").alias(key), F.col("words").alias("n_words"), F.size("hit").cast("long").alias("n_hit"),
+        F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["times"]).alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(named), ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
 
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -162,18 +173,33 @@ def without_hits(text: str, hit: list[int]) -> str:
     return b"".join(out + [raw[at:]]).decode()
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", n: int = WINDOW, **options) -> DataFrame:
-    """The documents, same columns, without those that are hit, or (``mode='spans'``) without the stretches that are hit."""
-    found = scan(docs, benchmark, n, text, **options)
-    if mode == "documents":
-        return found.where(F.size("hit") == 0).select("record.*")
-    if mode != "spans":
-        raise ValueError(mode)
+def cleaned(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", n: int = WINDOW, item: str = "item_id",
+            item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, same columns, without those that are hit, or (``mode='spans'``) without the stretches that are hit.
 
-    def cut(batches):
-        for part in batches:
-            texts = [without_hits(t, h) if h else t for t, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["record", "text"])
+    Each block takes its own away, so what a later block reads is what is left.  (Cutting a stretch out brings
+    words together that were apart; what is hit only then is a matter of the order of blocks, and is cut as well.)
+    """
+    if mode not in ("documents", "spans"):
+        raise ValueError(mode)
+    blocks, every = _blocks(benchmark, n, item, item_text, block_bytes)
+    for windows in every:
 
-    kept = found.select("record", "text", "hit").mapInArrow(cut, found.select("record", "text").schema)
-    return kept.select(*[F.col("text") if c == text else F.col(f"record.`{c}`") for c in docs.columns])
+        def run(batches, windows=windows):
+            for part, texts in pieces(batches, text):
+                _, found = windows.value.search(texts)
+                hit = [len(h) > 0 for h, _ in found]
+                if mode == "documents":
+                    part = part.filter(pa.array([not h for h in hit], pa.bool_()))
+                elif any(hit):
+                    at = part.schema.get_field_index(text)
+                    # Texts that are not hit stay as they are, null or empty.
+                    cut = [without_hits(t, h.tolist()) if len(h) else old for t, (h, _), old in zip(texts, found, part.column(at).to_pylist())]
+                    part = part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type))
+                yield part
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if blocks > 1:
+            docs = materialize(docs)
+            windows.destroy()
+    return docs
