@@ -4,15 +4,16 @@
    its own texts, Spark adds the counts up) and smoothed with bigrams and unigrams.
    Letters outside a-z share ``CLASSES`` symbols by code point, so the model has at most
    ``SYMBOLS`` ** 3 numbers, whatever the corpus.
-2. **Restoration.** A token of letters alone reads in one way only.  One with digits or
-   signs among its letters, with a letter three times in a row, or a row of single
-   letters set apart by blanks is a lattice: a sign may be a letter that it looks
-   like, a gap, or nothing; a repeated letter may be dropped.  Viterbi over pairs of
-   symbols finds the cheapest reading under the character model and the channel costs.
+2. **Restoration.** A token with digits or signs among its letters, with a letter repeated, or
+   a row of single letters set apart by any blanks is a lattice: a sign may be a letter
+   that it looks like, a gap, or nothing; a repeated letter may be dropped.  Viterbi over
+   pairs of symbols finds the cheapest reading under the character model and the channel
+   costs.  A word of letters of which none stands three times in a row is kept beside its reading.
 3. **Lexicon.** On a sample of labelled rows (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` at most, taken by
    hash order, near copies once) whole words and word beginnings are counted by label.
    The feature that explains most of the toxic texts still unexplained is taken, until
-   none explains enough; whole words that are toxic beyond doubt join it.  A score is
+   none explains enough; whole words that are toxic beyond doubt join it.  Either kind needs
+   a share of toxic texts whose lower bound (``SURE`` deviations) is above ``LEAST_SHARE``.  A score is
    one minus the chance that neither the ground rate nor any feature that is present
    makes the text toxic.
 
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandwork.llm.texts import pieces
+from strandwork.llm.texts import pieces, weight
 from strandwork.session import materialize
 
 CLASSES = 37
@@ -43,7 +44,10 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 CANDIDATES = 4000
 PREFIXES = range(3, 9)
 TOXIC_FROM = 0.3
-REMEMBERED = 200_000
+#: Deviations, and the share of toxic texts behind a feature that has to be passed by so many.
+SURE, LEAST_SHARE = 1.64, 0.6
+#: Bytes of tokens that a worker remembers; a full memory is emptied, and each at the end of a task.
+REMEMBERED = 40 << 20
 #: Features that a task counts before it hands them on.
 COUNTED = 200_000
 # Letters that digits and signs stand for.
@@ -92,8 +96,9 @@ def character_costs(grams: DataFrame) -> np.ndarray:
 
 _REPEATED = re.compile(r"(.)\1\1")
 _CHUNK = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
-#: Single characters in a row, set apart by one blank each.
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: Single characters in a row, set apart by blanks of any kind and number.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_TWICE = re.compile(r"(.)\1")
 
 
 class Reader:
@@ -105,8 +110,7 @@ class Reader:
     def _options(self, text: str, i: int) -> list[tuple[str, float]]:
         c = text[i]
         if c.isalpha():
-            repeated = i > 0 and text[i - 1] == c
-            return [(c, 0.0), ("", REPEAT_COST)] if repeated and (text[i - 2 : i] == c * 2 or text[i + 1 : i + 2] == c) else [(c, 0.0)]
+            return [(c, 0.0), ("", REPEAT_COST)] if i > 0 and text[i - 1] == c else [(c, 0.0)]
         looks = [(x, LOOK_COST) for x in LOOKS.get(c, "")]
         if looks:
             return [*looks, (" ", GAP_COST), ("", NOTHING_COST)]
@@ -140,7 +144,7 @@ class Reader:
     def words(self, token: str) -> list[str]:
         """The words that a lower-case token holds."""
         if token.isalpha():
-            return self.viterbi(token).split() if _REPEATED.search(token) else [token]
+            return self._letters(token)
         core = _CHUNK.search(token)
         if not core:
             return []
@@ -149,18 +153,24 @@ class Reader:
         if begin and token[begin - 1] in LOOKS and token[:begin].count(token[begin - 1]) == 1:
             begin -= 1
         text = token[begin:end]
-        if text.isalpha() and not _REPEATED.search(text):
-            return [text]
+        if text.isalpha():
+            return self._letters(text)
         if not any(c.isalpha() for c in text):
             return []
         return [w for w in self.viterbi(text).split() if w.isalpha()]
 
+    def _letters(self, word: str) -> list[str]:
+        """Three of a letter in a row are a disguise; two may be one, so the word stands beside its cheapest reading."""
+        if _REPEATED.search(word):
+            return self.viterbi(word).split()
+        return sorted({word, *self.viterbi(word).split()}) if _TWICE.search(word) else [word]
+
     def spaced(self, text: str) -> list[str]:
         """Words spelled out letter by letter in a lower-case text."""
         out = []
         for m in SPACED.finditer(text):
             if sum(c.isalpha() for c in m[0]) >= 3:
-                out += [w for w in self.viterbi(m[0]).split() if len(w) > 1]
+                out += [w for w in self.viterbi(" ".join(m[0].split())).split() if len(w) > 1]
         return out
 
 
@@ -172,7 +182,7 @@ class Lexicon(dict):
     """Tokens to the features they hold; remembers what it has read."""
 
     def __init__(self, reader: Reader, weights: dict[str, float]):
-        self.reader, self.weights = reader, weights
+        self.reader, self.weights, self.bytes = reader, weights, 0
         self.sizes = sorted({len(f) for f in weights if f[0] != "="})
 
     def held(self, words: list[str]) -> frozenset[str]:
@@ -181,10 +191,15 @@ class Lexicon(dict):
 
     def __missing__(self, token: str) -> frozenset[str] | None:
         found = self[token] = self.held(self.reader.words(token)) or None
+        self.bytes += weight(token)
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
     def of(self, text: str) -> set[str]:
-        if len(self) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.clear()
         text = text.lower()
         hits = set(map(self.__getitem__, text.split()))
@@ -286,19 +301,25 @@ def choose(names: list[str], rows: list[tuple[list[int], int]], scale: float) ->
     total = np.bincount(list(itertools.chain(*toxic)), minlength=len(names)).astype(float)
     # One more clean text than was seen: what the sample never shows clean is not thereby certain.
     share = total / (total + scale * (clean + 1))
+    # Wilson's lower bound: a few toxic texts that share a chance word prove nothing.
+    seen = total + scale * clean
+    with np.errstate(invalid="ignore"):
+        raw = np.where(seen > 0, total / np.maximum(seen, 1e-9), 0)
+    bound = (raw + SURE**2 / (2 * np.maximum(seen, 1)) - SURE * np.sqrt(raw * (1 - raw) / np.maximum(seen, 1) + SURE**2 / (4 * np.maximum(seen, 1) ** 2))) / (
+        1 + SURE**2 / np.maximum(seen, 1))
     least = max(3, len(toxic) // 400)
     length = np.array([len(f) for f in names])
     chosen: dict[str, float] = {}
     left = toxic
     while left and len(names):
         open_ = np.bincount(list(itertools.chain(*left)), minlength=len(names)).astype(float)
-        gain = np.where((open_ >= least) & (share >= 0.7), open_ * (share - 0.5), 0)
+        gain = np.where((open_ >= least) & (share >= 0.7) & (bound > LEAST_SHARE), open_ * (share - 0.5), 0)
         best = np.lexsort((np.arange(len(names)), -length, -gain))[0]
         if gain[best] <= 0:
             break
         chosen[names[best]] = float(share[best])
         left = [held for held in left if best not in held]
-    sure = (share >= 0.9) & (total >= max(5, len(toxic) // 100))
+    sure = (share >= 0.9) & (bound > LEAST_SHARE) & (total >= max(5, len(toxic) // 100))
     chosen.update((f, float(share[i])) for i, f in enumerate(names) if sure[i] and f[0] == "=" and f not in chosen)
     found = {names.index(f) for f in chosen}
     missed_clean = sum(1 for held, y in rows if y != 1 and not found & set(held))
@@ -320,7 +341,9 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from, key: str = "doc_id", t
     names = [r[0] for r in counted.where("share >= 0.7").orderBy(
         F.desc(F.col("toxic") * (F.col("share") - 0.5)), F.desc(F.length("feature")), "feature").limit(CANDIDATES).select("feature").collect()]
     weights, ground = choose(names, _held(sample, costs, names), scale)
-    return Model(costs.value, weights, ground)
+    model = Model(costs.value, weights, ground)
+    costs.destroy()
+    return model
 
 
 def _scores(docs: DataFrame, model: Model, text: str, run_text):
@@ -329,6 +352,7 @@ def _scores(docs: DataFrame, model: Model, text: str, run_text):
     def run(batches):
         for part, texts in pieces(batches, text):
             yield from run_text(part, np.array([shared.value.score(t) for t in texts]))
+        shared.value.lexicon.clear()
 
     return run
 
