@@ -5,6 +5,11 @@ a fast Hadamard transform; its bucket in a table is the signed axis that it lies
 to.  A query looks into the ``PROBES`` nearest axes of each of ``TABLES`` tables.  What shares
 a bucket is scored exactly and each bucket hands on the best of each query only.
 
+Vectors of other lengths than 64 take a number of probes in proportion to their axes.  Queries
+whose buckets hold fewer than ``k`` answers are held against all rows of their length, in
+blocks.  Recall is measured on ``RECALL_SAMPLE`` queries in the same way each time; if it is
+below ``LEAST_RECALL``, every query is scanned so.
+
 Buckets are dealt into chunks by a hash of the id, so many that a bucket of mean size has
 ``CHUNK`` rows a chunk; a bucket with a third of all rows then has chunks some forty times
 larger, which is still bounded.  Equal vectors are one candidate with its smallest ids,
@@ -17,7 +22,9 @@ the rest).  ``axes`` concatenates several axes to a bucket for vectors that do c
 Scores are cosines in double precision of the original vectors, summed in one order for
 every pair.  Cases: null ids and vectors, zero vectors, and vectors with null or
 non-finite components take no part; vectors meet others of their length only; equal
-rows count once; a row is no neighbour of rows of its own id; ties go to the smaller id.
+rows count once; a row is no neighbour of rows of its own id; ties go to the smaller id; with
+fewer than ``k`` candidates a query gets them all, and none if it is alone; other columns are not
+read, whatever their names; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +39,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandwork.session import materialize
 
 TABLES, PROBES, CHUNK = 10, 10, 4096
+#: Signed axes of 64 dimensions, which ``PROBES`` is meant for; longer vectors take as many more probes as they have more axes.
+PROBED_AXES = 128
+#: Distinct queries that recall is measured on, and what it has to be; below it all queries are held against all rows.
+RECALL_SAMPLE, LEAST_RECALL = 64, 0.9
 #: Vectors hashed at once in a task.
 BLOCK = 4096
 
@@ -75,8 +86,13 @@ def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
     return number
 
 
-def _hashed(rows: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
-    """(size, table, bucket, node, vector) for each probed bucket of each row of ``rows(node, vector)``."""
+def probes_for(size: int, probes: int) -> int:
+    """The same share of buckets for every length of vectors."""
+    return max(probes, math.ceil(probes * (2 << max(1, (size - 1).bit_length())) / PROBED_AXES))
+
+
+def _hashed(rows: DataFrame, tables: int, axes: int, probes) -> DataFrame:
+    """(size, table, bucket, node, vector) for each probed bucket of each row of ``rows(node, vector)``; ``probes`` by length."""
 
     def run(batches):
         for batch in batches:
@@ -90,7 +106,7 @@ def _hashed(rows: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
                     x = mine.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), size)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     for table in range(tables):
-                        found = buckets(x, table, axes, probes)
+                        found = buckets(x, table, axes, probes(size))
                         again = mine.take(pa.array(np.repeat(np.arange(len(own)), found.shape[1])))
                         n = again.num_rows
                         yield pa.RecordBatch.from_arrays(
@@ -130,38 +146,70 @@ def _best(k: int):
 
 
 def search(rows: DataFrame, asks, k: int = 5, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES,
-           probes: int = PROBES, axes: int = 1) -> DataFrame:
+           probes: int = PROBES, axes: int = 1, least_recall: float = LEAST_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``asks(key column)`` is true."""
     sound = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    valid = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).where(
+    valid = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector")).where(
         F.col("id").isNotNull() & F.col("vector").isNotNull()).where(sound)
     # An answer shows k ids of a vector at most, after the query's own is left out; Spark limits each partition before the shuffle.
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     kept = materialize(valid.distinct().withColumn("place", place).where(F.col("place") <= k + 1))
     # A distinct vector is named by its least id and its hash.
     named = kept.withColumn("node", F.struct("id", F.xxhash64("vector").alias("hash")))
-    singles = named.where("place = 1")
-    n = singles.count()
+    singles = named.where("place = 1").select("node", "vector", F.size("vector").alias("size"))
     queries = valid.where(asks(F.col("id"))).distinct()
     distinct = queries.groupBy("vector").agg(F.struct(F.min("id").alias("id"), F.first(F.xxhash64("vector")).alias("hash")).alias("node"))
-    distinct = materialize(distinct)
-    width = singles.select(F.max(F.size("vector"))).first()[0] or 1
-    mean = n / (2 << max(1, (width - 1).bit_length())) ** axes
-    chunks = max(1, math.ceil(mean / CHUNK))
-    index = _hashed(singles, tables, axes, 1).withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int"))
-    probed = _hashed(distinct, tables, axes, probes).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    both = index.withColumn("asks", F.lit(False)).unionByName(probed.withColumn("asks", F.lit(True)))
-    node = both.schema["node"].dataType.simpleString()
-    found = both.groupBy("size", "table", "bucket", "chunk").applyInArrow(_best(k + 1), f"ask {node}, got {node}, score double")
-    per_vector = Window.partitionBy("ask").orderBy(F.desc("score"), "got")
-    found = found.groupBy("ask", "got").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(per_vector)).where(
-        F.col("r") <= k + 1).select("ask", "got", "score")
+    distinct = materialize(distinct.select("node", "vector", F.size("vector").alias("size")))
+    lengths = materialize(singles.groupBy("size").agg(F.count("*").alias("n")))
+    members = materialize(named.join(singles.select("vector", F.col("node").alias("got")), "vector").select("got", F.col("id").alias("found_id")))
+    found = materialize(_probed(singles, distinct, lengths, k, tables, probes, axes))
+    # Queries that the tables gave too few ids (their own counts as one), and a fixed sample, are held against all rows of their length.
+    ids = found.join(members.groupBy("got").agg(F.count("*").alias("ids")), "got").groupBy("ask").agg(F.sum("ids").alias("ids"))
+    told = distinct.select(F.col("node").alias("ask"), "vector", "size").join(ids, "ask", "left")
+    sample = told.orderBy(F.xxhash64("ask", F.lit("recall")), "ask").limit(RECALL_SAMPLE).select("ask")
+    few = told.where(F.coalesce("ids", F.lit(0)) < k + 1).select("ask")
+    again = materialize(distinct.join(few.unionAll(sample).distinct().withColumnRenamed("ask", "node"), "node", "left_semi"))
+    exact = materialize(_scanned(singles, again, lengths, k))
+    seen = exact.join(sample, "ask", "left_semi").join(found.select("ask", "got", F.lit(1).alias("hit")), ["ask", "got"], "left").agg(
+        F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+    if seen["hits"] < least_recall * seen["n"]:
+        found = _scanned(singles, distinct, lengths, k)
+    else:
+        found = found.join(again.select(F.col("node").alias("ask")), "ask", "left_anti").unionByName(exact)
     # Back to ids: every id of a found vector, then every query of a vector.
-    members = named.join(singles.select("vector", F.col("node").alias("got")), "vector").select("got", F.col("id").alias("found_id"))
     rows_found = found.join(members, "got").select("ask", "found_id", "score")
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "found_id")
     rows_found = rows_found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("ask", "found_id", "score")
-    askers = queries.join(distinct.withColumnRenamed("node", "ask"), "vector").select("ask", F.col("id").alias("query_id"))
+    askers = queries.join(distinct.select("vector", F.col("node").alias("ask")), "vector").select("ask", F.col("id").alias("query_id"))
     answer = askers.join(rows_found, "ask").where("query_id <> found_id")
     ranked = answer.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "found_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("found_id").alias("vec_id"), "score")
+
+
+def _met(index: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(ask, got, score): the best ``k + 1`` of each asking row over all groups of (size, table, bucket, chunk) that it is in."""
+    columns = ["size", "table", "bucket", "chunk", "node", "vector"]
+    both = index.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
+    node = both.schema["node"].dataType.simpleString()
+    found = both.groupBy("size", "table", "bucket", "chunk").applyInArrow(_best(k + 1), f"ask {node}, got {node}, score double")
+    per_vector = Window.partitionBy("ask").orderBy(F.desc("score"), "got")
+    return found.groupBy("ask", "got").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(per_vector)).where(
+        F.col("r") <= k + 1).select("ask", "got", "score")
+
+
+def _probed(singles: DataFrame, distinct: DataFrame, lengths: DataFrame, k: int, tables: int, probes: int, axes: int) -> DataFrame:
+    """What shares a probed bucket; a bucket of mean size has ``CHUNK`` rows a chunk."""
+    # Signed axes of a length: twice the next power of two.
+    around = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("size", F.lit(2)))) + 1)
+    dealt = lengths.select("size", F.greatest(F.lit(1), F.ceil(F.col("n") / F.pow(around, F.lit(axes)) / CHUNK)).cast("int").alias("chunks"))
+    index = _hashed(singles, tables, axes, lambda size: 1).join(dealt, "size").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    asking = _hashed(distinct, tables, axes, lambda size: probes_for(size, probes)).join(dealt, "size").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return _met(index, asking, k)
+
+
+def _scanned(singles: DataFrame, asking: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """The same against every row of the asking row's length, in blocks of ``CHUNK``."""
+    dealt = lengths.select("size", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.lit(-1).alias("table"), F.lit(0).cast("long").alias("bucket"))
+    index = singles.join(dealt, "size").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    return _met(index, asking.join(dealt, "size").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), k)
