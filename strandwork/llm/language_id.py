@@ -7,34 +7,37 @@ step together, so the work is a few numpy calls a position.
 
 Training is backpropagation through time in numpy on the driver, over a bounded sample:
 ``DOCS`` texts of a language in the mean, taken by a hash of the id, one stretch of
-``STRETCH`` characters from a hashed place of each, of at most ``LANGUAGES`` languages (the
-most frequent ones).  Only the text and its label enter; labels are never input.
-
-Cases: null, empty and letterless texts are ``und`` with score 0, and so is every text if no
-labelled row can be learned from; rows with a null id or language teach nothing.
+``STRETCH`` characters from a hashed place of each.  Every language that has a text with a
+letter to learn from can be predicted; the output layer is as wide.  Only the text and its
+label enter; labels are never input.
+
+Cases: null, empty and letterless texts (letters are those of Unicode; digits, number forms
+and signs are none) are ``und`` with score 0, and so is every text if no labelled row can be
+learned from; rows with a null id or language teach nothing; texts are read whole, of any
+length; repeated rows are predicted one by one; other columns are not read, also if they are
+called like those made here; an empty table has no rows.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwork.llm.texts import pieces
 
 WINDOW = 96
 HIDDEN = 8
-LANGUAGES = 64
 DOCS = 300
 STRETCH = 400
 EPOCHS, BATCH, RATE = 8, 128, 0.02
 #: Windows that take a step together.
 ABREAST = 2048
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,10 +199,10 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Network:
 
 
 def sample(docs: DataFrame, may_learn: Column, key: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """(stretch, language) of about ``DOCS`` texts of each language; bounded by DOCS and LANGUAGES."""
+    """(stretch, language) of about ``DOCS`` texts of each language; bounded by DOCS and the number of languages."""
     known = docs.where(may_learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
     draw = F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
