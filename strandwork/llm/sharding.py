@@ -1,6 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters the records into buckets of about ``BUCKET_BYTES`` by a seeded hash
+Pass one scatters the records into buckets of about ``BUCKET_BYTES`` (more for inputs of
+terabytes) by a seeded hash
 of their key, text and place in the input, so that neither equal ids nor equal texts
 meet in one bucket.  Pass two holds one bucket in a task, brings it into an order
 that does not depend on how the pieces arrived, applies a Fisher-Yates permutation
@@ -29,7 +30,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from strandwork.session import materialize
 
-BUCKET_BYTES = 32 << 20
+#: Bytes of a bucket: the least, and the most, of which a task holds some three copies while it permutes.
+BUCKET_BYTES, LARGEST_BUCKET = 32 << 20, 256 << 20
+#: Buckets that an input is aimed at before buckets grow; their sizes are summed up in one task, as a few numbers each.
+AIM_BUCKETS = 1 << 15
 #: Buckets of small inputs; more only if the bytes ask for it.
 LEAST_BUCKETS = 32
 #: The table of bucket sizes (16 bytes a bucket) is broadcast up to so many buckets, and joined by shuffle beyond.
@@ -55,11 +59,17 @@ def _permuted(seed: int):
     return run
 
 
+def buckets_for(total: int) -> int:
+    """Buckets grow with the input from ``BUCKET_BYTES`` to ``LARGEST_BUCKET``; only then does their number (100 TB: 390,000)."""
+    each = min(LARGEST_BUCKET, max(BUCKET_BYTES, total // AIM_BUCKETS))
+    return max(LEAST_BUCKETS, math.ceil(total / each))
+
+
 def shuffled(records: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
     """The records in random order: (position, record), written to the shared folder."""
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
     total = records.agg(F.sum(size)).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_BYTES))
+    buckets = buckets_for(total)
     whole = F.struct(*[F.col(f"`{c}`") for c in records.columns])
     order = F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.col(text).cast("binary")), F.monotonically_increasing_id())
     scattered = records.select(whole.alias("record"), order.alias("order")).withColumn(
