@@ -143,3 +143,40 @@ def test_windows_of_the_benchmark(spark, block_bytes):
     assert {re.sub(r"\W+", " ", r.text).strip() for r in cut.where("text LIKE 'q%'").collect()} == {"q q q q q q"}
     assert decontamination.report(d, b.limit(0), n=4).where("contaminated").count() == 0
     assert decontamination.report(d.limit(0), b, n=4).count() == 0
+
+
+def test_repeated_rows_of_the_benchmark_are_one(spark):
+    # 300 equal rows and two others: with a block for about two different rows, no block gets more.
+    items = spark.createDataFrame([(1, "ab cd ef gh")] * 300 + [(2, "x y z w"), (3, "q r s t")], "item_id long, text string")
+    blocks, every = decontamination._blocks(items, 4, "item_id", "text", 27)
+    built = [b.value for b in every]
+    assert blocks == 3 and sum(len(b.ids) for b in built) == 3 and sorted(n for b in built for n in b.times) == [1, 1, 300]
+    docs = spark.createDataFrame([(1, "AB cd ef gh " * 20_000, 5), (2, "nothing", 5)], "doc_id long, text string, row int")
+    got = {r.doc_id: r for r in decontamination.report(docs, items, n=4, block_bytes=27).collect()}
+    assert got[1].n_items == 300 and got[1].n_hit == got[1].n_words == 80_000 and not got[2].contaminated
+    assert got[1].items_sha256 == hashlib.sha256(",".join(["1"] * 300).encode()).hexdigest()
+
+
+def test_worker_memories_are_bounded_by_bytes(monkeypatch):
+    coder = bpe.Codec(BYTE_BPE)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    for k in range(20):
+        assert coder.decode(coder.encode([" ".join(f"word{k}x{i}" for i in range(50))])[0]).startswith(f"word{k}x0")
+        assert coder.index.held < 5_000 + 60 * 300
+    own = token_counts.Vocabulary(PIECE_BPE)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 5_000)
+    for k in range(20):
+        own.counts([" ".join(f"word{k}x{i}" for i in range(50))])
+        assert own.held < 5_000 + 60 * 300 and len(own.known) <= own.held
+
+
+def test_pieces_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from strandwork.llm import texts
+
+    rows = ["é" * 300_000, None, "", "x" * 900_000, "y" * 2_000_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(rows)], ["k", "text"]).slice(1)
+    found = list(texts.pieces(iter([batch, batch.slice(0, 0)])))
+    assert [t for _, own in found for t in own] == [t or "" for t in rows[1:]]
+    assert [part.column(0).to_pylist() for part, _ in found] == [[1, 2, 3], [4], [5]]
