@@ -98,7 +98,7 @@ _REPEATED = re.compile(r"(.)\1\1")
 _CHUNK = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 #: Single characters in a row, set apart by blanks of any kind and number.
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-_TWICE = re.compile(r"(.)\1")
+_TWICE, _RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 
 
 class Reader:
@@ -174,6 +174,11 @@ class Reader:
         return out
 
 
+def folded(word: str) -> str:
+    """The word with one letter for each run of a letter."""
+    return _RUN.sub(r"\1", word)
+
+
 def features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if n < len(word))]
 
@@ -184,16 +189,26 @@ class Lexicon(dict):
     def __init__(self, reader: Reader, weights: dict[str, float]):
         self.reader, self.weights, self.bytes = reader, weights, 0
         self.sizes = sorted({len(f) for f in weights if f[0] != "="})
+        # Every reading of a word of letters has the same letters when repeats are folded, so most words are settled by that.
+        self.folded = {f"={folded(f[1:])}" if f[0] == "=" else folded(f) for f in weights}
+        self.folded_sizes = sorted({len(f) for f in self.folded if f[0] != "="})
 
     def held(self, words: list[str]) -> frozenset[str]:
         w = self.weights
         return frozenset(f for x in words for f in (f"={x}", *(x[:n] for n in self.sizes if n < len(x))) if f in w)
 
     def __missing__(self, token: str) -> frozenset[str] | None:
-        found = self[token] = self.held(self.reader.words(token)) or None
+        if token.isalpha() and _TWICE.search(token) and not self.reachable(folded(token)):
+            words = [] if _REPEATED.search(token) else [token]
+        else:
+            words = self.reader.words(token)
+        found = self[token] = self.held(words) or None
         self.bytes += weight(token)
         return found
 
+    def reachable(self, word: str) -> bool:
+        return f"={word}" in self.folded or any(word[:n] in self.folded for n in self.folded_sizes)
+
     def clear(self) -> None:
         super().clear()
         self.bytes = 0
