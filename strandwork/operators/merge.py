@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandwork.operators.names import looked_up
+
 # Field authority by source.
 FORMAL = ("module", "native_scope", "statement.formal", "proof.formal", "source_refs", "source_context")
 KERNEL = ("lean_name", "module", "kind", "kernel_kind", "generated_from", "statement.deps", "proof.deps")
@@ -139,13 +141,9 @@ def resolve_tokens(tokens: DataFrame, symbols: DataFrame, visible: DataFrame) ->
 
     ``tokens(item, module, tier, name, token)`` lists the candidate names of a token;
     ``symbols(ref, module, name, public)``; ``visible(module, seen)`` the import
-    closure.  Candidates are folded to (viewing module, name) first, so a token looks
-    up one row however many declarations share its name.
+    closure.  Only (module, name) pairs that a token asks for are looked up, by name first.
     """
-    public = visible.join(symbols.where("public").select(F.col("module").alias("seen"), "name", "ref"), "seen").select("module", "name", "ref")
-    own = symbols.where("NOT public").select("module", "name", "ref")
-    folded = public.unionAll(own).groupBy("module", "name").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"))
-    met = tokens.join(folded, ["module", "name"], "left")
+    met = tokens.join(looked_up(tokens.select("module", "name"), symbols, visible), ["module", "name"], "left")
     # Names of one tier together: lowest and highest ref over the tier tell none, one, or several.
     tier = met.groupBy("item", "token", "tier").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     found = F.when(F.col("lo").isNotNull(), F.struct("tier", "lo", "hi"))

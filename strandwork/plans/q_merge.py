@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwork.operators import graph as G, iterate as I, merge as M
+from strandwork.operators import graph as G, iterate as I, merge as M, names as N
 from strandwork.operators.order_stats import adjacent_pairs
 from strandwork.plans.oracle_base import graph, tree
 from strandwork.plans.q_graph import acyclic_pairs
@@ -496,3 +496,94 @@ FROM tok t LEFT JOIN bst b ON b.doc_id = t.doc_id AND b.word = t.word GROUP BY t
 def resolution_counts(spark, d):
     s = F.col("status")
     return token_resolution(spark, d).groupBy("item").agg(F.count_if(s == "edge").alias("edges"), F.count_if(s == "ambiguous").alias("ambiguous"), F.count_if(s == "unresolved").alias("unresolved"))
+
+
+SCOPED = r"""
+items AS (SELECT item_id AS module, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark),
+spaces AS (SELECT module, w, CASE module % 3 WHEN 0 THEN w[1] || '.' || w[2] WHEN 1 THEN w[1] ELSE '' END AS ns FROM items),
+sym AS (SELECT module, module || '/' || word AS ref, CASE WHEN ns = '' THEN '' ELSE ns || '.' END || word AS name, length(word) % 3 <> 0 AS public
+        FROM (SELECT DISTINCT module, ns, unnest(w) AS word FROM spaces)),
+imp AS (SELECT module AS m, module // 2 AS t FROM items UNION SELECT module, module // 3 FROM items),
+vis(m, t) AS (SELECT module, module FROM items UNION SELECT v.m, i.t FROM vis v JOIN imp i ON i.m = v.t),
+nb AS (SELECT count(*) AS n FROM benchmark),
+ctx AS (SELECT doc_id, s.module, s.ns || CASE WHEN doc_id % 2 = 0 THEN CASE WHEN s.ns = '' THEN '' ELSE '.' END || s.w[3] ELSE '' END AS ns,
+               s.ns AS base, h.w[1] AS open_1, '_root_.' || t.w[1] AS open_2
+        FROM documents, nb JOIN spaces s ON s.module = doc_id % nb.n JOIN spaces h ON h.module = s.module // 2 JOIN spaces t ON t.module = s.module // 3),
+tok AS (SELECT DISTINCT doc_id, CASE WHEN word[1] BETWEEN 'A' AND 'Z' THEN '_root_.' ELSE '' END || word AS token
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents)),
+ali AS (SELECT s.module, s.w[4] AS alias, CASE WHEN s.module % 2 = 0 THEN '_root_.' ELSE '' END || h.w[5] AS target FROM spaces s JOIN spaces h ON h.module = s.module // 2),
+levels AS (SELECT ns, tier, array_to_string(list_filter(string_split(ns, '.'), lambda x: x <> '')[1:len(list_filter(string_split(ns, '.'), lambda x: x <> '')) - tier], '.') AS prefix
+           FROM (SELECT ns, unnest(range(0, len(list_filter(string_split(ns, '.'), lambda x: x <> '')) + 1)) AS tier
+                 FROM (SELECT ns FROM ctx UNION SELECT base FROM ctx UNION SELECT '' UNION SELECT ns FROM spaces))),
+declared AS (SELECT DISTINCT module, l.prefix AS namespace FROM sym JOIN levels l ON l.ns = regexp_extract(sym.name, '^(.*)\.[^.]*$', 1) WHERE l.prefix <> ''),
+tried AS (SELECT c.doc_id, l.tier, CASE WHEN l.prefix = '' THEN '' ELSE l.prefix || '.' END || c.open_1 AS namespace FROM ctx c JOIN levels l ON l.ns = c.base
+          WHERE EXISTS (SELECT 1 FROM vis v JOIN declared d ON d.module = v.t WHERE v.m = c.module
+                        AND d.namespace = CASE WHEN l.prefix = '' THEN '' ELSE l.prefix || '.' END || c.open_1)),
+opened AS (SELECT doc_id, arg_min(namespace, tier) AS namespace FROM tried GROUP BY doc_id UNION SELECT doc_id, substr(open_2, 8) FROM ctx),
+cand AS (
+  SELECT t.doc_id, c.module, t.token, 0 AS tier, substr(t.token, 8) AS name FROM tok t JOIN ctx c USING (doc_id) WHERE starts_with(token, '_root_.')
+  UNION ALL SELECT t.doc_id, c.module, t.token, l.tier, CASE WHEN l.prefix = '' THEN '' ELSE l.prefix || '.' END || t.token
+  FROM tok t JOIN ctx c USING (doc_id) JOIN levels l ON l.ns = c.ns WHERE NOT starts_with(token, '_root_.')
+  UNION ALL SELECT t.doc_id, c.module, t.token, (SELECT max(tier) + 1 FROM levels l WHERE l.ns = c.ns), o.namespace || '.' || t.token
+  FROM tok t JOIN ctx c USING (doc_id) JOIN opened o USING (doc_id) WHERE NOT starts_with(token, '_root_.')),
+turned AS (SELECT c.doc_id, c.module, c.token, c.tier, a.alias, a.target FROM cand c JOIN ali a ON a.module = c.module AND a.alias = c.name),
+every AS (
+  SELECT doc_id, module, token, tier, '' AS via, 0 AS step, name FROM cand
+  UNION ALL SELECT doc_id, module, token, tier, alias, 0, CASE WHEN starts_with(target, '_root_.') THEN substr(target, 8) ELSE target END FROM turned
+  UNION ALL SELECT u.doc_id, module, token, tier, alias, 1, o.namespace || '.' || target FROM turned u JOIN opened o USING (doc_id) WHERE NOT starts_with(target, '_root_.')),
+hits AS (SELECT DISTINCT e.doc_id, e.token, e.tier, e.via, e.step, s.ref FROM every e JOIN sym s ON s.name = e.name
+         WHERE (s.public AND EXISTS (SELECT 1 FROM vis WHERE vis.m = e.module AND vis.t = s.module)) OR s.module = e.module),
+first_steps AS (SELECT doc_id, token, tier, via, min(step) AS step FROM hits GROUP BY ALL),
+meant AS (SELECT DISTINCT h.doc_id, h.token, h.tier, h.ref FROM hits h JOIN first_steps f USING (doc_id, token, tier, via, step)),
+bst AS (SELECT doc_id, token, tier, count(DISTINCT ref) AS n, min(ref) AS ref FROM meant m
+        WHERE tier = (SELECT min(tier) FROM meant g WHERE g.doc_id = m.doc_id AND g.token = m.token) GROUP BY ALL)"""
+
+
+def scoped_resolution(spark, d):
+    """Tokens of the documents in the namespaces, opens and aliases of a passage each."""
+
+    def build():
+        bench = D.table(spark, d, "benchmark")
+        split = lambda c: F.regexp_extract_all(c, F.lit(r"(\p{L}+)"), 1)
+        word = lambda n: F.get("w", F.lit(n - 1))
+        items = bench.select(F.col("item_id").alias("module"), split("text").alias("w"))
+        spaces = materialize(items.withColumn("ns", F.when(F.col("module") % 3 == 0, F.concat(word(1), F.lit("."), word(2))).when(
+            F.col("module") % 3 == 1, word(1)).otherwise("")))
+        symbols = spaces.select("module", "ns", F.explode(F.array_distinct("w")).alias("word")).select(
+            F.concat_ws("/", "module", "word").alias("ref"), "module", N.inside(F.col("ns"), F.col("word")).alias("name"), (F.length("word") % 3 != 0).alias("public"))
+        parent = lambda k: spaces.select(F.col("module").alias(f"by_{k}"), F.col("w").alias(f"w_{k}"))
+        above = spaces.withColumns({"by_2": F.floor(F.col("module") / 2), "by_3": F.floor(F.col("module") / 3)}).join(parent(2), "by_2").join(parent(3), "by_3")
+        half = lambda k: bench.select(F.col("item_id").alias("provider"), F.floor(F.col("item_id") / k).alias("consumer"))
+        seeds = bench.select(F.col("item_id").alias("module"), F.col("item_id").alias("node"))
+        visible = I.reach(materialize(half(2).unionAll(half(3)).distinct()), seeds, ("module",)).select("module", F.col("node").alias("seen"))
+        n = bench.agg(F.count("*")).scalar()
+        docs = D.table(spark, d, "documents").withColumn("n", n).withColumn("module", F.col("doc_id") % F.col("n"))
+        own = F.when(F.col("doc_id") % 2 == 0, N.inside(F.col("ns"), word(3))).otherwise(F.col("ns"))
+        opens = F.array(F.struct(F.col("ns").alias("at"), F.get("w_2", F.lit(0)).alias("name")),
+                        F.struct(F.lit("").alias("at"), F.concat(F.lit(N.ROOT), F.get("w_3", F.lit(0))).alias("name")))
+        contexts = docs.select("doc_id", "module").join(above, "module").select(
+            F.col("doc_id").alias("context"), "module", own.alias("namespace"), opens.alias("opens"))
+        tokens = docs.select(F.col("doc_id").alias("context"), F.explode(F.array_distinct(split("text"))).alias("word")).select(
+            "context", F.when(F.col("word").rlike("^[A-Z]"), F.concat(F.lit(N.ROOT), "word")).otherwise(F.col("word")).alias("token"))
+        target = F.get("w_2", F.lit(4))
+        aliases = above.select("module", word(4).alias("alias"), F.when(F.col("module") % 2 == 0, F.concat(F.lit(N.ROOT), target)).otherwise(target).alias("target"))
+        return materialize(N.resolve(tokens, contexts, symbols, visible, aliases))
+
+    return kept(spark, ("scoped", d), build)
+
+
+@query("d16_scoped_references", tree("SELECT doc_id AS item, token, ref, tier::INTEGER AS tier FROM bst WHERE n = 1", SCOPED, recursive=True))
+def scoped_references(spark, d):
+    """Tokens that mean one declaration, through the namespaces around them, opened namespaces or an alias, with the tier that decided."""
+    return scoped_resolution(spark, d).where("status = 'edge'").select(F.col("context").alias("item"), "token", "ref", "tier")
+
+
+@query("d16_scoped_outcomes", tree("""
+SELECT t.doc_id AS item, count(*) FILTER (b.n = 1) AS edges, count(*) FILTER (b.n > 1) AS ambiguous, count(*) FILTER (b.n IS NULL) AS unresolved,
+       count(*) FILTER (b.n IS NOT NULL AND starts_with(t.token, '_root_.')) AS rooted
+FROM tok t LEFT JOIN bst b ON b.doc_id = t.doc_id AND b.token = t.token GROUP BY t.doc_id""", SCOPED, recursive=True))
+def scoped_outcomes(spark, d):
+    s = F.col("status")
+    return scoped_resolution(spark, d).groupBy(F.col("context").alias("item")).agg(
+        F.count_if(s == "edge").alias("edges"), F.count_if(s == "ambiguous").alias("ambiguous"), F.count_if(s == "unresolved").alias("unresolved"),
+        F.count_if((s != "unresolved") & F.col("token").startswith(N.ROOT)).alias("rooted"))
