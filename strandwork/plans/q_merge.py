@@ -391,12 +391,16 @@ def anchor_sequences(spark, d):
 
 @query("d12_document_occurrences", tree("""
 SELECT d.ref, coalesce(o.doc, d.path) AS domain, coalesce(o.pos, d.start_line) AS position FROM decls d
-LEFT JOIN (SELECT doc_id % 200 + 10 AS line, arg_min('doc' || (doc_id % 2), doc_id) AS doc, min(doc_id) AS pos FROM documents GROUP BY line) o ON o.line = d.start_line WHERE d.path IS NOT NULL"""))
+LEFT JOIN (SELECT doc_id % nb.n AS module, doc_id // (2 * nb.n) + 10 AS line, 'doc' || (doc_id % 2) AS doc, doc_id AS pos FROM documents,
+           (SELECT count(*) AS n FROM supplier) nb) o
+ON o.module = CAST(substr(d.scope_id, 3) AS BIGINT) AND o.line = d.start_line WHERE d.path IS NOT NULL"""))
 def document_occurrences(spark, d):
-    """Declarations with the first document that shows their line, or their own file."""
-    occ = D.table(spark, d, "documents").groupBy((F.col("doc_id") % 200 + 10).alias("start_line")).agg(
-        F.min_by(F.concat(F.lit("doc"), F.col("doc_id") % 2), "doc_id").alias("doc"), F.min("doc_id").alias("at"))
-    return D.decls(spark, d).where("path IS NOT NULL").join(occ, "start_line", "left").select(
+    """Declarations with every document that shows their line (file and line together), or their own file."""
+    n = D.table(spark, d, "supplier").agg(F.count("*")).scalar()
+    docs = D.table(spark, d, "documents").withColumn("n", n)
+    occ = docs.select(F.concat(F.lit("s:"), F.col("doc_id") % F.col("n")).alias("scope_id"), F.floor(F.col("doc_id") / (2 * F.col("n")) + 10).alias("start_line"),
+                      F.concat(F.lit("doc"), F.col("doc_id") % 2).alias("doc"), F.col("doc_id").alias("at"))
+    return D.decls(spark, d).where("path IS NOT NULL").join(occ, ["scope_id", "start_line"], "left").select(
         "ref", F.coalesce("doc", "path").alias("domain"), F.coalesce("at", "start_line").alias("position"))
 
 
