@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandwork.functions import text as X
-from strandwork.operators import materials as MT, merge as M
+from strandwork.operators import materials as MT, merge as M, scopes as S
 from strandwork.operators.order_stats import positions
 from strandwork.plans.oracle_base import LINES, tree
 from strandwork.plans.registry import query
@@ -516,3 +516,47 @@ def method_lookup(spark, d):
     symbols = decls.select("ref", F.concat("module", F.lit("."), "kind").alias("name"))
     params = decls.where("path IS NOT NULL AND local_public").select("ref", F.col("module").alias("head"))
     return M.method_calls(calls, symbols, params).select("module", "method", "status")
+
+
+SCOPED_LINES = rf"""{LINES},
+words AS (SELECT doc_id, line_no, regexp_extract_all(line, '[a-zA-Z]+') AS w FROM lines),
+said AS (SELECT doc_id, line_no, coalesce(w[2], '') AS word,
+   CASE WHEN len(w) < 2 THEN '' ELSE ['namespace', 'section', 'end', 'open', 'public section', 'end named', 'module', 'import', 'namespace', '', 'open', 'import'][1 + length(w[1]) % 12] END AS command FROM words),
+turn(doc_id, line_no, stack) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, [{{'name': '', 'ns': '', 'opens': '', 'public': true}}] FROM lines
+  UNION ALL
+  SELECT t.doc_id, s.line_no, CASE
+    WHEN command = 'namespace' THEN list_append(stack, {{'name': word, 'ns': CASE WHEN stack[-1].ns = '' THEN word ELSE stack[-1].ns || '.' || word END, 'opens': stack[-1].opens, 'public': stack[-1].public}})
+    WHEN command = 'section' THEN list_append(stack, {{'name': word, 'ns': stack[-1].ns, 'opens': stack[-1].opens, 'public': stack[-1].public}})
+    WHEN command = 'public section' THEN list_append(stack, {{'name': '', 'ns': stack[-1].ns, 'opens': stack[-1].opens, 'public': true}})
+    WHEN command = 'open' AND word NOT IN ('in', 'scoped') THEN list_append(stack[:-2], {{'name': stack[-1].name, 'ns': stack[-1].ns, 'opens': stack[-1].opens || stack[-1].ns || '>' || word || ';', 'public': stack[-1].public}})
+    WHEN command = 'module' THEN list_append(stack[:-2], {{'name': stack[-1].name, 'ns': stack[-1].ns, 'opens': stack[-1].opens, 'public': false}})
+    WHEN command = 'end' AND len(stack) > 1 THEN stack[:-2]
+    WHEN command = 'end named' THEN stack[:coalesce(list_max(list_filter(range(2, len(stack) + 1), lambda k: array_to_string(list_transform(stack[k:], lambda f: f.name), '.') = word)) - 1, len(stack))]
+    ELSE stack END
+  FROM turn t JOIN said s ON s.doc_id = t.doc_id AND s.line_no = t.line_no + 1)"""
+
+
+def scoped_lines(spark, d):
+    """Every line of the documents as the command that its first word's length stands for, on its second word."""
+    words = F.regexp_extract_all("line", F.lit("([a-zA-Z]+)"), 1)
+    word = F.coalesce(F.get("w", F.lit(1)), F.lit(""))
+    command = F.array(*map(F.lit, ("namespace", "section", "end", "open", "public section", "end named", "module", "import", "namespace", "", "open", "import")))
+    said = F.when(F.size("w") < 2, "").otherwise(F.get(command, F.length(F.get("w", F.lit(0))) % 12))
+    rows = D.lines(spark, d).select("doc_id", "line_no", words.alias("w")).select("doc_id", "line_no", word.alias("word"), said.alias("command"))
+    c = F.col("command")
+    line = F.when(c == "end named", F.concat(F.lit("end "), "word")).when(c.isin("namespace", "section", "open", "import"), F.concat(c, F.lit(" "), "word")).otherwise(c)
+    return rows.select("doc_id", "line_no", line.alias("line"))
+
+
+@query("b19_scope_contexts", f"""WITH RECURSIVE {SCOPED_LINES}
+SELECT doc_id, line_no, stack[-1].ns AS namespace, stack[-1].opens AS opens, stack[-1].public AS public FROM turn WHERE line_no > 0""")
+def scope_contexts(spark, d):
+    """Namespace, opened namespaces and visibility after every line, from commands that nest and close by name."""
+    opens = F.array_join(F.transform("opens", lambda o: F.concat(o["at"], F.lit(">"), o["name"], F.lit(";"))), "")
+    return S.contexts(scoped_lines(spark, d)).select("doc_id", "line_no", "namespace", opens.alias("opens"), "public")
+
+
+@query("b19_imports", f"""WITH RECURSIVE {SCOPED_LINES} SELECT DISTINCT doc_id, word AS module FROM said WHERE command = 'import'""")
+def line_imports(spark, d):
+    return S.imports(scoped_lines(spark, d))
