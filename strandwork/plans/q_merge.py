@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from strandwork.operators import graph as G, iterate as I, merge as M, names as N
+from strandwork.operators import fields as FD, graph as G, iterate as I, merge as M, names as N
 from strandwork.operators.order_stats import adjacent_pairs
 from strandwork.plans.oracle_base import graph, tree
 from strandwork.plans.q_graph import acyclic_pairs
@@ -591,3 +593,109 @@ def scoped_outcomes(spark, d):
     return scoped_resolution(spark, d).groupBy(F.col("context").alias("item")).agg(
         F.count_if(s == "edge").alias("edges"), F.count_if(s == "ambiguous").alias("ambiguous"), F.count_if(s == "unresolved").alias("unresolved"),
         F.count_if((s != "unresolved") & F.col("token").startswith(N.ROOT)).alias("rooted"))
+
+
+SAID = """
+base AS (SELECT d.*, (SELECT count(*) FROM part) AS np FROM decls d),
+said AS (
+ SELECT ref, 'kind' AS field, 'lean_environment' AS authority, 'native' AS backend, 'm1' AS method, 'present' AS state, kind AS value FROM base
+ UNION ALL SELECT ref, 'kind', 'lc_catalog', 'lc', 'm3', 'present', kind || '!' FROM base WHERE ref % 3 = 0
+ UNION ALL SELECT ref, 'statement.nl', 'other', 'a', 'm1', 'present', statement_text FROM base
+ UNION ALL SELECT ref, 'statement.nl', 'generated', 'b', 'm2', 'present', name FROM base WHERE ref % 2 = 0
+ UNION ALL SELECT ref, 'proof.formal', 'text_ast', 'text', 'm2', CASE WHEN proof_text IS NULL THEN 'not_applicable' ELSE 'present' END, proof_text FROM base
+ UNION ALL SELECT ref, 'proof.formal', 'source', 'alt', 'm6', 'present', coalesce(proof_text, 'p') || CASE WHEN ref % 4 = 0 THEN '+' ELSE '' END FROM base WHERE ref % 5 < 2
+ UNION ALL SELECT ref, 'source_refs', 'text_ast', 'text', 'm2', 'present', NULL FROM base
+ UNION ALL SELECT ref, 'statement.deps', 'text_ast', 'text', 'm2', 'present', NULL FROM base
+ UNION ALL SELECT ref, 'statement.deps', 'lean_environment', 'native', 'm1', 'present', NULL FROM base
+ UNION ALL SELECT ref, 'statement.deps', 'lc_catalog', 'lc', 'm3', 'present', NULL FROM base WHERE ref % 5 = 0
+ UNION ALL SELECT ref, 'proof.deps', 'lean_environment', 'native', 'm1', 'present', NULL FROM base WHERE ref % 3 = 0
+ UNION ALL SELECT ref, 'proof.deps', 'text_ast', 'text', 'm2', 'present', NULL FROM base WHERE proof_text IS NOT NULL),
+shown AS (SELECT ref, 'source_refs' AS field, path AS item FROM base WHERE path IS NOT NULL UNION ALL SELECT ref, 'source_refs', repo_key FROM base WHERE ref % 2 = 0
+ UNION ALL SELECT ref, 'source_refs', repo_key FROM base WHERE ref % 3 = 0),
+pointed AS (
+ SELECT consumer AS ref, part || '.deps' AS field, 'lean_environment' AS authority, provider, evidence_kind, coalesce(provider_module, '') AS provider_module, 'native' AS source FROM occ
+ UNION ALL SELECT consumer, part || '.deps', 'text_ast', provider, 'lean_type', '', 'text' FROM occ
+ UNION ALL SELECT ref, 'statement.deps', 'text_ast', ref * 7 % np, 'lean_value', '', 'guess' FROM base
+ UNION ALL SELECT ref, 'statement.deps', 'lc_catalog', ref * 3 % np, 'lean_type', '', 'lc' FROM base WHERE ref % 10 = 5),
+whole AS (SELECT ref, 'statement' AS part, 'lean_type' AS domain FROM base WHERE ref % 2 = 0 UNION ALL SELECT ref, 'statement', 'lean_value' FROM base WHERE ref % 4 = 0
+ UNION ALL SELECT ref, 'proof', 'lean_value' FROM base WHERE ref % 6 = 0 UNION ALL SELECT ref, 'statement', 'lc_declared' FROM base WHERE ref % 5 = 0),
+rated AS (SELECT *, CASE authority WHEN 'lc_catalog' THEN 100 WHEN 'lean_environment' THEN CASE WHEN field = 'kind' THEN 100 ELSE 20 END
+  WHEN 'text_ast' THEN CASE WHEN field = 'proof.formal' THEN 100 ELSE 30 END WHEN 'source' THEN CASE WHEN field = 'proof.formal' THEN 100 ELSE 30 END
+  WHEN 'generated' THEN 0 ELSE 50 END AS ar FROM said),
+spoken AS (SELECT * FROM (SELECT *, count(value) OVER (PARTITION BY ref, field) AS told FROM rated
+  WHERE state = 'present' AND field NOT IN ('statement.deps', 'proof.deps', 'source_refs')) WHERE value IS NOT NULL OR told = 0),
+won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref, field ORDER BY ar DESC, backend, method, value NULLS FIRST) AS rn FROM spoken) WHERE rn = 1),
+has_proof AS (SELECT DISTINCT ref FROM said WHERE starts_with(field, 'proof.')),
+exact AS (SELECT DISTINCT s.ref, s.field, s.authority FROM said s WHERE state = 'present' AND field IN ('statement.deps', 'proof.deps') AND (
+   (authority = 'lc_catalog' AND EXISTS (SELECT 1 FROM whole w WHERE w.ref = s.ref AND w.part || '.deps' = s.field AND domain = 'lc_declared'))
+   OR (authority = 'lean_environment' AND field = 'proof.deps' AND EXISTS (SELECT 1 FROM whole w WHERE w.ref = s.ref AND w.part = 'proof' AND domain = 'lean_value'))
+   OR (authority = 'lean_environment' AND field = 'statement.deps' AND EXISTS (SELECT 1 FROM whole w WHERE w.ref = s.ref AND w.part = 'statement' AND domain = 'lean_type')
+       AND (EXISTS (SELECT 1 FROM whole w WHERE w.ref = s.ref AND w.part = 'statement' AND domain = 'lean_value') OR s.ref IN (SELECT ref FROM has_proof)))))"""
+
+
+def said_fields(spark, d):
+    """What five sources say about scalar, union and dependency fields, with null texts, empty lists and conflicts among them."""
+    decls = materialize(D.decls(spark, d))
+    n = D.table(spark, d, "part").agg(F.count("*")).scalar()
+    nothing = F.lit(None).cast("string")
+
+    def row(where, field, authority, backend, method, value=nothing, state=F.lit("present")):
+        return decls.where(where).select("ref", F.lit(field).alias("field"), F.lit(authority).alias("authority"), F.lit(backend).alias("backend"),
+                                         F.lit(method).alias("method"), state.alias("state"), value.alias("value"))
+
+    plus = F.concat(F.coalesce("proof_text", F.lit("p")), F.when(F.col("ref") % 4 == 0, "+").otherwise(""))
+    rows = [row("true", "kind", "lean_environment", "native", "m1", F.col("kind")), row("ref % 3 = 0", "kind", "lc_catalog", "lc", "m3", F.concat("kind", F.lit("!"))),
+            row("true", "statement.nl", "other", "a", "m1", F.col("statement_text")), row("ref % 2 = 0", "statement.nl", "generated", "b", "m2", F.col("name")),
+            row("true", "proof.formal", "text_ast", "text", "m2", F.col("proof_text"), F.when(F.col("proof_text").isNull(), "not_applicable").otherwise("present")),
+            row("ref % 5 < 2", "proof.formal", "source", "alt", "m6", plus), row("true", "source_refs", "text_ast", "text", "m2"),
+            row("true", "statement.deps", "text_ast", "text", "m2"), row("true", "statement.deps", "lean_environment", "native", "m1"),
+            row("ref % 5 = 0", "statement.deps", "lc_catalog", "lc", "m3"), row("ref % 3 = 0", "proof.deps", "lean_environment", "native", "m1"),
+            row("proof_text IS NOT NULL", "proof.deps", "text_ast", "text", "m2")]
+    union = lambda parts: functools.reduce(lambda a, b: a.unionAll(b), parts)
+    item = lambda where, c: decls.where(where).select("ref", F.lit("source_refs").alias("field"), F.col(c).alias("item"))
+    members = union([item("path IS NOT NULL", "path"), item("ref % 2 = 0", "repo_key"), item("ref % 3 = 0", "repo_key")])
+    occ = D.occurrences(spark, d)
+    field, none = F.concat("part", F.lit(".deps")), F.lit("")
+    dep = lambda rows, ref, f, authority, provider, kind, module, source: rows.select(
+        ref.alias("ref"), f.alias("field"), F.lit(authority).alias("authority"), provider.alias("provider"), kind.alias("evidence_kind"),
+        module.alias("provider_module"), F.lit(source).alias("source"))
+    whole = decls.withColumn("np", n)
+    statement, ref = F.lit("statement.deps"), F.col("ref")
+    deps = union([
+        dep(occ, F.col("consumer"), field, "lean_environment", F.col("provider"), F.col("evidence_kind"), F.coalesce("provider_module", none), "native"),
+        dep(occ, F.col("consumer"), field, "text_ast", F.col("provider"), F.lit("lean_type"), none, "text"),
+        dep(whole, ref, statement, "text_ast", ref * 7 % F.col("np"), F.lit("lean_value"), none, "guess"),
+        dep(whole.where("ref % 10 = 5"), ref, statement, "lc_catalog", ref * 3 % F.col("np"), F.lit("lean_type"), none, "lc")])
+    domain = lambda k, part, name: decls.where(F.col("ref") % k == 0).select("ref", F.lit(part).alias("part"), F.lit(name).alias("domain"))
+    complete = union([domain(2, "statement", "lean_type"), domain(4, "statement", "lean_value"), domain(6, "proof", "lean_value"), domain(5, "statement", "lc_declared")])
+    return union(rows), members, deps, complete
+
+
+@query("e7_scalar_fields", graph("SELECT ref, field, value, backend FROM won", SAID))
+def scalar_fields(spark, d):
+    return FD.scalars(said_fields(spark, d)[0])
+
+
+@query("e7_field_conflicts", graph("""
+SELECT DISTINCT s.ref, s.field, 'equal_authority' AS reason, w.value AS selected, s.backend || ':' || s.value AS alternative
+FROM spoken s JOIN won w ON w.ref = s.ref AND w.field = s.field AND w.ar = s.ar WHERE s.value IS DISTINCT FROM w.value
+UNION ALL SELECT ref, field, 'present_vs_not_applicable', NULL, NULL FROM said GROUP BY ref, field HAVING bool_or(state = 'present') AND bool_or(state = 'not_applicable')""", SAID))
+def field_conflicts(spark, d):
+    return FD.conflicts(said_fields(spark, d)[0])
+
+
+@query("e7_union_fields", graph("""
+SELECT b.ref, 'source_refs' AS field, coalesce((SELECT string_agg(item, '|' ORDER BY item) FROM (SELECT DISTINCT ref, item FROM shown) x WHERE x.ref = b.ref), '') AS items FROM base b""", SAID))
+def union_fields(spark, d):
+    said, members, _, _ = said_fields(spark, d)
+    return FD.unions(said, members).select("ref", "field", F.array_join("items", "|").alias("items"))
+
+
+@query("e7_dependency_fields", graph("""
+SELECT ref, field, provider, evidence_kind, provider_module, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM pointed p
+WHERE EXISTS (SELECT 1 FROM said s WHERE s.ref = p.ref AND s.field = p.field AND s.authority = p.authority AND s.state = 'present')
+  AND (EXISTS (SELECT 1 FROM exact e WHERE e.ref = p.ref AND e.field = p.field AND e.authority = p.authority)
+       OR NOT EXISTS (SELECT 1 FROM exact e WHERE e.ref = p.ref AND e.field = p.field)) GROUP BY ALL""", SAID))
+def dependency_fields(spark, d):
+    said, _, deps, complete = said_fields(spark, d)
+    return FD.dependencies(said, deps, complete).withColumn("sources", F.array_join("sources", ","))
