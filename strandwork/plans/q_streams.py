@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from strandwork.operators.iterate import ancestors
 from strandwork.plans.registry import query
+from strandwork.session import materialize
 from strandwork.sources import derived as D
 from strandwork.streaming import appends, jobs, readers
-from strandwork.streaming.common import drain, drain_last, source
+from strandwork.streaming.common import drain, drain_last, folder, source
 
 
 def events(spark, d):
@@ -37,7 +38,7 @@ def complete_files(spark, d):
 @query("n3_idempotent_appends", "SELECT user_id * 10 + length(event_type) AS request_key, 1::BIGINT AS n FROM events GROUP BY ALL")
 def idempotent_appends(spark, d):
     stream = events(spark, d).select((F.col("user_id") * 10 + F.length("event_type")).alias("request_key"), "ts", "event_id")
-    stored = appends.append_once(stream, "request_key", "ts", "1 hour", "appends")
+    stored = appends.append_once(stream, "request_key", "appends")
     return stored.groupBy("request_key").agg(F.count("*").alias("n"))
 
 
@@ -110,3 +111,58 @@ def sibling_group_jobs(spark, d):
         F.col("user_id").alias("parent"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "create").otherwise("accept").alias("kind"),
         F.lit(0).cast("long").alias("base"), (F.col("event_id") % 3).alias("index"), F.lit(3).cast("long").alias("size"))
     return drain(jobs.sibling_groups(e), "groups")
+
+
+PARTS = 4
+
+
+def arrivals(spark, d, name):
+    """(k, stream) as the events come into an inbox in ``PARTS`` parts: a stream of its own for each run.
+
+    Between two runs nothing is left but the inbox and what the run before has kept in its place.
+    """
+    inbox = folder(spark, f"{name}-inbox")
+    rows = D.table(spark, d, "events")
+    for k in range(PARTS):
+        rows.where(F.col("event_id") % PARTS == k).write.mode("append").parquet(inbox)
+        yield k, spark.readStream.schema(rows.schema).parquet(inbox)
+
+
+@query("n1_stopped_and_resumed", """
+SELECT event_type, k.k AS runs, count(*) FILTER (event_id % 4 <= k.k) AS records FROM events, (VALUES (0), (1), (2), (3)) k(k) GROUP BY ALL
+HAVING count(*) FILTER (event_id % 4 <= k.k) > 0""")
+def stopped_and_resumed(spark, d):
+    """Records after each of four runs of one stream: every run reads what is new since the last one."""
+    place = folder(spark, "resumed")
+    seen = None
+    for k, stream in arrivals(spark, d, "resumed"):
+        now = drain(stream, "resumed", place=place).groupBy("event_type").agg(F.lit(k).alias("runs"), F.count("*").alias("records"))
+        now = materialize(now)
+        seen = now if seen is None else seen.unionAll(now)
+    return seen
+
+
+@query("n3_appends_across_restarts", """
+SELECT user_id * 10 + length(event_type) AS request_key, min(event_id % 4)::INTEGER AS run, 1::BIGINT AS n FROM events GROUP BY 1""")
+def appends_across_restarts(spark, d):
+    """Requests of four runs, each stored once, by the first run that had it."""
+    place = folder(spark, "restarts")
+    for _, stream in arrivals(spark, d, "restarts"):
+        stored = appends.append_once(stream.select((F.col("user_id") * 10 + F.length("event_type")).alias("request_key"), (F.col("event_id") % PARTS).cast("int").alias("run")),
+                                     "request_key", "restarts", place)
+    return stored.groupBy("request_key").agg(F.min("run").alias("run"), F.count("*").alias("n"))
+
+
+@query("n7_publication_rounds", """
+WITH RECURSIVE asked AS (SELECT user_id % 50 AS slot, event_id AS seq, event_id % 3 AS base, event_id % 4 AS k FROM events),
+head(slot, k, head) AS (SELECT DISTINCT slot, 0::BIGINT, 0::BIGINT FROM asked
+  UNION ALL SELECT h.slot, h.k + 1, h.head + (f.slot IS NOT NULL)::BIGINT FROM head h
+  LEFT JOIN (SELECT DISTINCT slot, k, base FROM asked) f ON f.slot = h.slot AND f.k = h.k AND f.base = h.head WHERE h.k < 3)
+SELECT a.slot, a.seq, CASE WHEN a.base = h.head AND a.seq = min(a.seq) FILTER (a.base = h.head) OVER (PARTITION BY a.slot, a.k) THEN 'published' ELSE 'stale_base' END AS outcome
+FROM asked a JOIN head h ON h.slot = a.slot AND h.k = a.k""")
+def publication_rounds(spark, d):
+    """Requests of four runs against the manifest that the runs before have published."""
+    place = folder(spark, "rounds")
+    for _, stream in arrivals(spark, d, "rounds"):
+        judged = appends.publish_if_current(stream.select((F.col("user_id") % 50).alias("slot"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("base")), "rounds", place)
+    return judged

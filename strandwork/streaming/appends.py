@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandwork.streaming.common import drain_each, folder
+from strandwork.streaming.common import drain, drain_each, folder
 
 FILE_OUT = "file long, chunks long, status string"
 
@@ -33,31 +33,24 @@ def complete_files(chunks: DataFrame) -> DataFrame:
         _gather, FILE_OUT, "want long, seen string, clash boolean, sent boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_once(stream: DataFrame, key: str, ts: str, late: str, name: str) -> DataFrame:
-    """Append every key once, within a batch, across batches and across restarts."""
-    spark, schema = stream.sparkSession, stream.schema
-    store = folder(spark, name)
+def append_once(stream: DataFrame, key: str, name: str, place: str | None = None) -> DataFrame:
+    """Append every key once, within a batch, across batches and, given a ``place``, across restarts.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        # Each batch owns a folder: run again after a failure it replaces itself, and it reads only earlier ones.
-        fresh = batch.dropDuplicates([key])
-        if batch_id:
-            earlier = spark.read.schema(schema).parquet(*[f"{store}/{i:09d}" for i in range(batch_id)])
-            fresh = fresh.join(earlier.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/{batch_id:09d}")
-
-    drain_each(stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]), name, step)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
+    The keys that were seen are the stream's state, which is dealt over the executors and kept beside the
+    checkpoint; earlier rows are never read again.  A null key is a key.
+    """
+    return drain(stream.dropDuplicates([key]), name, place=place)
 
 
-def publish_if_current(stream: DataFrame, name: str) -> DataFrame:
+def publish_if_current(stream: DataFrame, name: str, place: str | None = None) -> DataFrame:
     """Compare-and-swap: per slot the lowest request on the current base wins the batch; others are stale.
 
-    ``stream(slot, seq, base)``.  The current base of a slot is the number of batches
+    ``stream(slot, seq, base)``.  The current base of a slot is the number of batches that
     it was published in before, kept as a written table per batch.
     """
     spark = stream.sparkSession
-    log, heads = folder(spark, f"{name}-log"), folder(spark, f"{name}-heads")
+    place = place or folder(spark, name)
+    log, heads = f"{place}/judged", f"{place}/heads"
     head_schema = "slot long, head long, batch long"
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -70,5 +63,5 @@ def publish_if_current(stream: DataFrame, name: str) -> DataFrame:
             "slot", (F.coalesce("head", F.lit(0)) + F.col("winner").isNotNull().cast("long")).alias("head"), F.lit(batch_id).cast("long").alias("batch"))
         heads_now.write.mode("overwrite").parquet(f"{heads}/{batch_id:09d}")
 
-    drain_each(stream, name, step)
+    drain_each(stream, name, step, place=place)
     return spark.read.schema("slot long, seq long, outcome string").option("recursiveFileLookup", True).parquet(log)

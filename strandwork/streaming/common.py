@@ -22,18 +22,22 @@ def source(spark: SparkSession, path: str, name: str, per_batch: int | None = No
     return reader.parquet(path)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run an append stream to the end of its input into parquet (exactly once) and read it back."""
+def drain(df: DataFrame, name: str, mode: str = "append", place: str | None = None) -> DataFrame:
+    """Run an append stream to the end of its input into parquet (exactly once) and read it back.
+
+    ``place`` is a folder that outlives the run: called with it again, the stream goes on where it stopped.
+    """
     spark = df.sparkSession
-    out, log = folder(spark, name), folder(spark, f"{name}-log")
+    place = place or folder(spark, name)
+    out, log = f"{place}/rows", f"{place}/log"
     df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def drain_each(df: DataFrame, name: str, step, mode: str = "append") -> None:
-    """Run a stream to the end of its input through ``step(batch, batch_id)``."""
-    df.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", folder(df.sparkSession, f"{name}-log")).trigger(
-        availableNow=True).start().awaitTermination()
+def drain_each(df: DataFrame, name: str, step, mode: str = "append", place: str | None = None) -> None:
+    """Run a stream to the end of its input through ``step(batch, batch_id)``; with ``place`` it goes on where it stopped."""
+    log = f"{place or folder(df.sparkSession, name)}/log"
+    df.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
 def drain_last(df: DataFrame, name: str) -> DataFrame:
