@@ -192,3 +192,42 @@ def weight_overrides(spark, d):
     inner = materialize(internal_edges(acyclic_pairs(spark, d), owner))
     over = inner.where("provider % 10 = 0").select("provider", "consumer", F.lit(5).alias("own"))
     return inner.join(over, ["provider", "consumer"], "left").groupBy(F.col("grp").alias("parent")).agg(F.sum(F.coalesce("own", F.lit(1))).alias("weight"))
+
+
+def planted_declarations(spark, d):
+    """Declarations as nested JSON texts, some with a fault: (ref, text).
+
+    An unknown and a repeated key at the third level, an unknown key inside an element of an array, a value of another
+    type, and a text that is cut off.
+    """
+    part = lambda c: F.struct(F.col(c).alias("text"), F.lit("present").alias("status"))
+    first = F.struct(F.struct("repo_key", F.lit("p1").alias("local_id")).alias("provider"), F.lit("lean_type").alias("evidence_kind"))
+    whole = F.to_json(F.struct(F.struct("repo_key", F.col("ref").cast("string").alias("local_id")).alias("ref"), F.col("name").alias("lean_name"), "module", "local_public",
+                               F.struct(part("name").alias("nl"), part("module").alias("formal"), F.array(first, first).alias("deps")).alias("statement")))
+    r = F.col("ref")
+    planted = (F.when(r % 97 == 1, F.replace(whole, F.lit('"formal":{'), F.lit('"formal":{"extra":{"text":1,"text":2},')))
+               .when(r % 89 == 2, F.replace(whole, F.lit('"formal":{'), F.lit('"formal":{"text":"before",')))
+               .when(r % 83 == 3, F.replace(whole, F.lit('"local_id":"p1"'), F.lit('"local_id":"p1","kind":"x"')))
+               .when(r % 79 == 4, F.regexp_replace(whole, '"local_public":(true|false)', '"local_public":"$1"'))
+               .when(r % 73 == 5, F.substring(whole, 1, 40)).otherwise(whole))
+    return D.decls(spark, d).select("ref", planted.alias("text"))
+
+
+PLANTED = """
+planted AS (SELECT ref, name, module, repo_key, CASE WHEN ref % 97 = 1 THEN 1 WHEN ref % 89 = 2 THEN 2 WHEN ref % 83 = 3 THEN 3 WHEN ref % 79 = 4 THEN 4 WHEN ref % 73 = 5 THEN 5 ELSE 0 END AS fault FROM decls)"""
+
+
+@query("a2_nested_faults", tree("""
+SELECT ref, ['statement.formal.extra', 'statement.formal.text', 'statement.deps[].provider.kind', 'local_public', ''][fault] AS path,
+       ['unknown', 'duplicate', 'unknown', 'type', 'not_json'][fault] AS reason, CASE fault WHEN 3 THEN 2 ELSE 1 END::BIGINT AS n FROM planted WHERE fault > 0""", PLANTED))
+def nested_faults(spark, d):
+    """Unknown and repeated keys and wrong types at any depth of the declarations' JSON."""
+    return P.fault_report(planted_declarations(spark, d), P.NESTED, "ref")
+
+
+@query("a1_strict_declarations", tree("""
+SELECT ref, repo_key, name AS lean_name, module AS formal, 2 AS deps FROM planted WHERE fault = 0""", PLANTED))
+def strict_declarations(spark, d):
+    """Declarations that fit the strict shape at every depth, as columns."""
+    got = P.read_strict(planted_declarations(spark, d), P.NESTED, "ref")
+    return got.select("ref", "value.ref.repo_key", "value.lean_name", F.col("value.statement.formal.text").alias("formal"), F.size("value.statement.deps").alias("deps"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # The strict shape of a package document; reading anything else fails.
 TEXT = "struct<text:string,status:string,reason:string>"
@@ -19,6 +23,7 @@ PACKAGE = (
     "scopes array<struct<scope_id:string,repo_key:string,kind:string,name:string,parent:string>>, "
     f"units array<struct<unit_id:string,representative:{REF},members:array<string>>>, "
     f"declarations array<struct<ref:{REF},lean_name:string,module:string,native_scope:string,kind:string,local_public:boolean,generated_from:{REF},statement:{PART},proof:{PART}>>")
+NESTED = f"ref {REF}, lean_name string, module string, local_public boolean, statement {PART}"
 DECLARATION = f"repo_key string, local_id string, name string, module string, kind string, local_public boolean, statement {TEXT}, proof {TEXT}"
 
 
@@ -115,3 +120,82 @@ def compiled_dependencies(compiled: DataFrame) -> DataFrame:
     of_type = compiled.select("name", F.lit("statement").alias("part"), F.lit("lean_type").alias("evidence_kind"), F.explode("type_deps").alias("provider"))
     of_value = compiled.select("name", F.when(theorem, "proof").otherwise("statement"), F.lit("lean_value"), F.explode("value_deps"))
     return of_type.unionAll(of_value).distinct()
+
+
+class _Pairs(list):
+    """An object as the pairs that it was written with, repeated keys included."""
+
+
+#: What values of the plain types look like in JSON.
+_PLAIN = {"string": str, "boolean": bool, "bigint": int, "int": int, "double": (int, float)}
+
+
+def faults(text: str | None, shape: DataType) -> list[tuple[str, str]]:
+    """(path, reason) of everything in a JSON text that does not fit ``shape``, at any depth.
+
+    Reasons are ``unknown`` and ``duplicate`` keys, ``type`` of a value, and ``not_json`` for a text that is none; an
+    element of an array has ``[]`` in its path.  Null fits any type; absent keys are no fault.
+    """
+    try:
+        value = json.loads(text or "", object_pairs_hook=_Pairs)
+    except (ValueError, RecursionError):
+        return [("", "not_json")]
+    found, open_ = [], [("", value, shape)]
+    while open_:
+        path, value, own = open_.pop()
+        if value is None:
+            continue
+        if isinstance(own, StructType):
+            if not isinstance(value, _Pairs):
+                found.append((path, "type"))
+                continue
+            fields, seen = {f.name: f.dataType for f in own.fields}, set()
+            for key, inner in value:
+                at = f"{path}.{key}" if path else key
+                if key in seen:
+                    found.append((at, "duplicate"))
+                elif key not in fields:
+                    found.append((at, "unknown"))
+                seen.add(key)
+                if key in fields:
+                    open_.append((at, inner, fields[key]))
+        elif isinstance(own, ArrayType):
+            if isinstance(value, _Pairs) or not isinstance(value, list):
+                found.append((path, "type"))
+            else:
+                open_ += [(f"{path}[]", inner, own.elementType) for inner in value]
+        else:
+            kind = _PLAIN[own.simpleString()]
+            if not isinstance(value, kind) or (isinstance(value, bool) and kind is not bool):
+                found.append((path, "type"))
+    return sorted(found)
+
+
+def fault_report(documents: DataFrame, shape: str, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, path, reason, n) of the faults of each JSON text; one text is in memory at a time."""
+    parsed = StructType.fromDDL(shape)
+
+    def run(batches):
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1)):
+                own = Counter(faults(t.as_py(), parsed))
+                if own:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k.as_py()] * len(own), batch.schema.field(0).type), pa.array([p for p, _ in own]), pa.array([r for _, r in own]),
+                         pa.array(list(own.values()), pa.int64())], ["key", "path", "reason", "n"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        run, f"key {kind}, path string, reason string, n long").withColumnRenamed("key", key)
+
+
+def read_strict(documents: DataFrame, shape: str, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, value) of the documents without any fault, as ``shape``; the others are left to ``fault_report``."""
+    parsed = StructType.fromDDL(shape)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not faults(t.as_py(), parsed) for t in batch.column(1)], pa.bool_()))
+
+    own = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return own.mapInArrow(run, own.schema).select(F.col("key").alias(key), F.from_json("text", parsed).alias("value"))
