@@ -181,6 +181,45 @@ def sibling_order(spark, d):
     return solved_tree(spark, d)[2]["order"]
 
 
+def passage_wishes(spark, d):
+    """Soft relations between siblings: what passages (orders) more often name first, two places apart."""
+    line = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    later = line.select("l_orderkey", (F.col("l_linenumber") - 2).alias("l_linenumber"), F.col("l_partkey").alias("consumer"))
+    named = line.withColumnRenamed("l_partkey", "provider").join(later, ["l_orderkey", "l_linenumber"]).where("provider <> consumer")
+    _, closure = scope_tree(spark, d)
+    told = T.sibling_edges(named.select("provider", "consumer"), materialize(unit_closure(spark, d, closure)))
+    low, high = F.least("from_child", "to_child"), F.greatest("from_child", "to_child")
+    net = told.groupBy("parent", low.alias("low"), high.alias("high")).agg(
+        F.sum(F.when(F.col("from_child") < F.col("to_child"), F.col("pair_count")).otherwise(-F.col("pair_count"))).alias("net"))
+    ahead = F.col("net") > 0
+    return net.where("net <> 0").select("parent", F.when(ahead, F.col("low")).otherwise(F.col("high")).alias("provider"),
+                                        F.when(ahead, F.col("high")).otherwise(F.col("low")).alias("consumer"))
+
+
+def steered_tree(spark, d):
+    atoms, edges, _ = tree_problem(spark, d)
+    soft = kept(spark, ("passage wishes", d), lambda: materialize(passage_wishes(spark, d)))
+    return atoms, edges, soft, kept(spark, ("steered order", d), lambda: S.solve(atoms, edges, soft=soft))
+
+
+@query("i17_steered_order")
+def steered_order(spark, d):
+    """Positions of all siblings where passages steer both starts; checked in tests against a step-by-step solver."""
+    return steered_tree(spark, d)[3]["order"]
+
+
+@query("i17_steered_starts")
+def steered_starts(spark, d):
+    """Distance and wishes turned round of both starts, the chosen one and the final order, per parent and order."""
+    _, edges, soft, out = steered_tree(spark, d)
+    parts = [S.distances(edges, o).select("parent", "distance", "legal").join(S.violations(soft, o), "parent", "full").select(
+        "parent", F.lit(name).alias("order"), "distance", "legal", "violations") for name, o in out.items()]
+    told = parts[0]
+    for p in parts[1:]:
+        told = told.unionAll(p)
+    return told
+
+
 @query("i18_order_gain")
 def order_gain(spark, d):
     """What single moves gained over the chosen start, per parent."""
