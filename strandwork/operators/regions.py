@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandwork.session import materialize
+from strandwork.operators.order_stats import running
+from strandwork.session import materialize, measured
 
 # Fixed value: largest display group.
 FAN_OUT = 6
-SPAN = "struct<lo:bigint,hi:bigint,done:boolean,path:array<struct<lo:bigint,hi:bigint>>>"
+# Points of a tile's side, and split candidates that are weighed at once.
+TILE = 256
+SPLITS = 1 << 20
+TILE_ROW = "parent string, n long, p long, q long, cost binary, skew binary, held binary, left array<int>, top double"
+PART = {"x": "bigint", "y": "bigint", "cost": "binary", "skew": "binary", "held": "binary", "prefix": "array<double>",
+        "own": "array<struct<a:bigint,b:bigint,weight:double>>"}
 
 
 def _descend(lo_ok: Column, n: Column, k: int, inside) -> Column:
@@ -55,7 +63,7 @@ def balanced_cost(sizes: DataFrame, weights: DataFrame, k: int = FAN_OUT) -> Dat
 
 
 def best_intervals(n: int, pairs: list[tuple[int, int, float]], k: int, burdens: list[float] | None = None):
-    """Cheapest binary interval tree over n items: (cost, [(lo, hi, up_lo, up_hi)]).
+    """Cheapest binary interval tree over n items: (cost, [(lo, hi, up_lo, up_hi)]), the plain form of ``partition``.
 
     Spans are solved diagonal by diagonal, all spans of a length at once; a table is a
     list of diagonals, indexed by length and then by first item.  A span splits between
@@ -101,36 +109,206 @@ def best_intervals(n: int, pairs: list[tuple[int, int, float]], k: int, burdens:
     return (float(cost[n][0]) if n else 0.0), out
 
 
+def split_blocks(p: int, q: int, side: int) -> tuple[int, int]:
+    """First and last block of points in which spans from block p to block q can split.
+
+    The split point nowhere falls as its span moves or grows to the right, so the two corners decide.
+    """
+    length = (q - p) * side
+    return (p * side + (length + 2) // 3) // side, min(((p + 1) * side - 1 + 2 * length // 3) // side, q)
+
+
+def solve_tile(p: int, q: int, n: int, k: int, side: int, own, near: dict, prefix: dict):
+    """All spans from a point of block p to a point of block q: (cost, skew, held, left), each points x points.
+
+    ``own`` lists the pairs (a, b, weight) with a in block p and b + 1 in block q; ``near``
+    holds (cost, skew, held) of the tiles that ``needed`` names, ``prefix`` the burden
+    before each point of the blocks used, or nothing where burdens do not count.
+    Spans are taken by length, because short ones of a tile may be parts of long ones.
+    """
+    low, high = p * side, q * side
+    rows, cols = min(side, n + 1 - low), min(side, n + 1 - high)
+    held = np.zeros((rows, cols))
+    for a, b, w in own:
+        held[a - low, b + 1 - high] += w
+    held = held[::-1].cumsum(axis=0)[::-1].cumsum(axis=1)
+    # What the tile's own rows and columns do not cover lies in the tiles to its left and below.
+    if (p, q - 1) in near:
+        held += near[p, q - 1][2][:, -1:]
+    if (p + 1, q) in near:
+        held += near[p + 1, q][2][:1]
+    if (p + 1, q - 1) in near:
+        held -= near[p + 1, q - 1][2][0, -1]
+    first, last = split_blocks(p, q, side)
+    base, reach = first * side, min((last + 1) * side, n + 1) - first * side
+    starts, ends = np.zeros((3, rows, reach)), np.zeros((3, reach, cols))
+    for r in range(first, last + 1):
+        at = slice(r * side - base, min((r + 1) * side, n + 1) - base)
+        if p <= r < q:
+            starts[:, :, at] = near[p, r]
+        if p < r <= q:
+            ends[:, at] = near[r, q]
+        if r == q:
+            starts[2][:, at] = held
+        if r == p:
+            ends[2][at] = held
+    cost, skew, left = np.zeros((rows, cols)), np.zeros((rows, cols)), np.zeros((rows, cols), np.int32)
+    middle = np.concatenate([prefix[r] for r in range(first, last + 1)]) if prefix else None
+    for m in range(max(1, high - low - rows + 1), high + cols - low):
+        lo = np.arange(max(low, high - m), min(low + rows, high + cols - m))
+        i, j = lo - low, lo + m - high
+        if m <= k:
+            cost[i, j] = m * held[i, j]
+        else:
+            sizes = np.arange((m + 2) // 3, 2 * m // 3 + 1)[:, None]
+            step = max(1, SPLITS // len(sizes))
+            for at in range(0, len(lo), step):
+                x, y = i[at : at + step], j[at : at + step]
+                mid = lo[at : at + step] + sizes - base
+                total = starts[0][x, mid] + ends[0][mid, y] + m * (held[x, y] - (starts[2][x, mid] + ends[2][mid, y]))
+                best = total == total.min(axis=0)
+                if middle is not None:
+                    burden = starts[1][x, mid] + ends[1][mid, y] + np.abs(2 * middle[mid] - prefix[p][x] - prefix[q][y])
+                    burden = np.where(best, burden, np.inf)
+                    best = burden == burden.min(axis=0)
+                pick = np.where(best, np.abs(m - 2 * sizes), m + 1).argmin(axis=0)
+                every = np.arange(len(x))
+                cost[x, y], left[x, y] = total[pick, every], sizes[pick, 0]
+                if middle is not None:
+                    skew[x, y] = burden[pick, every]
+        if last == q:
+            starts[0][i, lo + m - base], starts[1][i, lo + m - base] = cost[i, j], skew[i, j]
+        if first == p:
+            ends[0][lo - base, j], ends[1][lo - base, j] = cost[i, j], skew[i, j]
+    return cost, skew, held, left
+
+
+def needed(p: int, q: int, side: int) -> list[tuple[int, int]]:
+    """The tiles that ``solve_tile`` reads: those that splits lead to, and the three beside it that hold weights."""
+    first, last = split_blocks(p, q, side)
+    of = {(p, r) for r in range(first, last + 1)} | {(r, q) for r in range(first, last + 1)}
+    return sorted((x, y) for x, y in of | {(p, q - 1), (p + 1, q), (p + 1, q - 1)} if p <= x <= y <= q and (x, y) != (p, q))
+
+
+def _tile_round(plan: DataFrame, distance: int, own: DataFrame, prefix: DataFrame | None, done: list[DataFrame], k: int, side: int) -> DataFrame:
+    """All tiles whose blocks are ``distance`` apart, from the rounds before."""
+    keys = ["parent", "p", "q"]
+    spans = plan.where(F.col("last") >= distance).select("parent", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") - distance)).alias("p"))
+    spans = spans.withColumn("q", F.col("p") + distance)
+    # Tiles of equal distance need the same tiles, moved by p.
+    near, (first, last) = needed(0, distance, side), split_blocks(0, distance, side)
+    none = lambda t: F.lit(None).cast(t)
+    part = lambda df, **c: df.select(*keys, "n", *[c.get(f, none(t)).alias(f) for f, t in PART.items()])
+    parts = part(spans.join(own, keys, "left"), own=F.col("own"))
+    if near:
+        wanted = spans.select(*keys, "n", F.explode(F.array(*[F.struct((F.col("p") + x).alias("x"), (F.col("p") + y).alias("y")) for x, y in near])).alias("t"))
+        wanted = wanted.select(*keys, "n", "t.x", "t.y")
+        tiles = functools.reduce(DataFrame.unionAll, [done[g].select("parent", F.col("p").alias("x"), F.col("q").alias("y"), "cost", "skew", "held")
+                                                      for g in sorted({y - x for x, y in near})])
+        parts = parts.unionAll(part(wanted.join(tiles, ["parent", "x", "y"]), **{f: F.col(f) for f in ("x", "y", "cost", "skew", "held")}))
+    if prefix is not None:
+        blocks = sorted({0, distance, *range(first, last + 1)})
+        asked = spans.select(*keys, "n", F.explode(F.array(*[F.col("p") + b for b in blocks])).alias("x"))
+        parts = parts.unionAll(part(asked.join(prefix, ["parent", "x"]), x=F.col("x"), prefix=F.col("prefix")))
+
+    def job(key, rows: pd.DataFrame) -> pd.DataFrame:
+        parent, p, q = key
+        n = int(rows["n"].iloc[0])
+        wide = lambda b: min(side, n + 1 - b * side)
+        tiles, before, pairs = {}, {}, []
+        for r in rows.itertuples(index=False):
+            if r.held is not None:
+                tiles[int(r.x), int(r.y)] = np.stack([np.frombuffer(v).reshape(wide(int(r.x)), wide(int(r.y))) for v in (r.cost, r.skew, r.held)])
+            elif r.prefix is not None:
+                before[int(r.x)] = np.asarray(r.prefix, float)
+            elif r.own is not None:
+                pairs = [(o["a"], o["b"], o["weight"]) for o in r.own]
+        cost, skew, held, left = solve_tile(int(p), int(q), n, k, side, pairs, tiles, before)
+        top = cost[0, n - q * side] if p == 0 and q == n // side else None
+        return pd.DataFrame([(parent, n, p, q, cost.tobytes(), skew.tobytes(), held.tobytes(), left.ravel(), top)],
+                            columns=["parent", "n", "p", "q", "cost", "skew", "held", "left", "top"])
+
+    # Little input can be much work: as many tasks as the session shuffles into, not as few as the bytes would fill.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(parts.repartition(tasks, *keys).groupBy(*keys).applyInPandas(job, TILE_ROW))
+
+
+def _descend_tiles(plan: DataFrame, rounds: list[DataFrame], k: int, side: int) -> DataFrame:
+    """The chosen intervals below (0, n): level by level across tiles, and in one task a tile for what lies inside one."""
+    block = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    empty = "parent string, lo long, hi long, up_lo long, up_hi long"
+    level = plan.where(F.col("n") > k).select("parent", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"))
+    crossing = lambda: (F.col("hi") - F.col("lo") > k) & (block("lo") < block("hi"))
+    found, inside = [], [level.where(~crossing())]
+    across = [t.select("parent", "n", "p", "q", "left") for t in rounds[1:]]
+    level, go_on = level.where(crossing()), bool(across)
+    while go_on:
+        tiles = functools.reduce(DataFrame.unionAll, across)
+        place = (F.col("lo") - F.col("p") * side) * F.least(F.lit(side), F.col("n") + 1 - F.col("q") * side) + F.col("hi") - F.col("q") * side
+        cut = level.withColumn("p", block("lo")).withColumn("q", block("hi")).join(tiles, ["parent", "p", "q"])
+        cut = cut.select("parent", "lo", "hi", (F.col("lo") + F.element_at("left", (place + 1).cast("int"))).alias("mid"))
+        halves = F.array(*[F.struct(F.col(a).alias("lo"), F.col(b).alias("hi")) for a, b in (("lo", "mid"), ("mid", "hi"))])
+        halves = cut.select("parent", F.explode(halves).alias("s"), F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"))
+        halves, seen = measured(halves.select("parent", "s.lo", "s.hi", "up_lo", "up_hi"), open=F.count_if(crossing()))
+        found.append(halves)
+        inside.append(halves.where((F.col("hi") - F.col("lo") > k) & ~crossing()).select("parent", "lo", "hi"))
+        level, go_on = halves.where(crossing()).select("parent", "lo", "hi"), seen["open"] > 0
+    whole = functools.reduce(DataFrame.unionAll, inside).groupBy("parent", block("lo").alias("p")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+    def job(key, rows: pd.DataFrame) -> pd.DataFrame:
+        n, p, row = int(rows["n"].iloc[0]), int(key[1]), rows.iloc[0]
+        left = np.asarray(row["left"]).reshape(-1, min(side, n + 1 - p * side))
+        todo, out = [(s["lo"], s["hi"]) for s in row["spans"]], []
+        for lo, hi in todo:
+            if hi - lo > k:
+                mid = lo + int(left[lo - p * side, hi - p * side])
+                todo += [(lo, mid), (mid, hi)]
+                out += [(key[0], lo, mid, lo, hi), (key[0], mid, hi, lo, hi)]
+        return pd.DataFrame(out, columns=["parent", "lo", "hi", "up_lo", "up_hi"])
+
+    below = whole.join(rounds[0].select("parent", "p", "n", "left"), ["parent", "p"]).groupBy("parent", "p").applyInPandas(job, empty)
+    return materialize(functools.reduce(DataFrame.unionAll, [below, *found]))
+
+
 def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, algorithm: str = "ordered_dp",
-              burdens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+              burdens: DataFrame | None = None, side: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Region intervals and (parent, algorithm, cost) for every parent.
 
-    ``order(parent, atom, pos)``, ``weights(parent, a, b, weight)`` with positions
-    a < b.  The caller names the algorithm, whatever the sizes: ``ordered_dp`` is the best
-    tree and holds the n * n spans of a parent in one task, so it is for parents of a
-    size that a task can hold; ``balanced`` is the even tree, computed item by item.
-    ``burdens(parent, pos, burden)`` is used only where no burden is null.
+    ``order(parent, atom, pos)`` with positions from 0 without gaps, ``weights(parent, a, b,
+    weight)`` with positions a < b, repeated pairs adding up.  The caller names the
+    algorithm, whatever the sizes: ``ordered_dp`` is the best tree, ``balanced`` the even
+    one, computed item by item.  ``burdens(parent, pos, burden)`` is used only where no
+    burden is null.
+
+    The best tree is solved over tables for parents of every size: the spans between two
+    blocks of ``side`` points are a tile, tiles of blocks equally far apart are a round,
+    and a tile's task reads only the tiles that its splits can lead to, a third of a row
+    and of a column.  A parent below ``side`` points is one tile.
     """
     if algorithm not in ("ordered_dp", "balanced"):
         raise ValueError(f"unknown algorithm: {algorithm}")
-    plan = materialize(order.groupBy("parent").agg(F.count("*").alias("n")).withColumn("algorithm", F.lit(algorithm)))
+    plan = order.groupBy("parent").agg(F.count("*").alias("n")).withColumn("algorithm", F.lit(algorithm))
+    plan, seen = measured(plan.withColumn("last", F.floor(F.col("n") / side).cast("bigint")), last=F.max(F.floor(F.col("n") / side)))
     if algorithm == "balanced":
         cost = balanced_cost(plan.select("parent", "n"), weights, k)
         return balanced_regions(plan.select("parent", "n"), order, k), plan.join(cost, "parent", "left").select(
             "parent", "n", "algorithm", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"))
-    load = order.join(burdens, ["parent", "pos"], "left") if burdens is not None else order.withColumn("burden", F.lit(None).cast("double"))
-    items = load.select("parent", "pos", F.col("burden").cast("double").alias("burden"))
-    pairs = weights.join(plan.select("parent"), "parent", "left_semi").select("parent", "a", "b", F.col("weight").cast("double").alias("weight"))
-
-    def job(key, i: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        i = i.sort_values("pos")
-        load = None if i["burden"].isna().any() else i["burden"].tolist()
-        total, spans = best_intervals(len(i), list(w[["a", "b", "weight"]].itertuples(index=False, name=None)), k, load)
-        rows = [(key[0], lo, hi, ulo, uhi, None) for lo, hi, ulo, uhi in spans] + [(key[0], 0, len(i), -1, -1, total)]
-        return pd.DataFrame(rows, columns=["parent", "lo", "hi", "up_lo", "up_hi", "cost"])
-
-    found = materialize(items.groupBy("parent").cogroup(pairs.groupBy("parent")).applyInPandas(
-        job, "parent string, lo long, hi long, up_lo long, up_hi long, cost double"))
-    spans = found.where("up_lo >= 0").select("parent", "lo", "hi", "up_lo", "up_hi")
-    cost = found.where("up_lo < 0").select("parent", "cost")
-    return spans, plan.join(cost, "parent", "left").select("parent", "n", "algorithm", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    block = lambda c: F.floor(c / side).cast("bigint")
+    pairs = weights.join(plan.select("parent"), "parent", "left_semi").groupBy(
+        "parent", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    own = materialize(pairs.groupBy("parent", block(F.col("a")).alias("p"), block(F.col("b") + 1).alias("q")).agg(
+        F.sort_array(F.collect_list(F.struct("a", "b", "weight"))).alias("own")))
+    before = None
+    if burdens is not None:
+        load = materialize(order.join(burdens, ["parent", "pos"], "left").select("parent", "pos", F.col("burden").cast("double").alias("burden")))
+        load = load.join(load.where("burden IS NULL").select("parent"), "parent", "left_anti")
+        points = running(load, ["parent"], ["pos"], {"before": F.col("burden")}).select("parent", (F.col("pos") + 1).cast("bigint").alias("point"), "before")
+        points = points.unionAll(points.select("parent").distinct().select("parent", F.lit(0).cast("bigint"), F.lit(0.0)))
+        before = materialize(points.groupBy("parent", block(F.col("point")).alias("x")).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("point", "before"))), lambda s: s["before"]).alias("prefix")))
+    rounds: list[DataFrame] = []
+    for distance in range(int(seen["last"] or 0) + 1):
+        rounds.append(_tile_round(plan, distance, own, before, rounds, k, side))
+    top = functools.reduce(DataFrame.unionAll, [t.where("top IS NOT NULL").select("parent", "top") for t in rounds])
+    return _descend_tiles(plan, rounds, k, side), plan.join(top, "parent", "left").select(
+        "parent", "n", "algorithm", F.coalesce("top", F.lit(0.0)).alias("cost"))

@@ -181,6 +181,61 @@ def test_interval_search_with_burdens_and_many_items():
     assert cost > 0 and sorted(x for lo, hi, *_ in leaves for x in range(lo, hi)) == list(range(300))
 
 
+def plain_partition(parents, k):
+    spans, costs = set(), {}
+    for p, (n, pairs, load) in parents.items():
+        use = load if load and None not in load else None
+        cost, found = R.best_intervals(n, pairs, k, use)
+        costs[p] = cost
+        spans |= {(p, *s) for s in found}
+    return spans, costs
+
+
+def test_best_regions_over_tiles_are_those_of_one_table(spark):
+    r = random.Random(5)
+    parents = {}
+    for p, n in (("one", 1), ("few", 6), ("side", 7), ("edge", 8), ("mid", 23), ("long", 61), ("bare", 30), ("gap", 40)):
+        pairs = [(a, b, float(r.randint(1, 5))) for a in range(n) for b in range(a + 1, n) if r.random() < (0.0 if p == "bare" else 0.1)]
+        pairs += pairs[:3]
+        parents[p] = (n, pairs, [float(r.randint(0, 9)) if p != "gap" or i else None for i in range(n)])
+    order = spark.createDataFrame([(p, f"a{i}", i) for p, (n, _, _) in parents.items() for i in range(n)], "parent string, atom string, pos long")
+    weights = spark.createDataFrame([(p, *w) for p, (_, ws, _) in parents.items() for w in ws], "parent string, a long, b long, weight double")
+    burdens = spark.createDataFrame([(p, i, x) for p, (_, _, xs) in parents.items() for i, x in enumerate(xs)], "parent string, pos long, burden double")
+    for k, side, with_burdens in ((2, 8, True), (6, 8, False), (3, 256, True)):
+        spans, costs = R.partition(order, weights, k, burdens=burdens if with_burdens else None, side=side)
+        want = plain_partition(parents if with_burdens else {p: (n, ws, None) for p, (n, ws, _) in parents.items()}, k)
+        got = [tuple(x) for x in spans.select("parent", "lo", "hi", "up_lo", "up_hi").collect()]
+        assert len(got) == len(set(got)) and set(got) == want[0]
+        assert {x.parent: x.cost for x in costs.collect()} == want[1]
+
+
+def test_best_regions_of_no_parent(spark):
+    order = spark.createDataFrame([], "parent string, atom string, pos long")
+    weights = spark.createDataFrame([], "parent string, a long, b long, weight double")
+    spans, costs = R.partition(order, weights)
+    assert spans.count() == 0 and costs.count() == 0
+
+
+def test_tiles_of_every_side_agree():
+    """Tiles solved one after another, without Spark, for sides that cut a parent in many ways."""
+    r = random.Random(2)
+    for n, side in ((17, 2), (40, 3), (40, 7), (90, 16), (64, 64), (65, 64)):
+        pairs = [(a, b, r.randint(1, 4)) for a in range(n) for b in range(a + 1, n) if r.random() < 0.2]
+        load = [r.randint(0, 5) for _ in range(n)]
+        points = np.concatenate([[0], np.cumsum(load)]).astype(float)
+        prefix = {b: points[b * side : (b + 1) * side] for b in range(n // side + 1)}
+        tiles = {}
+        for d in range(n // side + 1):
+            for p in range(n // side + 1 - d):
+                own = [w for w in pairs if w[0] // side == p and (w[1] + 1) // side == p + d]
+                near = {t: tiles[t][:3] for t in R.needed(p, p + d, side)}
+                tiles[p, p + d] = R.solve_tile(p, p + d, n, 4, side, own, near, prefix)
+        cost, spans = R.best_intervals(n, pairs, 4, load)
+        assert tiles[0, n // side][0][0, n % side] == cost
+        splits = {(ulo, uhi): hi - lo for lo, hi, ulo, uhi in spans if lo == ulo}
+        assert all(tiles[lo // side, hi // side][3][lo % side, hi % side] == s for (lo, hi), s in splits.items())
+
+
 def test_balanced_regions_cover_exactly(spark):
     sizes = [(f"p{n}", n) for n in (1, 6, 7, 41, 200)]
     items = spark.createDataFrame([(p, i) for p, n in sizes for i in range(n)], "parent string, pos long")
