@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from strandwork.operators import merge as M
 from strandwork.operators.order_stats import positions
@@ -10,7 +12,7 @@ from strandwork.plans.oracle_base import graph, tree
 from strandwork.plans.q_graph import acyclic_pairs
 from strandwork.plans.registry import query
 from strandwork.session import kept, materialize
-from strandwork.sources import derived as D, packages as P
+from strandwork.sources import adapters as AD, derived as D, packages as P
 from strandwork.streaming.common import drain, folder
 
 
@@ -231,3 +233,59 @@ def strict_declarations(spark, d):
     """Declarations that fit the strict shape at every depth, as columns."""
     got = P.read_strict(planted_declarations(spark, d), P.NESTED, "ref")
     return got.select("ref", "value.ref.repo_key", "value.lean_name", F.col("value.statement.formal.text").alias("formal"), F.size("value.statement.deps").alias("deps"))
+
+
+class Warehouse:
+    """An adapter over the given tables; ``planted`` adds contradictions."""
+
+    def __init__(self, planted: bool = False):
+        self.planted = planted
+
+    def collect(self, context):
+        spark, d = context.spark, context.path
+        decls, scopes = D.decls(spark, d), D.scopes(spark, d)
+        asset = lambda c: F.concat(F.lit("a:"), c)
+        text = lambda c, kind: decls.where(F.col(c).isNotNull()).select("ref", F.lit(kind).alias("text_kind"), F.lit("en").alias("locale"), F.col(c).alias("text"))
+        tables = {
+            "repositories": D.repos(spark, d),
+            "assets": D.homes(spark, d).select(asset(F.col("s_suppkey")).alias("asset_id"), "repo_key", F.concat("n_name", F.lit("/"), "module").alias("path"),
+                                               F.sha2("module", 256).alias("digest")),
+            "declarations": decls.select(F.col("ref").cast("bigint").alias("ref"), "repo_key", "scope_id", "name", "kind"),
+            "scopes": scopes,
+            "units": decls.select(F.col("ref").cast("bigint").alias("ref"), F.coalesce("generated_from", "ref").cast("bigint").alias("representative"))
+            .groupBy("representative").agg(F.sort_array(F.collect_list("ref")).alias("members"))
+            .select(F.concat(F.lit("u:"), "representative").alias("unit_id"), "representative", "members"),
+            "source_texts": text("statement_text", "statement").withColumn("ref", F.col("ref").cast("bigint")),
+        }
+        if self.planted:
+            ref = F.col("ref")
+            tables["declarations"] = (tables["declarations"].where("ref % 11 <> 5").withColumn("repo_key", F.when(ref % 17 == 3, "NOWHERE").otherwise(F.col("repo_key")))
+                                      .withColumn("scope_id", F.when(ref % 19 == 4, "s:none").otherwise(F.col("scope_id"))))
+            tables["scopes"] = tables["scopes"].unionAll(tables["scopes"].where("kind = 'folder'")).where("scope_id <> 'r:1'")
+        return tables
+
+
+@query("o2_adapter_tables", tree("""
+SELECT 'repositories' AS "table", count(*) AS n, count(DISTINCT r_name) AS keys FROM region UNION ALL SELECT 'assets', count(*), count(DISTINCT s_suppkey) FROM supplier
+UNION ALL SELECT 'declarations', count(*), count(DISTINCT ref) FROM decls UNION ALL SELECT 'scopes', count(*), count(DISTINCT scope_id) FROM scopes
+UNION ALL SELECT 'units', count(DISTINCT coalesce(generated_from, ref)), count(DISTINCT coalesce(generated_from, ref)) FROM decls
+UNION ALL SELECT 'coverage', 0, 0 UNION ALL SELECT 'source_texts', count(*), count(DISTINCT ref) FROM decls WHERE statement_text IS NOT NULL"""))
+def adapter_tables(spark, d):
+    """The standard table set that an adapter gives: rows and distinct keys of each table."""
+    tables = AD.collected(Warehouse(), AD.Context(spark, d))
+    counts = [df.agg(F.lit(t).alias("table"), F.count("*").alias("n"), F.count_distinct(AD.TABLES[t][0]).alias("keys")) for t, df in tables.items()]
+    return functools.reduce(DataFrame.unionAll, counts).select("table", "n", "keys")
+
+
+@query("o2_adapter_faults", tree("""
+SELECT 'declarations' AS "table", 'unknown_repository' AS code, ref::VARCHAR AS key, 'NOWHERE' AS value FROM decls WHERE ref % 11 <> 5 AND ref % 17 = 3
+UNION ALL SELECT 'declarations', 'unknown_scope', ref::VARCHAR, 's:none' FROM decls WHERE ref % 11 <> 5 AND ref % 19 = 4
+UNION ALL SELECT 'repositories', 'unknown_scope', r_name, 'r:1' FROM region WHERE r_regionkey = 1
+UNION ALL SELECT 'scopes', 'repeated_key', scope_id, '2' FROM scopes WHERE kind = 'folder'
+UNION ALL SELECT DISTINCT 'scopes', 'unknown_parent', scope_id, parent FROM scopes WHERE parent = 'r:1'
+UNION ALL SELECT DISTINCT 'units', 'unknown_declaration', 'u:' || coalesce(generated_from, ref), coalesce(generated_from, ref)::VARCHAR FROM decls WHERE coalesce(generated_from, ref) % 11 = 5
+UNION ALL SELECT 'units', 'unknown_member', 'u:' || coalesce(generated_from, ref), ref::VARCHAR FROM decls WHERE ref % 11 = 5
+UNION ALL SELECT 'source_texts', 'unknown_declaration', ref::VARCHAR, ref::VARCHAR FROM decls WHERE ref % 11 = 5 AND statement_text IS NOT NULL"""))
+def adapter_faults(spark, d):
+    """Contradictions between the tables of an adapter that loses declarations and a scope and repeats others."""
+    return AD.faults(AD.collected(Warehouse(planted=True), AD.Context(spark, d)))
