@@ -2,35 +2,69 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandwork.streaming.common import drain, drain_each, folder
+from strandwork.streaming.common import drain, drain_each, folder, part_of
 
 FILE_OUT = "file long, chunks long, status string"
 
 
+def _take(held: tuple, rows) -> tuple:
+    """(want, chunks seen, clash) of a file after more ``rows`` of (chunk index, chunk count)."""
+    want, have, clash = held
+    for index, count in rows:
+        clash = clash or (want not in (0, count)) or str(index) in have
+        want = want or count
+        have.add(str(index))
+    return want, have, clash
+
+
 def _gather(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     want, seen, clash, sent = state.get if state.exists else (0, "", False, False)
-    have = set(filter(None, seen.split(",")))
+    held = (want, set(filter(None, seen.split(","))), clash)
     for rows in batches:
-        for r in rows.itertuples(index=False):
-            clash = clash or (want not in (0, r.chunk_count)) or str(r.chunk_index) in have
-            want = want or r.chunk_count
-            have.add(str(r.chunk_index))
+        held = _take(held, zip(rows["chunk_index"], rows["chunk_count"]))
+    want, have, clash = held
     if have and len(have) == want and not sent:
         sent = True
         yield pd.DataFrame([(key[0], want, "disagrees" if clash else "complete")], columns=["file", "chunks", "status"])
     state.update((int(want), ",".join(sorted(have)), bool(clash), sent))
 
 
+def _gather_part(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """``_gather`` for all files of a part; of a file that was sent only its name is left."""
+    known = json.loads(state.get[0]) if state.exists else {}
+    new: dict[str | None, list] = {}
+    for rows in batches:
+        for file, index, count in zip(rows["file"], rows["chunk_index"], rows["chunk_count"]):
+            new.setdefault(file, []).append((index, count))
+    out = []
+    for file, rows in new.items():
+        name = file or ""
+        if known.get(name) is True:
+            continue
+        want, have, clash = known.get(name, (0, (), False))
+        want, have, clash = _take((want, set(have), clash), rows)
+        done = bool(have) and len(have) == want
+        if done:
+            out.append((int(file) if file else None, want, "disagrees" if clash else "complete"))
+        known[name] = True if done else (int(want), sorted(have), bool(clash))
+    state.update((json.dumps(known),))
+    if out:
+        yield pd.DataFrame(out, columns=["file", "chunks", "status"]).astype({"file": "Int64"})
+
+
 def complete_files(chunks: DataFrame) -> DataFrame:
     """Emit a file once all its chunks are in: ``chunks(file, chunk_index, chunk_count)``."""
-    return chunks.groupBy("file").applyInPandasWithState(
-        _gather, FILE_OUT, "want long, seen string, clash boolean, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    # As texts, so that a null in a part does not turn the numbers of its other files into floats.
+    rows = chunks.select(part_of("file"), F.col("file").cast("string").alias("file"), F.col("chunk_index").cast("string").alias("chunk_index"),
+                         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    return rows.groupBy("part").applyInPandasWithState(_gather_part, FILE_OUT, "files string", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_once(stream: DataFrame, key: str, name: str, place: str | None = None) -> DataFrame:

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandwork.session import shared_folder
 
 
+#: Parts that the keys of a state machine are dealt into; a part's keys are one state.
+PARTS = 16_384
+
+
+def part_of(key: str) -> Column:
+    """The part of a key. A call of Python for every single key costs far more than its few rows."""
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{name}-{uuid.uuid4().hex}"
 
