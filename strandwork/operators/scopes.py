@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandwork.session import dealt
+
 #: Lines of a block.
 BLOCK = 4096
 # The commands that change scopes.
@@ -110,40 +112,74 @@ def contexts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Null lines are empty; line numbers give the order, and equal numbers of one file stand in any order.
     """
-    kind = lines.schema[key].dataType.simpleString()
     rows = lines.select(F.col(key).alias("key"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"),
                         F.floor(F.col("line_no") / BLOCK).cast("long").alias("block"))
 
-    def shorten(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line_no", kind="stable")
-        own = json.dumps(reduced([s for line in part["line"] for s in steps(line)]))
-        return pd.DataFrame({"key": part["key"].iloc[:1], "block": part["block"].iloc[:1], "steps": [own]})
-
-    def enter(blocks: pd.DataFrame) -> pd.DataFrame:
-        stack, out = outermost(), []
-        blocks = blocks.sort_values("block")
-        for own in blocks["steps"]:
-            out.append(json.dumps(stack))
-            for step in json.loads(own):
-                run(stack, step)
-        return pd.DataFrame({"key": blocks["key"], "block": blocks["block"], "stack": out})
-
-    def read(part: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
-        stack, tops = json.loads(entered["stack"].iloc[0]), []
-        part = part.sort_values("line_no", kind="stable")
-        for line in part["line"]:
-            for step in steps(line):
-                run(stack, step)
-            tops.append(stack[-1])
-        return pd.DataFrame({"key": part["key"], "line_no": part["line_no"], **{c: [t[c] for t in tops] for c in ("namespace", "opens", "aliases", "public")}})
-
-    # A file's blocks meet with their few steps only; lines are dealt by block throughout.
-    short = rows.groupBy("key", "block").applyInPandas(shorten, f"key {kind}, block long, steps string")
-    entering = short.groupBy("key").applyInPandas(enter, f"key {kind}, block long, stack string")
-    out = rows.groupBy("key", "block").cogroup(entering.groupBy("key", "block")).applyInPandas(
-        read, f"key {kind}, line_no long, namespace string, opens array<struct<at: string, name: string>>, "
+    file = F.struct("key").alias("file")
+    rows = rows.select(file, "block", "line_no", "line").repartition("file", "block")
+
+    def told(kinds: pa.Schema, found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), kinds)], schema=kinds)
+
+    def shorten(batches):
+        kinds, last, own = None, None, []
+        for batch in batches:
+            kinds = pa.schema([batch.schema.field("file"), ("block", pa.int64()), ("steps", pa.string())])
+            found = []
+            for file, block, line in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line"))):
+                if last != (file, block):
+                    if last is not None:
+                        found.append((*last, json.dumps(reduced(own))))
+                    last, own = (file, block), []
+                own += steps(line)
+            if found:
+                yield told(kinds, found)
+        if last is not None:
+            yield told(kinds, [(*last, json.dumps(reduced(own)))])
+
+    def enter(batches):
+        last, stack = None, []
+        for batch in batches:
+            kinds = pa.schema([batch.schema.field("file"), ("block", pa.int64()), ("stack", pa.string())])
+            found = []
+            for file, block, own in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "steps"))):
+                if last is None or last != file:
+                    last, stack = file, outermost()
+                found.append((file, block, json.dumps(stack)))
+                for step in json.loads(own):
+                    run(stack, step)
+            if found:
+                yield told(kinds, found)
+
+    def read(batches):
+        name = pa.struct([("at", pa.string()), ("name", pa.string())])
+        alias = pa.struct([("alias", pa.string()), ("target", pa.string())])
+        last, stack = None, []
+        for batch in batches:
+            kinds = pa.schema([("file", batch.schema.field("file").type), ("line_no", pa.int64()), ("namespace", pa.string()), ("opens", pa.list_(name)),
+                               ("aliases", pa.list_(alias)), ("public", pa.bool_())])
+            found = []
+            for file, block, line_no, line, entered in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line_no", "line", "stack"))):
+                if last != (file, block):
+                    last, stack = (file, block), outermost() if entered is None else json.loads(entered)
+                for step in steps(line):
+                    run(stack, step)
+                top = stack[-1]
+                found.append((file, line_no, *(top[c] for c in ("namespace", "opens", "aliases", "public"))))
+            if found:
+                yield told(kinds, found)
+
+    # Lines are shuffled once, by block; a worker reads the blocks of its part one after the other, so
+    # that many short files cost no call each.  A file's blocks meet with their few steps only.
+    held = rows.schema["file"].dataType.simpleString()
+    short = rows.sortWithinPartitions("file", "block", "line_no").mapInArrow(shorten, f"file {held}, block long, steps string")
+    entering = short.repartition("file").sortWithinPartitions("file", "block").mapInArrow(enter, f"file {held}, block long, stack string")
+    entering = entering.where(F.col("stack") != json.dumps(outermost()))
+    out = rows.join(dealt(entering), ["file", "block"], "left")
+    out = out.select("file", "block", "line_no", "line", "stack").sortWithinPartitions("file", "block", "line_no").mapInArrow(
+        read, f"file {held}, line_no long, namespace string, opens array<struct<at: string, name: string>>, "
               "aliases array<struct<alias: string, target: string>>, public boolean")
-    return out.withColumnRenamed("key", key)
+    return out.select(F.col("file.key").alias(key), "line_no", "namespace", "opens", "aliases", "public")
 
 
 def imports(lines: DataFrame, key: str = "doc_id") -> DataFrame:
