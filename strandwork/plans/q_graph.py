@@ -215,8 +215,10 @@ UNION ALL SELECT provider, consumer, 'acyclic_only' FROM (SELECT * FROM edges EX
 def edge_set_difference(spark, d):
     a, b = acyclic_pairs(spark, d), D.edge_pairs(spark, d, directed=True)
     both = ["provider", "consumer"]
-    return b.join(a, both, "left_anti").withColumn("side", F.lit("directed_only")).unionAll(
-        a.join(b, both, "left_anti").withColumn("side", F.lit("acyclic_only")))
+    # Both sets meet in one aggregation; pairs with a null end are in none.
+    met = b.select(*both, F.lit(True).alias("directed")).unionAll(a.select(*both, F.lit(False))).groupBy(*both).agg(
+        F.min("directed").alias("all"), F.max("directed").alias("any"))
+    return met.where(F.col("all") == F.col("any")).select(*both, F.when(F.col("any"), "directed_only").otherwise("acyclic_only").alias("side"))
 
 
 @query("h5_group_overlap", tree("""
