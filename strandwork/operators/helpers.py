@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strandwork.operators.order_stats import positions
-from strandwork.session import materialize
+from strandwork.session import dealt, materialize
 
 # Capacity of one group.
 MAX_DECLARATIONS, MAX_CODEPOINTS = 8, 12_000
@@ -21,9 +21,9 @@ def protected_refs(decls: DataFrame, owner: DataFrame, edges: DataFrame, keep: D
     named = decls.where("outcome").select("ref")
     if keep is not None:
         named = named.unionAll(keep.select("ref"))
-    alone = decls.where("technical").select("ref").join(owner.where("ref = owner").select("ref"), "ref", "left_semi")
+    alone = decls.where("technical").select("ref").join(dealt(owner.where("ref = owner").select("ref")), "ref", "left_semi")
     place = decls.select("ref", "repo_key", "scope_id")
-    used = edges.join(place.toDF("provider", "r1", "s1"), "provider").join(place.toDF("consumer", "r2", "s2"), "consumer", "left").where(
+    used = edges.join(dealt(place.toDF("provider", "r1", "s1")), "provider").join(dealt(place.toDF("consumer", "r2", "s2")), "consumer", "left").where(
         "s2 IS NULL OR s1 <> s2 OR r1 <> r2").select(F.col("provider").alias("ref"))
     return named.unionAll(alone).unionAll(used).distinct()
 
@@ -31,14 +31,14 @@ def protected_refs(decls: DataFrame, owner: DataFrame, edges: DataFrame, keep: D
 def group_tables(decls: DataFrame, owner: DataFrame, edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(scope_id, grp, rank, members, size, protected) and the use edges between groups of one scope."""
     shield = protected_refs(decls, owner, edges, keep).withColumn("shield", F.lit(True))
-    sized = decls.join(owner, "ref").join(shield, "ref", "left")
+    sized = decls.join(dealt(owner), "ref").join(dealt(shield), "ref", "left")
     groups = sized.groupBy(F.col("owner").alias("grp")).agg(
         F.count("*").alias("members"), F.sum("size").alias("size"), F.count("shield").alias("s")).join(
-        decls.select(F.col("ref").alias("grp"), "scope_id", "source_key"), "grp")
+        dealt(decls.select(F.col("ref").alias("grp"), "scope_id", "source_key")), "grp")
     ranked = positions(groups, ["scope_id"], ["source_key", "grp"], "rank").select(
         "scope_id", "grp", "rank", "members", "size", (F.col("s") > 0).alias("protected"))
-    at = owner.join(decls.select(F.col("ref").alias("owner"), "scope_id"), "owner")
-    uses = edges.join(at.toDF("g1", "provider", "s1"), "provider").join(at.toDF("g2", "consumer", "s2"), "consumer").where(
+    at = owner.join(dealt(decls.select(F.col("ref").alias("owner"), "scope_id")), "owner")
+    uses = edges.join(dealt(at.toDF("g1", "provider", "s1")), "provider").join(dealt(at.toDF("g2", "consumer", "s2")), "consumer").where(
         "s1 = s2 AND g1 <> g2").select(F.col("s1").alias("scope_id"), F.col("g1").alias("provider"), F.col("g2").alias("consumer")).distinct()
     return ranked, uses
 
@@ -125,11 +125,11 @@ def absorb(groups: DataFrame, uses: DataFrame, max_members: int = MAX_DECLARATIO
         rows += [(x, None, why) for x, why in notes]
         return pd.DataFrame(rows, columns=["grp", "target", "reason"])
 
-    out = materialize(groups.join(small, "scope_id", "left_semi").groupBy("scope_id").cogroup(
-        uses.join(small, "scope_id", "left_semi").groupBy("scope_id")).applyInPandas(job, "grp long, target long, reason string"))
+    out = materialize(groups.join(dealt(small), "scope_id", "left_semi").groupBy("scope_id").cogroup(
+        uses.join(dealt(small), "scope_id", "left_semi").groupBy("scope_id")).applyInPandas(job, "grp long, target long, reason string"))
     merged, notes = out.where("target IS NOT NULL").select("grp", "target"), out.where("reason IS NOT NULL").select("grp", "reason")
     if large.take(1):
-        m, n = _absorb_rounds(groups.join(large, "scope_id", "left_semi"), uses.join(large, "scope_id", "left_semi"), max_members, max_size)
+        m, n = _absorb_rounds(groups.join(dealt(large), "scope_id", "left_semi"), uses.join(dealt(large), "scope_id", "left_semi"), max_members, max_size)
         merged, notes = merged.unionAll(m), notes.unionAll(n)
     return merged, notes
 
@@ -139,14 +139,14 @@ def _absorb_rounds(groups: DataFrame, uses: DataFrame, max_members: int, max_siz
     merged, notes = None, None
     while True:
         single = uses.groupBy(F.col("provider").alias("grp")).agg(F.count("*").alias("users"), F.min("consumer").alias("target"))
-        judged = groups.join(single, "grp", "left").join(
-            groups.select(F.col("grp").alias("target"), F.col("members").alias("tm"), F.col("size").alias("ts")), "target", "left").select(
+        judged = groups.join(dealt(single), "grp", "left").join(
+            dealt(groups.select(F.col("grp").alias("target"), F.col("members").alias("tm"), F.col("size").alias("ts"))), "target", "left").select(
             "scope_id", "grp", "rank", "members", "size", "protected", "target",
             F.when(F.col("protected"), "protected").when(F.col("users").isNull(), "unused").when(F.col("users") > 1, "shared")
             .when((F.col("members") + F.col("tm") > max_members) | (F.col("size") + F.col("ts") > max_size), "capacity").alias("reason"))
         judged = materialize(judged)
         first = materialize(judged.where("reason IS NULL").groupBy("scope_id").agg(F.min(F.struct("rank", "grp", "target", "members", "size")).alias("m")))
-        passed = materialize(judged.join(first, "scope_id", "left").where(
+        passed = materialize(judged.join(dealt(first), "scope_id", "left").where(
             "reason IS NOT NULL AND (m IS NULL OR rank < m.rank)").select("grp", "reason"))
         notes = passed if notes is None else materialize(notes.unionAll(passed).distinct())
         if not first.take(1):
@@ -156,14 +156,14 @@ def _absorb_rounds(groups: DataFrame, uses: DataFrame, max_members: int, max_siz
         if merged is None:
             merged = materialize(step)
         else:
-            moved = merged.join(step.select(F.col("grp").alias("target"), F.col("target").alias("later")), "target", "left").select(
+            moved = merged.join(dealt(step.select(F.col("grp").alias("target"), F.col("target").alias("later"))), "target", "left").select(
                 "grp", F.coalesce("later", "target").alias("target"))
             merged = materialize(moved.unionAll(step))
         grown = first.select(F.col("m.target").alias("grp"), F.col("m.members").alias("am"), F.col("m.size").alias("asz"))
-        groups = materialize(groups.join(step.select("grp"), "grp", "left_anti").join(grown, "grp", "left").select(
+        groups = materialize(groups.join(dealt(step.select("grp")), "grp", "left_anti").join(dealt(grown), "grp", "left").select(
             "scope_id", "grp", "rank", (F.col("members") + F.coalesce("am", F.lit(0))).alias("members"),
             (F.col("size") + F.coalesce("asz", F.lit(0))).alias("size"), "protected"))
         to = lambda end: step.select(F.col("grp").alias(end), F.col("target").alias(f"{end}_to"))
-        uses = materialize(uses.join(to("provider"), "provider", "left").join(to("consumer"), "consumer", "left").select(
+        uses = materialize(uses.join(dealt(to("provider")), "provider", "left").join(dealt(to("consumer")), "consumer", "left").select(
             "scope_id", F.coalesce("provider_to", "provider").alias("provider"), F.coalesce("consumer_to", "consumer").alias("consumer")).where(
             "provider <> consumer").distinct())

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandwork.session import materialize
+from strandwork.session import dealt, materialize
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -45,7 +45,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
         cond = cond & m
     local = staged.select("*", *[agg(f"__v_{n}").over(inner).alias(f"__l_{n}") for n in sums])
     both = (lambda n: F.col(f"__l_{n}") + F.col(f"__o_{n}")) if fold == "sum" else (lambda n: F.greatest(f"__l_{n}", f"__o_{n}"))
-    return local.join(totals, cond).select(*df.columns, *[both(n).alias(n) for n in sums])
+    return local.join(dealt(totals), cond).select(*df.columns, *[both(n).alias(n) for n in sums])
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -61,7 +61,7 @@ def adjacent_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     placed = materialize(positions(df.select(*keys, *_needed(df, keys, order, member)), keys, order, "pos"))
     left = placed.select(*keys, "pos", F.col(member).alias("before"))
     right = placed.select(*keys, (F.col("pos") - 1).alias("pos"), F.col(member).alias("after"))
-    return left.join(right, [*keys, "pos"])
+    return left.join(dealt(right), [*keys, "pos"])
 
 
 def _needed(df: DataFrame, keys, order, member) -> list[str]:
@@ -81,7 +81,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
     run = materialize(running(counted, keys, [value], {"upto": F.col("n")}))
     total = run.groupBy(*keys).agg(F.max("upto").alias("total"))
     spots = total.select(*keys, *[((F.col("total") - 1) * F.lit(q)).alias(f"__h_{n}") for n, q in points.items()])
-    joined = run.join(spots, list(keys))
+    joined = run.join(dealt(spots), list(keys))
     picks = []
     for n in points:
         for edge, at in (("lo", F.floor(f"__h_{n}")), ("hi", F.ceil(f"__h_{n}"))):
@@ -99,7 +99,7 @@ def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: st
     counted = df.groupBy(*keys, value).agg(F.sum(weight).cast("long").alias("w"))
     run = materialize(running(counted, keys, [value], {"upto": F.col("w")}))
     total = run.groupBy(*keys).agg(F.max("upto").alias("total"))
-    return run.join(total, list(keys)).groupBy(*keys).agg(*[
+    return run.join(dealt(total), list(keys)).groupBy(*keys).agg(*[
         F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(q))), F.col(value))).alias(n)
         for n, q in points.items()])
 
@@ -109,4 +109,4 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     run = running(counted, keys, [value], {"__upto": F.col("__n")})
     ranks = run.select(*keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    return df.join(dealt(ranks), [*keys, value])

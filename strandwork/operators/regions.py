@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwork.operators.order_stats import running
-from strandwork.session import materialize, measured
+from strandwork.session import dealt, materialize, measured
 
 # Fixed value: largest display group.
 FAN_OUT = 6
@@ -46,7 +46,7 @@ def balanced_regions(sizes: DataFrame, items: DataFrame, k: int = FAN_OUT) -> Da
     Every item finds its own chain of intervals from its position alone, so one
     parent may hold any number of items.
     """
-    walk = items.select("parent", "pos").join(sizes, "parent").select("parent", "n", _descend(
+    walk = items.select("parent", "pos").join(dealt(sizes), "parent").select("parent", "n", _descend(
         F.lit(True), F.col("n"), k, lambda lo, hi: (F.col("pos") >= lo) & (F.col("pos") < hi)).alias("w"))
     chain = walk.select("parent", F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n").cast("bigint").alias("hi"))), "w.path").alias("c"))
     step = chain.where(F.size("c") > 1).select("parent", F.explode(F.arrays_zip(
@@ -57,7 +57,7 @@ def balanced_regions(sizes: DataFrame, items: DataFrame, k: int = FAN_OUT) -> Da
 
 def balanced_cost(sizes: DataFrame, weights: DataFrame, k: int = FAN_OUT) -> DataFrame:
     """Each pair costs its weight times the size of the smallest interval that holds both ends."""
-    met = weights.join(sizes, "parent").select("parent", "weight", _descend(
+    met = weights.join(dealt(sizes), "parent").select("parent", "weight", _descend(
         F.lit(True), F.col("n"), k, lambda lo, hi: (F.col("a") >= lo) & (F.col("b") < hi)).alias("w"))
     return met.groupBy("parent").agg(F.sum(F.col("weight") * (F.col("w.hi") - F.col("w.lo"))).alias("cost"))
 
@@ -199,17 +199,17 @@ def _tile_round(plan: DataFrame, distance: int, own: DataFrame, prefix: DataFram
     near, (first, last) = needed(0, distance, side), split_blocks(0, distance, side)
     none = lambda t: F.lit(None).cast(t)
     part = lambda df, **c: df.select(*keys, "n", *[c.get(f, none(t)).alias(f) for f, t in PART.items()])
-    parts = part(spans.join(own, keys, "left"), own=F.col("own"))
+    parts = part(spans.join(dealt(own), keys, "left"), own=F.col("own"))
     if near:
         wanted = spans.select(*keys, "n", F.explode(F.array(*[F.struct((F.col("p") + x).alias("x"), (F.col("p") + y).alias("y")) for x, y in near])).alias("t"))
         wanted = wanted.select(*keys, "n", "t.x", "t.y")
         tiles = functools.reduce(DataFrame.unionAll, [done[g].select("parent", F.col("p").alias("x"), F.col("q").alias("y"), "cost", "skew", "held")
                                                       for g in sorted({y - x for x, y in near})])
-        parts = parts.unionAll(part(wanted.join(tiles, ["parent", "x", "y"]), **{f: F.col(f) for f in ("x", "y", "cost", "skew", "held")}))
+        parts = parts.unionAll(part(wanted.join(dealt(tiles), ["parent", "x", "y"]), **{f: F.col(f) for f in ("x", "y", "cost", "skew", "held")}))
     if prefix is not None:
         blocks = sorted({0, distance, *range(first, last + 1)})
         asked = spans.select(*keys, "n", F.explode(F.array(*[F.col("p") + b for b in blocks])).alias("x"))
-        parts = parts.unionAll(part(asked.join(prefix, ["parent", "x"]), x=F.col("x"), prefix=F.col("prefix")))
+        parts = parts.unionAll(part(asked.join(dealt(prefix), ["parent", "x"]), x=F.col("x"), prefix=F.col("prefix")))
 
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         parent, p, q = key
@@ -245,7 +245,7 @@ def _descend_tiles(plan: DataFrame, rounds: list[DataFrame], k: int, side: int)
     while go_on:
         tiles = functools.reduce(DataFrame.unionAll, across)
         place = (F.col("lo") - F.col("p") * side) * F.least(F.lit(side), F.col("n") + 1 - F.col("q") * side) + F.col("hi") - F.col("q") * side
-        cut = level.withColumn("p", block("lo")).withColumn("q", block("hi")).join(tiles, ["parent", "p", "q"])
+        cut = level.withColumn("p", block("lo")).withColumn("q", block("hi")).join(dealt(tiles), ["parent", "p", "q"])
         cut = cut.select("parent", "lo", "hi", (F.col("lo") + F.element_at("left", (place + 1).cast("int"))).alias("mid"))
         halves = F.array(*[F.struct(F.col(a).alias("lo"), F.col(b).alias("hi")) for a, b in (("lo", "mid"), ("mid", "hi"))])
         halves = cut.select("parent", F.explode(halves).alias("s"), F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"))
@@ -266,7 +266,7 @@ def _descend_tiles(plan: DataFrame, rounds: list[DataFrame], k: int, side: int)
                 out += [(key[0], lo, mid, lo, hi), (key[0], mid, hi, lo, hi)]
         return pd.DataFrame(out, columns=["parent", "lo", "hi", "up_lo", "up_hi"])
 
-    below = whole.join(rounds[0].select("parent", "p", "n", "left"), ["parent", "p"]).groupBy("parent", "p").applyInPandas(job, empty)
+    below = whole.join(dealt(rounds[0].select("parent", "p", "n", "left")), ["parent", "p"]).groupBy("parent", "p").applyInPandas(job, empty)
     return materialize(functools.reduce(DataFrame.unionAll, [below, *found]))
 
 
@@ -291,17 +291,17 @@ def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, algorithm:
     plan, seen = measured(plan.withColumn("last", F.floor(F.col("n") / side).cast("bigint")), last=F.max(F.floor(F.col("n") / side)))
     if algorithm == "balanced":
         cost = balanced_cost(plan.select("parent", "n"), weights, k)
-        return balanced_regions(plan.select("parent", "n"), order, k), plan.join(cost, "parent", "left").select(
+        return balanced_regions(plan.select("parent", "n"), order, k), plan.join(dealt(cost), "parent", "left").select(
             "parent", "n", "algorithm", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"))
     block = lambda c: F.floor(c / side).cast("bigint")
-    pairs = weights.join(plan.select("parent"), "parent", "left_semi").groupBy(
+    pairs = weights.join(dealt(plan.select("parent")), "parent", "left_semi").groupBy(
         "parent", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
     own = materialize(pairs.groupBy("parent", block(F.col("a")).alias("p"), block(F.col("b") + 1).alias("q")).agg(
         F.sort_array(F.collect_list(F.struct("a", "b", "weight"))).alias("own")))
     before = None
     if burdens is not None:
-        load = materialize(order.join(burdens, ["parent", "pos"], "left").select("parent", "pos", F.col("burden").cast("double").alias("burden")))
-        load = load.join(load.where("burden IS NULL").select("parent"), "parent", "left_anti")
+        load = materialize(order.join(dealt(burdens), ["parent", "pos"], "left").select("parent", "pos", F.col("burden").cast("double").alias("burden")))
+        load = load.join(dealt(load.where("burden IS NULL").select("parent")), "parent", "left_anti")
         points = running(load, ["parent"], ["pos"], {"before": F.col("burden")}).select("parent", (F.col("pos") + 1).cast("bigint").alias("point"), "before")
         points = points.unionAll(points.select("parent").distinct().select("parent", F.lit(0).cast("bigint"), F.lit(0.0)))
         before = materialize(points.groupBy("parent", block(F.col("point")).alias("x")).agg(
@@ -310,5 +310,5 @@ def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, algorithm:
     for distance in range(int(seen["last"] or 0) + 1):
         rounds.append(_tile_round(plan, distance, own, before, rounds, k, side))
     top = functools.reduce(DataFrame.unionAll, [t.where("top IS NOT NULL").select("parent", "top") for t in rounds])
-    return _descend_tiles(plan, rounds, k, side), plan.join(top, "parent", "left").select(
+    return _descend_tiles(plan, rounds, k, side), plan.join(dealt(top), "parent", "left").select(
         "parent", "n", "algorithm", F.coalesce("top", F.lit(0.0)).alias("cost"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandwork.operators.iterate import waves
 from strandwork.operators.order_stats import positions, running
-from strandwork.session import materialize, measured
+from strandwork.session import dealt, materialize, measured
 
 # Rows (atoms and relations) of a bundle that one task emits; larger bundles are emitted in rounds over tables.
 TASK_ROWS = 200_000
@@ -45,13 +45,13 @@ def bundles(links: DataFrame) -> DataFrame:
     state = materialize(both.select("parent", "atom").distinct().withColumn("bundle", F.col("atom")))
     while True:
         other = state.select("parent", F.col("atom").alias("other"), F.col("bundle").alias("offer"))
-        offers = both.join(state, ["parent", "atom"]).join(other, ["parent", "other"]).select("parent", "atom", "bundle", "offer")
+        offers = both.join(dealt(state), ["parent", "atom"]).join(dealt(other), ["parent", "other"]).select("parent", "atom", "bundle", "offer")
         offers = offers.select("parent", F.explode(F.array("atom", "bundle")).alias("atom"), "offer").groupBy("parent", "atom").agg(
             F.min("offer").alias("offer"))
-        hooked = materialize(state.join(offers, ["parent", "atom"], "left").select(
+        hooked = materialize(state.join(dealt(offers), ["parent", "atom"], "left").select(
             "parent", "atom", F.col("bundle").alias("before"), F.least("bundle", "offer").alias("bundle")))
         names = hooked.select("parent", F.col("atom").alias("bundle"), F.col("bundle").alias("name"))
-        state, seen = measured(hooked.join(names, ["parent", "bundle"]).select(
+        state, seen = measured(hooked.join(dealt(names), ["parent", "bundle"]).select(
             "parent", "atom", F.col("name").alias("bundle"), (F.col("name") != F.col("before")).alias("moved")), moved=F.count_if("moved"))
         state = state.select("parent", "atom", "bundle")
         if not seen["moved"]:
@@ -131,25 +131,25 @@ def _emit_in_rounds(atoms: DataFrame, links: DataFrame) -> DataFrame:
     ties, soft = (materialize(links.where(w).select(*GROUP, "provider", "consumer")) for w in ("hard", "NOT hard"))
     end = lambda df, name, *more: df.select(*GROUP, F.col("atom").alias(name), *more)
     left = ties.groupBy(*GROUP, F.col("consumer").alias("atom")).agg(F.count("*").alias("left"))
-    waiting, seen = measured(atoms.join(left, [*GROUP, "atom"], "left").select(
+    waiting, seen = measured(atoms.join(dealt(left), [*GROUP, "atom"], "left").select(
         *GROUP, "atom", "rank", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).cast("long").alias("round")), rows=F.count("*"))
     done: list[DataFrame] = []
     while seen["rows"]:
         ready = waiting.where("left = 0")
-        met = soft.join(end(ready, "provider"), [*GROUP, "provider"], "left_semi").join(end(ready, "consumer"), [*GROUP, "consumer"], "left_semi")
+        met = soft.join(dealt(end(ready, "provider")), [*GROUP, "provider"], "left_semi").join(dealt(end(ready, "consumer")), [*GROUP, "consumer"], "left_semi")
         met = materialize(met)
         held = end(met.select(*GROUP, F.col("consumer").alias("atom")).distinct(), "atom", F.lit(True).alias("held"))
-        state = materialize(ready.join(held, [*GROUP, "atom"], "left").withColumn("held", F.coalesce("held", F.lit(False))))
+        state = materialize(ready.join(dealt(held), [*GROUP, "atom"], "left").withColumn("held", F.coalesce("held", F.lit(False))))
         free = state.where("NOT held")
         # An atom comes to be ready in this round only if all that it still waits for is free.
-        from_free = ties.join(end(free, "provider"), [*GROUP, "provider"], "left_semi")
+        from_free = ties.join(dealt(end(free, "provider")), [*GROUP, "provider"], "left_semi")
         opened = from_free.groupBy(*GROUP, "consumer").agg(F.count("*").alias("hits")).join(
-            end(waiting, "consumer", "left"), [*GROUP, "consumer"]).where("hits = left")
-        openers = from_free.join(opened, [*GROUP, "consumer"], "left_semi").select(*GROUP, F.col("provider").alias("atom"))
+            dealt(end(waiting, "consumer", "left")), [*GROUP, "consumer"]).where("hits = left")
+        openers = from_free.join(dealt(opened), [*GROUP, "consumer"], "left_semi").select(*GROUP, F.col("provider").alias("atom"))
         event = openers.unionAll(met.select(*GROUP, F.col("provider").alias("atom"))).distinct()
-        until = free.join(event, [*GROUP, "atom"], "left_semi").groupBy(*GROUP).agg(F.min("rank").alias("until"))
+        until = free.join(dealt(event), [*GROUP, "atom"], "left_semi").groupBy(*GROUP).agg(F.min("rank").alias("until"))
         still = state.groupBy(*GROUP).agg(F.bool_and("held").alias("still"), F.min("rank").alias("least"))
-        gone = materialize(state.join(still, GROUP).join(until, GROUP, "left").where(
+        gone = materialize(state.join(dealt(still), GROUP).join(dealt(until), GROUP, "left").where(
             "(still AND rank = least) OR (NOT held AND rank <= coalesce(until, rank))").select(
             *GROUP, "atom", "rank", F.col("round").alias("step"), "still"))
         if not gone.take(1):
@@ -157,14 +157,14 @@ def _emit_in_rounds(atoms: DataFrame, links: DataFrame) -> DataFrame:
         done.append(gone)
         if len(done) % 16 == 0:
             done = [materialize(_all(done))]
-        hits = ties.join(end(gone, "provider"), [*GROUP, "provider"], "left_semi").groupBy(
+        hits = ties.join(dealt(end(gone, "provider")), [*GROUP, "provider"], "left_semi").groupBy(
             *GROUP, F.col("consumer").alias("atom")).agg(F.count("*").alias("hits"))
-        waiting, seen = measured(waiting.join(gone, [*GROUP, "atom"], "left_anti").join(hits, [*GROUP, "atom"], "left").select(
+        waiting, seen = measured(waiting.join(dealt(gone), [*GROUP, "atom"], "left_anti").join(dealt(hits), [*GROUP, "atom"], "left").select(
             *GROUP, "atom", "rank", (F.col("left") - F.coalesce("hits", F.lit(0))).alias("left"), (F.col("round") + 1).alias("round")),
             rows=F.count("*"))
     out = _all(done)
     since = out.where("still").groupBy(*GROUP).agg(F.min("step").alias("since"))
-    return out.join(since, GROUP, "left").select(*GROUP, "atom", "rank", "step", F.coalesce(F.col("step") >= F.col("since"), F.lit(False)).alias("late"))
+    return out.join(dealt(since), GROUP, "left").select(*GROUP, "atom", "rank", "step", F.coalesce(F.col("step") >= F.col("since"), F.lit(False)).alias("late"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -181,35 +181,35 @@ def soft_queue(atoms: DataFrame, ties: DataFrame, soft: DataFrame, rank: str, ta
     def among(pairs: DataFrame, hard: bool) -> DataFrame:
         pairs = pairs.select("parent", "provider", "consumer").where("provider <> consumer").distinct()
         for side in ("provider", "consumer"):
-            pairs = pairs.join(nodes.select("parent", F.col("atom").alias(side)), ["parent", side], "left_semi")
+            pairs = pairs.join(dealt(nodes.select("parent", F.col("atom").alias(side))), ["parent", side], "left_semi")
         return pairs.select("parent", "provider", "consumer", F.lit(hard).alias("hard"))
 
     links = materialize(among(ties, True).unionAll(among(soft, False)))
     wishes = links.where("NOT hard")
     named = bundles(links)
-    steered = materialize(named.join(wishes.select("parent", F.col("provider").alias("atom")), ["parent", "atom"], "left_semi").select(
+    steered = materialize(named.join(dealt(wishes.select("parent", F.col("provider").alias("atom"))), ["parent", "atom"], "left_semi").select(
         "parent", "bundle").distinct())
-    members = materialize(named.join(steered, ["parent", "bundle"], "left_semi"))
+    members = materialize(named.join(dealt(steered), ["parent", "bundle"], "left_semi"))
     node = lambda end: F.struct("parent", F.col(end).alias("atom"))
     pairs = lambda df: df.select(node("provider").alias("provider"), node("consumer").alias("consumer"))
-    asked = members.join(wishes.select("parent", F.explode(F.array("provider", "consumer")).alias("atom")), ["parent", "atom"], "left_semi")
+    asked = members.join(dealt(wishes.select("parent", F.explode(F.array("provider", "consumer")).alias("atom"))), ["parent", "atom"], "left_semi")
     circles = waves(asked.select(node("atom").alias("node")), pairs(wishes)).where("level IS NULL").select("node.parent", "node.atom")
-    knots = materialize(members.join(circles, ["parent", "atom"], "left_semi").select("parent", "bundle").distinct()).withColumn("knot", F.lit(True))
-    members = materialize(members.join(knots, ["parent", "bundle"], "left").select(
+    knots = materialize(members.join(dealt(circles), ["parent", "atom"], "left_semi").select("parent", "bundle").distinct()).withColumn("knot", F.lit(True))
+    members = materialize(members.join(dealt(knots), ["parent", "bundle"], "left").select(
         "parent", "atom", F.coalesce("knot", F.lit(False)).alias("knot"), F.when(F.col("knot"), "").otherwise(F.col("bundle")).alias("bundle")))
 
-    inner = materialize(nodes.join(members, ["parent", "atom"]).select(*GROUP, "atom", "rank"))
-    bound = materialize(links.join(members.withColumnRenamed("atom", "provider"), ["parent", "provider"]).select(*GROUP, "provider", "consumer", "hard"))
+    inner = materialize(nodes.join(dealt(members), ["parent", "atom"]).select(*GROUP, "atom", "rank"))
+    bound = materialize(links.join(dealt(members.withColumnRenamed("atom", "provider")), ["parent", "provider"]).select(*GROUP, "provider", "consumer", "hard"))
     sizes = materialize(inner.select(*GROUP).unionAll(bound.select(*GROUP)).groupBy(*GROUP).agg(F.count("*").alias("rows")))
     small, large = sizes.where(F.col("rows") <= task_rows), sizes.where(F.col("rows") > task_rows)
-    told = inner.join(small, GROUP, "left_semi").groupBy(*GROUP).cogroup(bound.join(small, GROUP, "left_semi").groupBy(*GROUP)).applyInPandas(
+    told = inner.join(dealt(small), GROUP, "left_semi").groupBy(*GROUP).cogroup(bound.join(dealt(small), GROUP, "left_semi").groupBy(*GROUP)).applyInPandas(
         _emit_bundle, "parent string, knot boolean, bundle string, atom string, rank long, step long, late boolean")
     if large.take(1):
-        told = told.unionAll(_emit_in_rounds(inner.join(large, GROUP, "left_semi"), bound.join(large, GROUP, "left_semi")))
+        told = told.unionAll(_emit_in_rounds(inner.join(dealt(large), GROUP, "left_semi"), bound.join(dealt(large), GROUP, "left_semi")))
     told = running(materialize(told), GROUP, ["step", "rank"], {"top": F.col("rank")}, fold="max")
 
-    alone = nodes.join(members, ["parent", "atom"], "left_anti")
-    apart = links.where("hard").join(members.withColumnRenamed("atom", "provider"), ["parent", "provider"], "left_anti")
+    alone = nodes.join(dealt(members), ["parent", "atom"], "left_anti")
+    apart = links.where("hard").join(dealt(members.withColumnRenamed("atom", "provider")), ["parent", "provider"], "left_anti")
     plain = waves(alone.select(node("atom").alias("node"), "rank"), pairs(apart), F.col("rank"))
     none, zero = F.lit(None).cast("array<bigint>"), F.lit(0).cast("long")
     merged = told.select("parent", "atom", "late", F.when(F.col("late"), zero).otherwise(F.col("top")).alias("top"), "step", "rank", none.alias("trail"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwork.operators.iterate import jump_to_root, reach
-from strandwork.operators.order_stats import positions
-from strandwork.session import materialize, measured
+from strandwork.operators.order_stats import positions, running
+from strandwork.session import dealt, materialize, measured
 
 
 def root_paths(closure: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def sibling_edges(edge: DataFrame, ref_paths: DataFrame) -> DataFrame:
     """
     k = F.size(F.array_intersect("pp", "cp"))
     parted = edge.select("provider", "consumer").join(
-        ref_paths.select(F.col("ref").alias("provider"), F.col("path").alias("pp")), "provider").join(
-        ref_paths.select(F.col("ref").alias("consumer"), F.col("path").alias("cp")), "consumer").withColumn("k", k)
+        dealt(ref_paths.select(F.col("ref").alias("provider"), F.col("path").alias("pp"))), "provider").join(
+        dealt(ref_paths.select(F.col("ref").alias("consumer"), F.col("path").alias("cp"))), "consumer").withColumn("k", k)
     at = lambda c, i: F.get(F.col(c), i)
     split = parted.where((F.col("k") > 0) & (F.col("k") < F.size("pp")) & (F.col("k") < F.size("cp"))).select(
         at("pp", F.col("k") - 1).alias("parent"), at("pp", F.col("k")).alias("from_child"),
@@ -42,7 +42,7 @@ def compress(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kids = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
         F.count("*").alias("n"), F.min("node").alias("only"))
-    state = materialize(nodes.join(kids, "node", "left").select(
+    state = materialize(nodes.join(dealt(kids), "node", "left").select(
         "node", "parent", "kind", F.when(F.col("n") == 1, F.col("only")).alias("only"),
         ((F.col("kind") == "scope") & (F.coalesce("n", F.lit(0)) == 1)).alias("wrapper")))
     down = materialize(jump_to_root(state.select("node", F.when(F.col("wrapper"), F.col("only")).alias("target"))))
@@ -50,11 +50,11 @@ def compress(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = state.select(F.col("node").alias("root"), F.col("kind").alias("end_kind"))
     # A repository whose only child ends in a scope takes that scope's place.
     taken = state.where("kind = 'repo' AND only IS NOT NULL").select(F.col("node").alias("repo"), F.col("only").alias("node")).join(
-        down, "node").join(kind, "root").where("end_kind = 'scope'").select(F.col("root").alias("gone"), "repo")
+        dealt(down), "node").join(dealt(kind), "root").where("end_kind = 'scope'").select(F.col("root").alias("gone"), "repo")
     taken = materialize(taken)
-    moved = state.where("NOT wrapper").join(taken.select(F.col("gone").alias("node")), "node", "left_anti").join(
-        up.select(F.col("node").alias("parent"), F.col("root").alias("above")), "parent", "left").join(
-        taken.select(F.col("gone").alias("above"), "repo"), "above", "left")
+    moved = state.where("NOT wrapper").join(dealt(taken.select(F.col("gone").alias("node"))), "node", "left_anti").join(
+        dealt(up.select(F.col("node").alias("parent"), F.col("root").alias("above"))), "parent", "left").join(
+        dealt(taken.select(F.col("gone").alias("above"), "repo")), "above", "left")
     kept = moved.select("node", F.coalesce("repo", "above").alias("parent"), "kind")
     aliases = state.where("wrapper").select("node").join(down, "node").select("node", "root").unionAll(
         taken.select("gone", "gone")).join(taken.select(F.col("gone").alias("root"), "repo"), "root", "left").select(
@@ -149,13 +149,13 @@ def generated_owners(decls: DataFrame) -> tuple[DataFrame, DataFrame]:
     chain leaves the scope, leaves the loaded declarations or runs in a circle.
     """
     known = decls.select(F.col("ref").alias("generated_from"), F.lit(True).alias("loaded"))
-    links = materialize(decls.join(known, "generated_from", "left").select(
+    links = materialize(decls.join(dealt(known), "generated_from", "left").select(
         F.col("ref").alias("node"), "scope_id", "generated_from",
         F.when(F.col("loaded"), F.col("generated_from")).alias("target"),
         (F.col("generated_from").isNotNull() & F.col("loaded").isNull()).alias("lost")))
     ends = materialize(jump_to_root(links.select("node", "target")))
     home = links.select(F.col("node").alias("root"), F.col("scope_id").alias("end_scope"), F.col("lost").alias("end_lost"))
-    met = links.select("node", "scope_id", "generated_from").join(ends, "node").join(home, "root", "left")
+    met = links.select("node", "scope_id", "generated_from").join(dealt(ends), "node").join(dealt(home), "root", "left")
     good = F.col("root").isNotNull() & ~F.col("end_lost") & (F.col("end_scope") == F.col("scope_id"))
     owner = met.select(F.col("node").alias("ref"), F.when(F.coalesce(good, F.lit(False)), F.col("root")).otherwise(F.col("node")).alias("owner"))
     lost = met.where("generated_from IS NOT NULL").where(~F.coalesce(good, F.lit(False))).select(F.col("node").alias("ref"))
@@ -187,6 +187,31 @@ def neighbourhood(nodes: DataFrame, closure: DataFrame, jobs: DataFrame) -> Data
     return below.unionAll(chain).unionAll(earlier).distinct()
 
 
+def neighbourhood_sizes(nodes: DataFrame, closure: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(job, seen): how many nodes ``neighbourhood`` shows to each job, counted and not listed.
+
+    Where every node has one parent and every job one node, the subtree, the ancestors and their
+    earlier siblings have only the node itself in common, so their sizes add up; other trees are listed.
+    """
+    spots = materialize(nodes.groupBy("node", "parent").agg(F.min("child_pos").alias("lo"), F.max("child_pos").alias("hi")))
+    jobs = materialize(jobs.select("job", "node").distinct())
+    several = spots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(1).alias("x")).unionAll(
+        jobs.groupBy("job").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(1)))
+    if several.take(1):
+        return neighbourhood(nodes, closure, jobs).groupBy("job").agg(F.count("*").alias("seen"))
+    spots = spots.where("parent IS NOT NULL")
+    # Nodes of a parent that begin before a place, by one running total over the places asked for.
+    asked = spots.select("parent", F.col("hi").alias("at"), F.lit(0).cast("long").alias("one"), "node", F.col("lo").alias("own")).unionAll(
+        spots.select("parent", "lo", F.lit(1).cast("long"), "node", F.lit(None).cast(spots.schema["lo"].dataType)))
+    earlier = running(asked, ["parent"], ["at", "one", "node"], {"before": F.col("one")}).where("one = 0").select(
+        "node", (F.col("before") - (F.col("own") < F.col("at")).cast("long")).alias("before"))
+    pairs = closure.select("node", "ancestor").distinct()
+    above = pairs.join(dealt(earlier.withColumnRenamed("node", "ancestor")), "ancestor", "left").groupBy("node").agg(
+        (F.count("*") + F.coalesce(F.sum("before"), F.lit(0))).alias("up"))
+    below = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("down"))
+    return jobs.join(dealt(above), "node").join(dealt(below), "node").select("job", (F.col("up") + F.col("down") - 1).alias("seen"))
+
+
 def provider_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets and everything they depend on, directly or not."""
     back = edges.select(F.col("consumer").alias("provider"), F.col("provider").alias("consumer"))

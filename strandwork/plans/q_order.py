@@ -10,7 +10,7 @@ from strandwork.plans.oracle_base import SRC, graph
 from strandwork.plans.q_graph import acyclic_pairs
 from strandwork.plans.q_tree import scope_tree, tree_nodes, unit_closure
 from strandwork.plans.registry import query
-from strandwork.session import kept, materialize
+from strandwork.session import dealt, kept, materialize
 from strandwork.sources import derived as D
 
 PROBLEM = f"""
@@ -53,9 +53,9 @@ def _tree_problem(spark, d):
     paths = materialize(unit_closure(spark, d, closure))
     edges = T.sibling_edges(acyclic_pairs(spark, d), paths).select(
         "parent", F.col("from_child").alias("provider"), F.col("to_child").alias("consumer"), F.col("pair_count").alias("weight"))
-    keyed = D.decls(spark, d).select("ref", D.source_key().alias("k")).join(paths, "ref").select(
+    keyed = D.decls(spark, d).select("ref", D.source_key().alias("k")).join(dealt(paths), "ref").select(
         F.explode("path").alias("node"), "k").groupBy("node").agg(F.min("k").alias("k"))
-    kids = tree_nodes(spark, d).where("parent IS NOT NULL").select("parent", "node").join(keyed, "node", "left")
+    kids = tree_nodes(spark, d).where("parent IS NOT NULL").select("parent", "node").join(dealt(keyed), "node", "left")
     atoms = positions(kids, ["parent"], [F.col("k").asc_nulls_last(), F.col("node")], "rank").select("parent", F.col("node").alias("atom"), "rank")
     atoms = materialize(atoms)
     edges = materialize(edges)
@@ -225,7 +225,7 @@ def order_gain(spark, d):
     """What single moves gained over the chosen start, per parent."""
     atoms, edges, out = solved_tree(spark, d)
     return S.distances(edges, out["start"]).select("parent", F.col("distance").alias("start_distance")).join(
-        S.distances(edges, out["order"]).select("parent", "distance", "legal"), "parent")
+        dealt(S.distances(edges, out["order"]).select("parent", "distance", "legal")), "parent")
 
 
 @query("i19_protected_relations")
@@ -249,7 +249,7 @@ def order_comparison(spark, d):
     atoms, edges, out = solved_tree(spark, d)
     a, b = (S.metrics(atoms, edges, out[k]).select("parent", F.col("distance").alias(f"{k}_distance"),
             F.col("displacement").alias(f"{k}_displacement"), F.col("frontier_area").alias(f"{k}_frontier")) for k in ("source", "order"))
-    return a.join(b, "parent")
+    return a.join(dealt(b), "parent")
 
 
 @query("k8_source_only_baseline")
@@ -257,18 +257,18 @@ def source_only(spark, d):
     """How many positions differ between the source-order start and the solved order, per parent."""
     atoms, edges, out = solved_tree(spark, d)
     return out["source"].select("parent", "pos", F.col("atom").alias("a")).join(
-        out["order"].select("parent", "pos", F.col("atom").alias("b")), ["parent", "pos"]).groupBy("parent").agg(
+        dealt(out["order"].select("parent", "pos", F.col("atom").alias("b"))), ["parent", "pos"]).groupBy("parent").agg(
         F.count("*").alias("atoms"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
 
 
 def order_census_rows(spark, d):
     atoms, edges, out = solved_tree(spark, d)
     diff = out["source"].select("parent", "pos", F.col("atom").alias("a")).join(
-        out["order"].select("parent", "pos", F.col("atom").alias("b")), ["parent", "pos"]).groupBy("parent").agg(
+        dealt(out["order"].select("parent", "pos", F.col("atom").alias("b"))), ["parent", "pos"]).groupBy("parent").agg(
         F.count("*").alias("atoms"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
     widths = S.ready_widths(atoms, edges, out["source"])
     legal = S.distances(edges, out["order"]).select("parent", "legal")
-    return materialize(diff.join(widths, "parent").join(legal, "parent", "left"))
+    return materialize(diff.join(dealt(widths), "parent").join(dealt(legal), "parent", "left"))
 
 
 @query("e16_order_census")
@@ -393,9 +393,9 @@ def hierarchy(spark, d):
     decls, owner, edges = helper_inputs(spark, d)
     groups, uses = H.group_tables(decls, owner, edges)
     merged, _ = H.absorb(groups, uses)
-    owner = materialize(owner.join(merged.select(F.col("grp").alias("owner"), "target"), "owner", "left").select(
+    owner = materialize(owner.join(dealt(merged.select(F.col("grp").alias("owner"), "target")), "owner", "left").select(
         "ref", F.coalesce("target", "owner").alias("owner")))
-    units = decls.join(owner.where("ref = owner").select("ref"), "ref", "left_semi").select(
+    units = decls.join(dealt(owner.where("ref = owner").select("ref")), "ref", "left_semi").select(
         F.concat(F.lit("u:"), "ref").alias("node"), F.col("scope_id").alias("parent"), F.lit("unit").alias("kind"))
     scopes = D.scopes(spark, d).select(F.col("scope_id").alias("node"), "parent",
                                        F.when(F.col("parent").isNull(), "repo").otherwise("scope").alias("kind"))
@@ -403,12 +403,12 @@ def hierarchy(spark, d):
     kept = materialize(kept)
     closure = materialize(I.ancestors(kept))
     paths = materialize(T.root_paths(closure).select(F.col("node").alias("unit"), "path").join(
-        owner.select("ref", F.concat(F.lit("u:"), "owner").alias("unit")), "unit").select("ref", "path"))
+        dealt(owner.select("ref", F.concat(F.lit("u:"), "owner").alias("unit"))), "unit").select("ref", "path"))
     full = materialize(T.sibling_edges(edges, paths).select(
         "parent", F.col("from_child").alias("provider"), F.col("to_child").alias("consumer"), F.col("pair_count").alias("weight")))
     keyed = decls.select("ref", "source_key").join(paths, "ref").select(F.explode("path").alias("node"), "source_key").groupBy("node").agg(
         F.min("source_key").alias("k"))
-    kids = kept.where("parent IS NOT NULL").join(keyed, "node", "left")
+    kids = kept.where("parent IS NOT NULL").join(dealt(keyed), "node", "left")
     atoms = materialize(positions(kids, ["parent"], [F.col("k").asc_nulls_last(), F.col("node")], "rank").select("parent", F.col("node").alias("atom"), "rank"))
     order = S.solve(atoms, S.drop_cycle_edges(full, atoms))["order"]
     spans, _ = R.partition(order, _region_inputs(order, full))
@@ -416,14 +416,14 @@ def hierarchy(spark, d):
     wide = spans.where("hi - lo > 1")
     name = lambda lo, hi: F.concat(F.lit("g:"), "parent", F.lit("/"), lo, F.lit("-"), hi)
     size = order.groupBy("parent").agg(F.count("*").alias("n"))
-    regions_ = wide.join(size, "parent").select(
+    regions_ = wide.join(dealt(size), "parent").select(
         name(F.col("lo"), F.col("hi")).alias("node"),
         F.when((F.col("up_lo") == 0) & (F.col("up_hi") == F.col("n")), F.col("parent")).otherwise(name(F.col("up_lo"), F.col("up_hi"))).alias("parent"),
         F.lit("region").alias("kind"), F.col("lo").alias("child_pos"))
     # Each item hangs under its smallest region: the leaf span that holds its position.
-    leaves = spans.join(spans.select("parent", F.col("up_lo").alias("lo"), F.col("up_hi").alias("hi")).distinct(), ["parent", "lo", "hi"], "left_anti")
+    leaves = spans.join(dealt(spans.select("parent", F.col("up_lo").alias("lo"), F.col("up_hi").alias("hi")).distinct()), ["parent", "lo", "hi"], "left_anti")
     covered = leaves.select("parent", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"), "lo", "hi", "up_lo", "up_hi")
-    items = order.join(covered, ["parent", "pos"], "left").join(size, "parent").join(kept.select(F.col("node").alias("atom"), "kind"), "atom").select(
+    items = order.join(dealt(covered), ["parent", "pos"], "left").join(dealt(size), "parent").join(dealt(kept.select(F.col("node").alias("atom"), "kind")), "atom").select(
         F.col("atom").alias("node"),
         F.when(F.col("lo").isNull(), F.col("parent"))
         .when(F.col("hi") - F.col("lo") > 1, name(F.col("lo"), F.col("hi")))
