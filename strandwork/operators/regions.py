@@ -6,6 +6,7 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwork.operators.order_stats import running
@@ -16,6 +17,9 @@ FAN_OUT = 6
 # Points of a tile's side, and split candidates that are weighed at once.
 TILE = 256
 SPLITS = 1 << 20
+# Items of a parent that is solved together with others of its size, and cells of the tables of such a block.
+SMALL, CELLS = 64, 1 << 18
+SMALL_ROW = "parent string, top double, spans array<struct<lo:bigint,hi:bigint,up_lo:bigint,up_hi:bigint>>"
 TILE_ROW = "parent string, n long, p long, q long, cost binary, skew binary, held binary, left array<int>, top double"
 PART = {"x": "bigint", "y": "bigint", "cost": "binary", "skew": "binary", "held": "binary", "prefix": "array<double>",
         "own": "array<struct<a:bigint,b:bigint,weight:double>>"}
@@ -190,6 +194,82 @@ def needed(p: int, q: int, side: int) -> list[tuple[int, int]]:
     return sorted((x, y) for x, y in of | {(p, q - 1), (p + 1, q), (p + 1, q - 1)} if p <= x <= y <= q and (x, y) != (p, q))
 
 
+def solve_alike(n: int, k: int, held: np.ndarray, prefix: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, left) of all spans of many parents of n items, parents x points x points: ``solve_tile`` for parents of one tile.
+
+    ``held`` has the weight of a pair (a, b) at (a, b + 1) and is summed in place; ``prefix`` is parents x points, or None
+    where burdens do not count.
+    """
+    held[:] = held[:, ::-1].cumsum(axis=1)[:, ::-1].cumsum(axis=2)
+    cost, left = np.zeros(held.shape), np.zeros(held.shape, np.int32)
+    skew = np.zeros(held.shape) if prefix is not None else None
+    for m in range(1, n + 1):
+        lo = np.arange(n + 1 - m)
+        hi = lo + m
+        if m <= k:
+            cost[:, lo, hi] = m * held[:, lo, hi]
+            continue
+        sizes = np.arange((m + 2) // 3, 2 * m // 3 + 1)[:, None]
+        mid = lo + sizes
+        total = cost[:, lo, mid] + cost[:, mid, hi] + m * (held[:, None, lo, hi] - (held[:, lo, mid] + held[:, mid, hi]))
+        best = total == total.min(axis=1, keepdims=True)
+        if prefix is not None:
+            burden = skew[:, lo, mid] + skew[:, mid, hi] + np.abs(2 * prefix[:, mid] - prefix[:, None, lo] - prefix[:, None, hi])
+            best &= burden == np.where(best, burden, np.inf).min(axis=1, keepdims=True)
+        pick = np.where(best, np.abs(m - 2 * sizes), m + 1).argmin(axis=1)
+        chosen = lambda table: np.take_along_axis(table, pick[:, None], axis=1)[:, 0]
+        cost[:, lo, hi], left[:, lo, hi] = chosen(total), sizes[pick, 0]
+        if prefix is not None:
+            skew[:, lo, hi] = chosen(burden)
+    return cost, left
+
+
+def _solve_small(plan: DataFrame, own: DataFrame, prefix: DataFrame | None, k: int) -> DataFrame:
+    """(parent, top, spans) of parents of one tile: as many as share a size and fit a block are solved by one call."""
+    rows = plan.select("parent", "n").join(dealt(own.where("p = 0 AND q = 0").select("parent", "own")), "parent", "left")
+    rows = rows.withColumn("prefix", F.lit(None).cast("array<double>")) if prefix is None else rows.join(
+        dealt(prefix.where("x = 0").select("parent", "prefix")), "parent", "left")
+
+    def job(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            loaded = batch.column("prefix").is_valid().to_numpy(zero_copy_only=False)
+            pairs = batch.column("own")
+            many = np.asarray(pairs.value_lengths().fill_null(0))
+            first = np.cumsum(many) - many
+            a, b, weight = (np.asarray(pairs.flatten().field(f)) for f in ("a", "b", "weight"))
+            for size, burdened in sorted(set(zip(n.tolist(), loaded.tolist()))):
+                alike = np.flatnonzero((n == size) & (loaded == burdened))
+                step = max(1, CELLS // (size + 1) ** 2)
+                for at in range(0, len(alike), step):
+                    block = alike[at : at + step]
+                    held = np.zeros((len(block), size + 1, size + 1))
+                    of = np.repeat(np.arange(len(block)), many[block])
+                    pick = np.concatenate([np.arange(first[r], first[r] + many[r]) for r in block])
+                    np.add.at(held, (of, a[pick], b[pick] + 1), weight[pick])
+                    before = np.stack([batch.column("prefix")[r].values.to_numpy() for r in block.tolist()]) if burdened else None
+                    cost, left = solve_alike(size, k, held, before)
+                    spans = [[dict(zip(("lo", "hi", "up_lo", "up_hi"), s)) for s in _below(left[i], [(0, size)], k)] for i in range(len(block))]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("parent").take(pa.array(block)), pa.array(cost[:, 0, size]),
+                        pa.array(spans, pa.list_(pa.struct([(f, pa.int64()) for f in ("lo", "hi", "up_lo", "up_hi")])))], ["parent", "top", "spans"])
+
+    # Little input can be much work, as in a round of tiles.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartition(tasks, "parent").mapInArrow(job, SMALL_ROW))
+
+
+def _below(left: np.ndarray, todo: list[tuple[int, int]], k: int, low: int = 0) -> list[tuple[int, int, int, int]]:
+    """(lo, hi, up_lo, up_hi) below the spans of ``todo``, whose left sizes are told by points from ``low`` on."""
+    out = []
+    for lo, hi in todo:
+        if hi - lo > k:
+            mid = lo + int(left[lo - low, hi - low])
+            todo += [(lo, mid), (mid, hi)]
+            out += [(lo, mid, lo, hi), (mid, hi, lo, hi)]
+    return out
+
+
 def _tile_round(plan: DataFrame, distance: int, own: DataFrame, prefix: DataFrame | None, done: list[DataFrame], k: int, side: int) -> DataFrame:
     """All tiles whose blocks are ``distance`` apart, from the rounds before."""
     keys = ["parent", "p", "q"]
@@ -258,13 +338,8 @@ def _descend_tiles(plan: DataFrame, rounds: list[DataFrame], k: int, side: int)
     def job(key, rows: pd.DataFrame) -> pd.DataFrame:
         n, p, row = int(rows["n"].iloc[0]), int(key[1]), rows.iloc[0]
         left = np.asarray(row["left"]).reshape(-1, min(side, n + 1 - p * side))
-        todo, out = [(s["lo"], s["hi"]) for s in row["spans"]], []
-        for lo, hi in todo:
-            if hi - lo > k:
-                mid = lo + int(left[lo - p * side, hi - p * side])
-                todo += [(lo, mid), (mid, hi)]
-                out += [(key[0], lo, mid, lo, hi), (key[0], mid, hi, lo, hi)]
-        return pd.DataFrame(out, columns=["parent", "lo", "hi", "up_lo", "up_hi"])
+        found = _below(left, [(s["lo"], s["hi"]) for s in row["spans"]], k, p * side)
+        return pd.DataFrame([(key[0], *s) for s in found], columns=["parent", "lo", "hi", "up_lo", "up_hi"])
 
     below = whole.join(dealt(rounds[0].select("parent", "p", "n", "left")), ["parent", "p"]).groupBy("parent", "p").applyInPandas(job, empty)
     return materialize(functools.reduce(DataFrame.unionAll, [below, *found]))
@@ -283,12 +358,14 @@ def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, algorithm:
     The best tree is solved over tables for parents of every size: the spans between two
     blocks of ``side`` points are a tile, tiles of blocks equally far apart are a round,
     and a tile's task reads only the tiles that its splits can lead to, a third of a row
-    and of a column.  A parent below ``side`` points is one tile.
+    and of a column.  A parent below ``side`` points is one tile; parents of at most ``SMALL``
+    items are solved by the block of equal sizes, not by one call each.
     """
     if algorithm not in ("ordered_dp", "balanced"):
         raise ValueError(f"unknown algorithm: {algorithm}")
     plan = order.groupBy("parent").agg(F.count("*").alias("n")).withColumn("algorithm", F.lit(algorithm))
-    plan, seen = measured(plan.withColumn("last", F.floor(F.col("n") / side).cast("bigint")), last=F.max(F.floor(F.col("n") / side)))
+    alone = (F.col("n") > SMALL) | (F.col("n") >= side)
+    plan, seen = measured(plan.withColumn("last", F.floor(F.col("n") / side).cast("bigint")), last=F.max(F.floor(F.col("n") / side)), alone=F.count_if(alone))
     if algorithm == "balanced":
         cost = balanced_cost(plan.select("parent", "n"), weights, k)
         return balanced_regions(plan.select("parent", "n"), order, k), plan.join(dealt(cost), "parent", "left").select(
@@ -306,9 +383,15 @@ def partition(order: DataFrame, weights: DataFrame, k: int = FAN_OUT, algorithm:
         points = points.unionAll(points.select("parent").distinct().select("parent", F.lit(0).cast("bigint"), F.lit(0.0)))
         before = materialize(points.groupBy("parent", block(F.col("point")).alias("x")).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("point", "before"))), lambda s: s["before"]).alias("prefix")))
-    rounds: list[DataFrame] = []
-    for distance in range(int(seen["last"] or 0) + 1):
-        rounds.append(_tile_round(plan, distance, own, before, rounds, k, side))
-    top = functools.reduce(DataFrame.unionAll, [t.where("top IS NOT NULL").select("parent", "top") for t in rounds])
-    return _descend_tiles(plan, rounds, k, side), plan.join(dealt(top), "parent", "left").select(
+    small = _solve_small(plan.where(~alone), own, before, k)
+    top, spans = [small.select("parent", "top")], small.select("parent", F.explode("spans").alias("s")).select("parent", "s.*")
+    if seen["alone"]:
+        rounds: list[DataFrame] = []
+        large = plan.where(alone)
+        for distance in range(int(seen["last"]) + 1):
+            rounds.append(_tile_round(large, distance, own, before, rounds, k, side))
+        top += [t.where("top IS NOT NULL").select("parent", "top") for t in rounds]
+        spans = spans.unionAll(_descend_tiles(large, rounds, k, side))
+    top = functools.reduce(DataFrame.unionAll, top)
+    return spans, plan.join(dealt(top), "parent", "left").select(
         "parent", "n", "algorithm", F.coalesce("top", F.lit(0.0)).alias("cost"))
