@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections import Counter
 from collections.abc import Mapping
@@ -10,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from strandwork.functions import sha256
+from strandwork.session import dealt, materialize, measured
+
 # The strict shape of a package document; reading anything else fails.
 TEXT = "struct<text:string,status:string,reason:string>"
 DEP = "struct<provider:struct<repo_key:string,local_id:string>,evidence_kind:string,provider_module:string>"
@@ -104,10 +108,83 @@ def write_inventory(rows: DataFrame, path: str, per_chunk: int = PER_CHUNK, per_
     chunked.write.mode("overwrite").option("maxRecordsPerFile", per_shard).json(path)
 
 
+#: Bytes up to which a file is read whole by one task; a larger one is read by splits.
+WHOLE = 64 << 20
+#: Bytes of a split that are handed on as one row.
+PIECE = 1 << 20
+#: Files that Hadoop would unpack when read as text; they are read whole.
+PACKED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|passthrough)$"
+
+
 def shard_digests(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """(path, sha256, bytes) of every file, to be checked against a manifest."""
+    """(path, sha256, bytes) of every file, to be checked against a manifest.
+
+    A file above ``WHOLE`` bytes is read by as many tasks as it has splits, and its digest goes from split to split.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    whole = lambda df: df.select(name, F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"))
+    # By its length alone Spark knows which content not to read.
+    told, long = whole(files.where(F.col("length") <= WHOLE)), files.where(F.col("length") > WHOLE)
+    packed = [x["path"] for x in long.where(name.rlike(PACKED)).select("path").collect()]
+    if packed:
+        told = told.unionAll(whole(spark.read.format("binaryFile").load(packed)))
+    long = long.where(~name.rlike(PACKED)).select(F.col("_metadata.file_path").alias("key"), name, "length")
+    return told.unionAll(_long_digests(spark, path, glob, long)) if long.take(1) else told
+
+
+def _long_digests(spark: SparkSession, path: str, glob: str, long: DataFrame) -> DataFrame:
+    """``shard_digests`` of the files named by ``long(key, file, length)``.
+
+    Splits are read as text cut at line feeds, which gives the bytes back as they are but for two things that the length
+    tells: a last line without line feed, and a byte order mark in front.  A round takes the splits that begin at one place.
+    """
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    meta = lambda c: F.col(f"_metadata.{c}")
+    rows = text.where((meta("file_size") > WHOLE) & ~meta("file_name").rlike(PACKED)).select(
+        meta("file_path").alias("key"), meta("file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+
+    def pieces(batches):
+        at, seq, held, size = None, 0, [], 0
+        tell = lambda: pa.RecordBatch.from_pydict({"key": [at[0]], "start": [at[1]], "seq": [seq], "bytes": [b"".join(held)]}, own)
+        own = pa.schema([("key", pa.string()), ("start", pa.int64()), ("seq", pa.int64()), ("bytes", pa.binary())])
+        for batch in batches:
+            for key, start, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, start) != at or size >= PIECE:
+                    if held:
+                        yield tell()
+                    at, seq, held, size = (key, start), seq + 1, [], 0
+                held += [line, b"\n"]
+                size += len(line) + 1
+        if held:
+            yield tell()
+
+    cut = materialize(rows.mapInArrow(pieces, "key string, start long, seq long, bytes binary"))
+    plan = cut.groupBy("key").agg(F.sum(F.length("bytes")).alias("total"), F.min("start").alias("first"), F.max("start").alias("last")).join(dealt(long), "key")
+    plan, seen = measured(plan.select("key", "file", "length", "first", "last", (F.col("total") - F.col("length")).alias("surplus"), F.lit(None).cast("binary").alias("state")),
+                          odd=F.count_if(~F.col("surplus").isin(0, 1, -3, -2)))
+    if seen["odd"]:
+        raise ValueError(f"files cannot be read by splits: {path}")
+
+    def advance(key, table):
+        table = table.sort_by("seq")
+        start, begun, end, surplus, state = (table[c][0].as_py() for c in ("start", "first", "last", "surplus", "state"))
+        hashed = sha256.resumed(state)
+        if start == begun and surplus < 0:
+            hashed.update(b"\xef\xbb\xbf")
+        for i, piece in enumerate(table["bytes"], 1):
+            data = piece.as_py()
+            # Without a line feed at the end of the file there is one too many.
+            hashed.update(data[:-1] if start == end and i == len(table) and surplus in (1, -2) else data)
+        return pa.table({"key": [key[0].as_py()], "now": [hashed.state()], "sha256": pa.array([hashed.hexdigest() if start == end else None], pa.string())})
+
+    done = []
+    for start in sorted(x["start"] for x in cut.select("start").distinct().collect()):
+        step = materialize(cut.where(F.col("start") == start).join(dealt(plan), "key").groupBy("key").applyInArrow(
+            advance, "key string, now binary, sha256 string"))
+        done.append(step.where("sha256 IS NOT NULL").select("key", "sha256"))
+        plan = materialize(plan.join(dealt(step.select("key", "now")), "key", "left").withColumn("state", F.coalesce("now", "state")).drop("now"))
+    return functools.reduce(DataFrame.unionAll, done).join(dealt(long), "key").select("file", "sha256", F.col("length").cast("int").alias("bytes"))
 
 
 def compiled_dependencies(compiled: DataFrame) -> DataFrame:
